@@ -78,3 +78,17 @@ def slices_by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -
             end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, side="right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
+
+
+def partitions_for(df: DataFrame, mb: float) -> int:
+    """Partitions so that each has about `mb` MB of the input's files, and at least as many as the session shuffles into."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // int(mb * 1e6)), 1_000_000))
+
+
+def binary_rows(values: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """A binary column whose row i holds values[begins[i]:begins[i + 1]]; the last one goes to the end."""
+    width = values.dtype.itemsize
+    offsets = np.r_[begins, len(values)].astype(np.int64) * width
+    data = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as decontamination
 from . import exact_dedup as exact
-from . import quality, tokens, toxicity
+from . import jaccard_join, mixing, pii, quality, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +38,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,22 +50,65 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_mix_sources": op1_mix_sources,
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_pii": op10_pii,
 }
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1_SQL = """
+WITH sizes AS (
+  SELECT source AS src, sum(CAST(strlen(coalesce(text, '')) AS DOUBLE)) AS size FROM documents GROUP BY source
+), rates AS (
+  SELECT src, 1.0 / (SELECT count(*) FROM sizes WHERE size > 0) * (SELECT sum(size) FROM sizes) / size AS rate FROM sizes WHERE size > 0
+), steps AS (
+  SELECT src, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1.0))) OVER (PARTITION BY src ORDER BY k) AS c
+  FROM (SELECT src, rate, unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT))) AS k FROM rates)
+), drawn AS (
+  SELECT d.*, (CAST('0x' || substr(md5('17|' || doc_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents d
+), counted AS (
+  SELECT d.doc_id, CAST(count(*) AS INTEGER) AS n_copies FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.src AND s.c <= d.u GROUP BY d.doc_id
+)
+SELECT d.*, n_copies, CAST(copy_no AS INTEGER) AS copy_no, CAST('0x' || substr(md5('17|' || doc_id || '|' || copy_no), 1, 15) AS BIGINT) AS order_key
+FROM (SELECT doc_id AS id, n_copies, unnest(generate_series(1, n_copies)) AS copy_no FROM counted) c JOIN documents d ON d.doc_id = c.id
+"""
+
 OP4_SQL = f"""
 WITH n AS (SELECT doc_id, {LOWER_AZ} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY norm)
 """
 
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({LOWER_AZ}, '[^\x20\x09-\x0D]+') AS words FROM documents
+), p AS (
+  SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM d WHERE len(words) > 0
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS shingle FROM p
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), both_ AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM both_ JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(y) FROM reach r WHERE r.x = d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 OP9_SQL = rf"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array({LOWER_AZ}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents
@@ -84,4 +135,4 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
 FROM d LEFT JOIN spots ON d.doc_id = spots.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op9_decontaminate": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_decontaminate": OP9_SQL}
