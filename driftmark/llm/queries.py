@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as decontamination
 from . import exact_dedup as exact
-from . import jaccard_join, mixing, pii, quality, tokens, toxicity
+from . import jaccard_join, mixing, pii, quality, substring_dedup, suffix_dedup, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
@@ -59,6 +67,8 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
@@ -90,6 +100,25 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM n WINDOW w AS (PARTITION BY norm)
 """
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), p AS (
+  SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS i FROM d WHERE len(words) >= 50
+), w AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(words, i, i + 49), ' ')) AS k FROM p
+), m AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM w
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS j FROM m WHERE least < doc_id
+), g AS (
+  SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN js IS NULL THEN words ELSE list_filter(words, lambda w, j: NOT list_contains(js, j)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
 OP7_SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all({LOWER_AZ}, '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -135,4 +164,4 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
 FROM d LEFT JOIN spots ON d.doc_id = spots.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_decontaminate": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_decontaminate": OP9_SQL}
