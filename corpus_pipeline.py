@@ -4,9 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from driftmark.llm.common import Scratch, table
+from driftmark.llm.decontaminate import decontaminate
+from driftmark.llm.exact_dedup import exact_dedup
+from driftmark.llm.jaccard_join import one_of_each
+from driftmark.llm.mixing import mix_sources
+from driftmark.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    gone = exact_dedup(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    return one_of_each(docs)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"), whole_rows=True)
+    return judged.where("not contaminated").select("row.*")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to equal shares of the text that is left."""
+    return mix_sources(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("n-gram Jaccard join", jaccard), ("benchmark decontamination", contamination), ("mixing", mixing)]
+
+#: SQL can't express the classifier of the first stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over documents; the tables between them are in the shared folder."""
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            scratch.drop(f"stage{i - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
