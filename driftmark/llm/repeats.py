@@ -23,13 +23,15 @@ from .words import U64, mix, ranges, stream
 BATCH_BYTES = 1_500_000
 #: Contexts of one q-gram that one task compares; q-grams with more are keyed by whole windows.
 HOT = 1_000
+#: Parts that the runs of such a q-gram are cut into.
+PIECES = 8
 #: Units of contexts that are compared at a time.
 UNITS = 1 << 20
 INVERSES = {}
 
 KEY = ["h", "c1", "c2"]
 ANCHORS = "h long, c1 long, c2 long, did long, tk long, f int, len int, off int"
-CONTEXTS = "hot boolean, h long, c1 long, c2 long, did long, cnt long, len int, blob binary, w1 long, w2 long"
+CONTEXTS = "hot boolean, h long, c1 long, c2 long, did long, cnt long, len int, blob binary, place int, k1 long, k2 long, e1 long, e2 long, windows array<struct<w1:long,w2:long>>"
 RUNS = "h long, c1 long, c2 long, a int, b int, least long"
 
 
@@ -122,7 +124,10 @@ def find_anchors(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def cut_contexts(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each document the units of its wanted runs; of runs with a frequent q-gram a row for each window instead."""
+    """Of each document the units of its wanted runs. Runs with a frequent q-gram are cut into pieces of starts at fixed distances from
+    the anchor; a piece has as keys the core that all its windows hold, its own units, and each window."""
+    names = ["hot", "h", "c1", "c2", "did", "cnt", "len", "blob", "place", "k1", "k2", "e1", "e2", "windows"]
+    step = -(-(units.size - units.q + 1) // PIECES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
@@ -130,21 +135,31 @@ def cut_contexts(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             runs = batch.column("runs")
             flat = runs.flatten()
             text = np.repeat(np.arange(batch.num_rows), runs.value_lengths().to_numpy())
-            hot, h, c1, c2, f, count, cnt = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("hot", "h", "c1", "c2", "f", "len", "cnt"))
+            hot, h, c1, c2, f, count, off, cnt = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("hot", "h", "c1", "c2", "f", "len", "off", "cnt"))
             did = batch.column("did").to_numpy()[text]
             begin = first[text] + f
             cold = np.flatnonzero(~hot)
             if len(cold):
                 blobs = [content[b : b + n].tobytes() for b, n in zip(begin[cold], count[cold] - 1 + units.size, strict=True)]
                 none = pa.nulls(len(cold), pa.int64())
-                yield pa.record_batch([pa.array(np.zeros(len(cold), bool)), *(pa.array(x[cold]) for x in (h, c1, c2, did, cnt, count)), pa.array(blobs, pa.binary()), none, none], ["hot", "h", "c1", "c2", "did", "cnt", "len", "blob", "w1", "w2"])
+                windows = pa.nulls(len(cold), pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())])))
+                yield pa.record_batch([pa.array(np.zeros(len(cold), bool)), *(pa.array(x[cold]) for x in (h, c1, c2, did, cnt, count)), pa.array(blobs, pa.binary()), none.cast(pa.int32()), none, none, none, none, windows], names)
             warm = np.flatnonzero(hot)
             if len(warm):
-                start = ranges(begin[warm], count[warm])
-                of = np.repeat(warm, count[warm])
-                w1, w2 = (Rolling(codes, seed).of(start, start + units.size).view(np.int64) for seed in (14, 15))
-                place = (start - begin[of]).astype(np.int32)
-                yield pa.record_batch([pa.array(np.ones(len(of), bool)), *(pa.array(x[of]) for x in (h, c1, c2, did, cnt)), pa.array(place), pa.nulls(len(of), pa.binary()), pa.array(w1), pa.array(w2)], ["hot", "h", "c1", "c2", "did", "cnt", "len", "blob", "w1", "w2"])
+                start, of = ranges(begin[warm], count[warm]), np.repeat(warm, count[warm])
+                anchor = begin[of] + off[of]
+                piece = (anchor - start) // step
+                new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (piece[1:] != piece[:-1])])
+                last = np.r_[new[1:], len(of)] - 1
+                core = anchor[new] - step * piece[new]
+                rolls = [Rolling(codes, seed) for seed in (14, 15)]
+                k1, k2 = (r.of(core, core - (step - 1) + units.size).view(np.int64) for r in rolls)
+                shift = mix((anchor[new] - start[new]).astype(U64))
+                e1, e2 = (mix(r.of(start[new], start[last] + units.size) ^ shift).view(np.int64) for r in rolls)
+                w1, w2 = (pa.array(r.of(start, start + units.size).view(np.int64)) for r in rolls)
+                windows = pa.ListArray.from_arrays(pa.array(np.r_[new, len(of)].astype(np.int32)), pa.StructArray.from_arrays([w1, w2], ["w1", "w2"]))
+                own, place = of[new], (start[new] - begin[of[new]]).astype(np.int32)
+                yield pa.record_batch([pa.array(np.ones(len(new), bool)), *(pa.array(x[own]) for x in (h, c1, c2, did, cnt)), pa.array((last - new + 1).astype(np.int32)), pa.nulls(len(new), pa.binary()), *(pa.array(x) for x in (place, k1, k2, e1, e2)), windows], names)
 
     return cut
 
@@ -218,16 +233,23 @@ def repeated_intervals(rows: DataFrame, units: Units, dtype: np.dtype, classes:
     repeated = scratch.write(contexts.join(grams, "h"), "repeated")
     scratch.drop("contexts")
     alone = repeated.where("n = 1").select(*KEY, F.lit(0).alias("a"), (F.col("rep.len") - 1).alias("b"), F.col("rep.did").alias("least"))
-    wanted = repeated.where("n > 1").select(F.col("rep.did").alias("did"), F.col("rep.tk").alias("tk"), F.struct((F.col("n") > hot).alias("hot"), *KEY, F.col("rep.f").alias("f"), F.col("rep.len").alias("len"), "cnt").alias("run"))
+    wanted = repeated.where("n > 1").select(F.col("rep.did").alias("did"), F.col("rep.tk").alias("tk"), F.struct((F.col("n") > hot).alias("hot"), *KEY, F.col("rep.f").alias("f"), F.col("rep.len").alias("len"), F.col("rep.off").alias("off"), "cnt").alias("run"))
     lists = wanted.groupBy("did", "tk").agg(F.collect_list("run").alias("runs"))
     # of rows with one doc_id and one text, one is cut
     texts = rows.select("did", "tk", "text").join(lists, ["did", "tk"])
     cuts = scratch.write(texts.mapInArrow(cut_contexts(units), CONTEXTS), "cuts")
     cold = cuts.where("not hot").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(compare_contexts(units, dtype, classes), RUNS)
-    windows = cuts.where("hot").groupBy("w1", "w2").agg(F.min("did").alias("least"), F.sum("cnt").alias("weight")).where("weight > 1")
-    warm = cuts.where("hot").join(windows, ["w1", "w2"]).select(*KEY, F.col("len").alias("a"), F.col("len").alias("b"), "least")
+    # pieces with one core and equal units are compared as a whole, those with one core and different units window by window
+    pieces = cuts.where("hot").select(*KEY, "did", "cnt", "place", "len", "k1", "k2", "e1", "e2", "windows")
+    equal = pieces.groupBy("k1", "k2", "e1", "e2").agg(F.min("did").alias("least"), F.sum("cnt").alias("weight"))
+    cores = equal.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("kinds"))
+    known = scratch.write(pieces.join(equal.join(cores, ["k1", "k2"]), ["k1", "k2", "e1", "e2"]), "pieces")
+    whole = known.where("kinds = 1 and weight > 1").select(*KEY, F.col("place").alias("a"), (F.col("place") + F.col("len") - 1).alias("b"), "least")
+    each = known.where("kinds > 1").select(*KEY, "did", "cnt", "place", F.posexplode("windows").alias("i", "w")).select(*KEY, "did", "cnt", (F.col("place") + F.col("i")).alias("a"), "w.w1", "w.w2")
+    windows = each.groupBy("w1", "w2").agg(F.min("did").alias("least"), F.sum("cnt").alias("weight")).where("weight > 1")
+    warm = whole.unionByName(each.join(windows, ["w1", "w2"]).select(*KEY, "a", F.col("a").alias("b"), "least"))
     runs = scratch.write(alone.unionByName(cold).unionByName(warm), "runs")
-    scratch.drop("cuts", "repeated")
+    scratch.drop("cuts", "repeated", "pieces")
     found = anchors.join(runs, KEY)
     if not units.all_go:
         found = found.where(F.col("least") < F.col("did"))
