@@ -12,10 +12,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +30,14 @@ PERCENT = 80
 BATCH_BYTES, BATCH_ROWS = 2_000_000, 50_000
 #: MB of Parquet input for each task that counts tokens.
 COUNT_MB = 8
-#: Entry of a token that a map task has found with several of its own nodes.
+#: Place of a token that a map task has found with several of its own nodes.
 KNOWN = 0xFFFF
 
-PARTS = "part int, sig1 long, sig2 long, n int, doc_id long, blob binary"
-TOKENS = "sig1 long, sig2 long, n int, cnt int, blob binary"
-NODE = np.dtype([("s1", np.int64), ("s2", np.int64), ("n", np.int32)])
-ENTRY = np.dtype([("token", np.uint64), ("node", np.uint16)])
+#: kind 0: the nodes of a chunk (NODE each); 1: shared tokens of a chunk's nodes; 2: tokens to be counted. A chunk is what a map task handles at a time.
+ROWS = "kind int, target int, chunk long, blob binary"
+#: kind 0: a document and its node; 1: a node that shares enough, with its shared tokens and their document frequencies.
+FOUND = "kind int, doc_id long, sig1 long, sig2 long, n int, blob binary, df binary"
+NODE = np.dtype([("doc", np.int64), ("null", np.bool_), ("s1", np.int64), ("s2", np.int64), ("n", np.int32)])
 
 
 def least_overlap(n: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
@@ -63,109 +65,107 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np.
     return d[fresh], t[fresh]
 
 
-def packed(table: np.ndarray, node: np.ndarray, token: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Per target partition: the nodes that occur in it, and its (token, node) entries; node -1 marks KNOWN."""
+def batch_of(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kind, target, chunk, blob = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(kind, pa.int32()), pa.array(target, pa.int32()), pa.array(chunk, pa.int64()), pa.array(blob, pa.binary())], ["kind", "target", "chunk", "blob"])
+
+
+def packed(chunk: int, node: np.ndarray, token: np.ndarray, parts: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Rows of kind 2 per target partition: 48 bits of each token (the partition has the rest) and the node's place in the chunk, 8 bytes in all."""
     part = (token % U64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    part, node, token = part[order], node[order], token[order]
-    edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    part, place, token = part[order], node[order].astype(np.uint16), token[order]
+    high, low = (token >> U64(32)).astype(np.uint32), (token >> U64(16)).astype(np.uint16)
+    edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
     for a, b in zip(edge, [*edge[1:], len(part)], strict=True):
-        own, place = np.unique(node[a:b], return_inverse=True)
-        entries = np.empty(b - a, ENTRY)
-        skip = int(len(own) > 0 and own[0] < 0)
-        entries["token"], entries["node"] = token[a:b], np.where(node[a:b] < 0, KNOWN, place - skip)
-        yield int(part[a]), np.int32(len(own) - skip).tobytes() + table[own[skip:]].tobytes() + entries.tobytes()
-
+        yield 2, int(part[a]), chunk, high[a:b].tobytes() + low[a:b].tobytes() + place[a:b].tobytes()
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, np.int32, 1)[0])
-    return np.frombuffer(blob, NODE, n, 4), np.frombuffer(blob, ENTRY, offset=4 + n * NODE.itemsize)
 
+def shared_rows(chunk: np.ndarray, node: np.ndarray, token: np.ndarray, df: np.ndarray, parts: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Rows of kind 1 per chunk: places, tokens and document frequencies."""
+    order = np.argsort(chunk, kind="stable")
+    chunk, node, token, df = chunk[order], node[order].astype(np.uint16), token[order], df[order].astype(np.int32)
+    edge = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)])
+    for a, b in zip(edge, [*edge[1:], len(chunk)], strict=True):
+        yield 1, int(chunk[a] % parts), int(chunk[a]), token[a:b].tobytes() + df[a:b].tobytes() + node[a:b].tobytes()
 
-def share_locally(node: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Combine (node, token) pairs of one task: order by token, and for each pair whether its token has another node, and whether it is the token's first pair."""
-    order = np.argsort(token, kind="stable")
-    t = token[order]
-    same = t[1:] == t[:-1]
-    shared = np.r_[False, same] | np.r_[same, False] if len(t) else np.zeros(0, bool)
-    return order, shared, np.r_[True, ~same][: len(t)]
 
+def name_of(token: np.ndarray, parts: int) -> np.ndarray:
+    """What is left of a token after packing: 48 bits and the number of its partition."""
+    return (token >> U64(16)) | ((token % U64(parts)) << U64(48))
 
-def token_rows(table: np.ndarray, node: np.ndarray, token: np.ndarray, extra: np.ndarray | None = None) -> pa.RecordBatch:
-    """Rows (sig1, sig2, n, cnt, blob of tokens[, blob of frequencies]) per node."""
-    order = np.argsort(node, kind="stable")
-    node, token = node[order], token[order]
-    begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]][: len(node)])
-    own = table[node[begin]]
-    columns = [pa.array(own["s1"]), pa.array(own["s2"]), pa.array(own["n"]), pa.array(np.diff(np.r_[begin, len(node)]).astype(np.int32)), binary_rows(token, begin)]
-    names = ["sig1", "sig2", "n", "cnt", "blob"]
-    if extra is not None:
-        columns.append(binary_rows(extra[order].astype(np.int32), begin))
-        names.append("df")
-    return pa.record_batch(columns, names)
 
-
-def mapped(raw: np.ndarray, at: np.ndarray, doc_ids: pa.Array, parts: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Step 1 for a batch: a row per document (part -1), rows of tokens known to be shared (part -2), and packed entries."""
+def mapped(raw: np.ndarray, at: np.ndarray, doc_ids: pa.Array, chunk: int, parts: int, k: int) -> pa.RecordBatch:
+    """Step 1 for a chunk. Tokens that several of its nodes have are sent to be counted once."""
     doc, token = shingle_sets(raw, at, k)
     n = len(at) - 1
-    size = np.bincount(doc, minlength=n)
-    s1, s2 = np.zeros(n, U64), np.zeros(n, U64)
+    table = np.zeros(n, NODE)
+    table["doc"], table["null"], table["n"] = doc_ids.fill_null(0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False), np.bincount(doc, minlength=n)
     if len(doc):
         begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        s1[doc[begin]], s2[doc[begin]] = np.add.reduceat(mix(token + U64(1)), begin), np.add.reduceat(mix(token ^ U64(0x5851F42D4C957F2D)), begin)
-    none = pa.nulls(n, pa.binary())
-    yield pa.record_batch([pa.array(np.full(n, -1, np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(size.astype(np.int32)), doc_ids, none], ["part", "sig1", "sig2", "n", "doc_id", "blob"])
-    table = np.empty(n, NODE)
-    table["s1"], table["s2"], table["n"] = s1.view(np.int64), s2.view(np.int64), size
-    # of documents with one set only the first takes part
-    _, first = np.unique(table, return_index=True)
+        for name, salt in (("s1", 1), ("s2", 0x5851F42D4C957F2D)):
+            table[name][doc[begin]] = np.add.reduceat(mix(token ^ U64(salt)), begin).view(np.int64)
+    # of documents with one set only the first is a node
+    _, first = np.unique(table[["s1", "s2", "n"]], return_index=True)
     chosen = np.zeros(n, bool)
     chosen[first] = True
-    pick = chosen[doc]
-    yield from combined(table, doc[pick], token[pick], parts)
-
-
-def combined(table: np.ndarray, node: np.ndarray, token: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    order, shared, head = share_locally(node, token)
-    node, token = node[order], token[order]
-    if shared.any():
-        rows = token_rows(table, node[shared], token[shared])
-        yield pa.record_batch([pa.array(np.full(rows.num_rows, -2, np.int32)), *rows.columns[:3], rows.column(3).cast(pa.int64()), rows.column(4)], ["part", "sig1", "sig2", "n", "doc_id", "blob"])
-    send = ~shared | head
-    out = list(packed(table, np.where(shared, -1, node)[send], token[send], parts))
-    if out:
-        zero = pa.array(np.zeros(len(out), np.int64))
-        yield pa.record_batch([pa.array([p for p, _ in out], pa.int32()), zero, zero, zero.cast(pa.int32()), zero, pa.array([b for _, b in out], pa.binary())], ["part", "sig1", "sig2", "n", "doc_id", "blob"])
-
-
-def counted(blobs: list[bytes]) -> pa.RecordBatch | None:
-    """Step 2 for a partition: the pairs whose token has several nodes, by node."""
-    tables, tokens, nodes, base = [], [], [], 0
-    for blob in blobs:
-        table, entries = unpacked(blob)
-        tables.append(table)
-        tokens.append(entries["token"])
-        nodes.append(np.where(entries["node"] == KNOWN, -1, entries["node"].astype(np.int32) + base).astype(np.int32))
-        base += len(table)
-    if not tokens:
-        return None
-    table, token, node = np.concatenate(tables), np.concatenate(tokens), np.concatenate(nodes)
-    _, first, inverse = np.unique(table["s1"] ^ mix(table["s2"].view(U64)).view(np.int64), return_index=True, return_inverse=True)
-    node = np.where(node < 0, -1, np.r_[inverse, 0][node]).astype(np.int32)
+    node, token = doc[chosen[doc]], token[chosen[doc]]
+    rows = [(0, chunk % parts, chunk, table.tobytes())]
     order = np.argsort(token, kind="stable")
-    token, node = token[order], node[order]
-    same = token[1:] == token[:-1]
-    group = np.r_[False, same] | np.r_[same, False]
-    token, node = token[group], node[group]
-    again = np.lexsort((node, token))
-    token, node = token[again], node[again]
-    fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])][: len(token)]
-    token, node = token[fresh], node[fresh]
-    begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
+    same = token[order][1:] == token[order][:-1]
+    several, head = np.zeros(len(token), bool), np.zeros(len(token), bool)
+    several[order] = (np.r_[False, same] | np.r_[same, False])[: len(token)]
+    head[order] = np.r_[True, ~same][: len(token)]
+    if several.any():
+        own = int(several.sum())
+        rows += shared_rows(np.full(own, chunk), node[several], name_of(token[several], parts), np.full(own, 2), parts)
+    send = ~several | head
+    rows += packed(chunk, np.where(several, KNOWN, node)[send], token[send], parts)
+    return batch_of(rows)
+
+
+def counted(rows: list[tuple[int, int, bytes]], parts: int) -> list[tuple[int, int, int, bytes]]:
+    """Step 2 for the rows of kind 2 of one partition: the pairs whose token occurs more than once, by chunk."""
+    tokens, places, chunks = [], [], []
+    for target, chunk, blob in rows:
+        m = len(blob) // 8
+        high, low, place = np.frombuffer(blob, np.uint32, m), np.frombuffer(blob, np.uint16, m, 4 * m), np.frombuffer(blob, np.uint16, m, 6 * m)
+        tokens.append((U64(target & 0xFFFF) << U64(48)) | (high.astype(U64) << U64(16)) | low)
+        places.append(place)
+        chunks.append(np.full(m, chunk, np.int64))
+    if not tokens:
+        return []
+    token, place, chunk = np.concatenate(tokens), np.concatenate(places), np.concatenate(chunks)
+    order = np.argsort(token)
+    token = token[order]
+    begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     size = np.diff(np.r_[begin, len(token)])
-    keep = (np.repeat(size, size) > 1) & (node >= 0)
-    return token_rows(table[first], node[keep], token[keep], np.repeat(size, size)[keep])
+    df = np.repeat(size, size)
+    keep = df > 1
+    order = order[keep]
+    real = place[order] != KNOWN
+    return list(shared_rows(chunk[order][real], place[order][real], token[keep][real], df[keep][real], parts))
+
+
+def gathered(chunk: list[tuple[int, bytes]], percent: int, documents: bool) -> Iterator[pa.RecordBatch]:
+    """Step 2 for one chunk: its documents (if asked for), and its nodes that share their least overlap."""
+    table = np.frombuffer(next(b for kind, b in chunk if kind == 0), NODE)
+    names = ["kind", "doc_id", "sig1", "sig2", "n", "blob", "df"]
+    if documents:
+        none = pa.nulls(len(table), pa.binary())
+        yield pa.record_batch([pa.array(np.zeros(len(table), np.int32)), pa.array(table["doc"].copy(), mask=table["null"].copy()), *(pa.array(table[c].copy()) for c in ("s1", "s2", "n")), none, none], names)
+    blobs = [b for kind, b in chunk if kind == 1]
+    if not blobs:
+        return
+    size = [len(b) // 14 for b in blobs]
+    token, df, node = (np.concatenate([np.frombuffer(b, t, m, o * m) for b, m in zip(blobs, size, strict=True)]) for t, o in ((U64, 0), (np.int32, 8), (np.uint16, 12)))
+    alive = 100 * np.bincount(node, minlength=len(table)) >= percent * table["n"]
+    keep = alive[node]
+    order = np.argsort(node[keep], kind="stable")
+    node, token, df = node[keep][order], token[keep][order], df[keep][order]
+    begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]][: len(node)])
+    own = table[node[begin]]
+    yield pa.record_batch([pa.array(np.ones(len(own), np.int32)), pa.nulls(len(own), pa.int64()), *(pa.array(own[c].copy()) for c in ("s1", "s2", "n")), binary_rows(token, begin), binary_rows(df, begin)], names)
 
 
 def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -243,18 +243,27 @@ def join_block(size: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT)
 
 
 def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, label): the least node reachable over shared keys; edges (node, key). Labels spread until none changes."""
-    labels, step, held = edges.select("node", F.col("node").alias("label")).distinct(), 0, []
+    """(node, label): the least node reachable over shared keys; edges (node, key).
+
+    Each key is first replaced by links to its least node, which are few where nodes share many keys. Labels spread over the links and to the
+    labels' own labels until none changes.
+    """
+    hubs = edges.groupBy("key").agg(F.min("node").alias("hub"))
+    star = scratch.write(edges.join(hubs, "key").select("node", "hub").distinct(), f"{name}_star")
+    links = star.where(F.col("node") != F.col("hub"))
+    links = links.union(links.select("hub", "node"))
+    labels, step = star.groupBy("node").agg(F.min("hub").alias("label")), 0
     while True:
-        at_key = edges.join(labels, "node").groupBy("key").agg(F.min("label").alias("least"))
-        spread = edges.join(at_key, "key").groupBy("node").agg(F.min("least").alias("label"))
-        fresh = scratch.write(spread, f"{name}{step}")
-        moved = fresh.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old")).limit(1).count()
-        held.append(f"{name}{step}")
+        labels = labels.withColumnsRenamed({"node": "at", "label": "old"})
+        near = links.join(labels, F.col("hub") == F.col("at")).groupBy("node").agg(F.min("old").alias("near"))
+        spread = labels.join(near, F.col("at") == F.col("node"), "left").select(F.col("at").alias("node"), "old", F.least("old", F.coalesce("near", "old")).alias("label"))
+        jump = spread.select(F.col("node").alias("to"), F.col("label").alias("further"))
+        fresh = scratch.write(spread.join(jump, F.col("label") == F.col("to"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), f"{name}{step}")
+        moved = fresh.where(F.col("label") != F.col("old")).limit(1).count()
+        labels = fresh.select("node", "label")
         if not moved:
-            scratch.drop(*held[:-1])
-            return fresh
-        labels, step = fresh, step + 1
+            return labels
+        step += 1
 
 
 def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -274,60 +283,66 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scrat
     parts = partitions_for(docs, COUNT_MB)
 
     def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
             for begin in range(0, batch.num_rows, BATCH_ROWS):
                 some = batch.slice(begin, BATCH_ROWS)
-                yield from mapped(*utf8_parts(some.column("text")), some.column("doc_id"), parts, k)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: list[bytes] = []
-        names = ["kind", "sig1", "sig2", "n", "doc_id", "cnt", "blob", "df"]
-        for batch in batches:
-            part = batch.column("part").to_numpy()
-            for kind in (-1, -2):
-                own = batch.filter(pa.array(part == kind))
-                if own.num_rows:
-                    extra = own.column("doc_id")
-                    zero = pa.nulls(own.num_rows, pa.int64())
-                    yield pa.record_batch([pa.array(np.full(own.num_rows, kind, np.int32)), own.column("sig1"), own.column("sig2"), own.column("n"), extra if kind == -1 else zero, zero.cast(pa.int32()) if kind == -1 else extra.cast(pa.int32()), own.column("blob"), pa.nulls(own.num_rows, pa.binary())], names)
-            blobs += batch.filter(pa.array(part >= 0)).column("blob").to_pylist()
-        rows = counted(blobs)
-        if rows is not None:
-            yield pa.record_batch([pa.array(np.full(rows.num_rows, -2, np.int32)), *rows.columns[:3], pa.nulls(rows.num_rows, pa.int64()), *rows.columns[3:]], names)
-
-    counts = "kind int, sig1 long, sig2 long, n int, doc_id long, cnt int, blob binary, df binary"
-    target = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("sig1", "doc_id"), F.lit(parts)).cast("int"))
-    entries = docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(to_parts, PARTS)
-    first = scratch.write(entries.repartitionById(parts, target).mapInArrow(count, counts).drop("df"), "first")
-    names = first.where("kind = -1").select("doc_id", "n", "sig1", "sig2")
-    least = F.min("doc_id").alias("component_id")
-    # nodes that share enough of their set with others at all
-    rows = first.where("kind = -2").select("sig1", "sig2", "n", "cnt", "blob")
-    enough = 100 * F.sum("cnt") >= percent * F.first("n")
-    alive = rows.groupBy("sig1", "sig2").agg(enough.alias("ok")).where("ok").select("sig1", "sig2")
+                yield mapped(*utf8_parts(some.column("text")), some.column("doc_id"), number, parts, k)
+                number += 1
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for some in (batch.slice(b, 20_000) for b in range(0, batch.num_rows, 20_000)):
-                table = np.empty(some.num_rows, NODE)
+            for some in (batch.slice(b, 5_000) for b in range(0, batch.num_rows, 5_000)):
+                table = np.zeros(some.num_rows, NODE)
                 table["s1"], table["s2"], table["n"] = (some.column(c).to_numpy() for c in ("sig1", "sig2", "n"))
                 blobs = some.column("blob").to_pylist()
-                token = np.frombuffer(b"".join(blobs), np.uint64)
-                out = list(packed(table, np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs]), token, parts))
-                zero = pa.array(np.zeros(len(out), np.int64))
-                yield pa.record_batch([pa.array([p for p, _ in out], pa.int32()), zero, zero, zero.cast(pa.int32()), zero, pa.array([b for _, b in out], pa.binary())], ["part", "sig1", "sig2", "n", "doc_id", "blob"])
+                node = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
+                yield batch_of([(0, number % parts, number, table.tobytes()), *packed(number, node, np.frombuffer(b"".join(blobs), U64), parts)])
+                number += 1
 
-    second = rows.join(alive, ["sig1", "sig2"], "left_semi").mapInArrow(again, PARTS).repartitionById(parts, F.col("part")).mapInArrow(count, counts)
-    sets = second.where("kind = -2").groupBy("sig1", "sig2").agg(F.first("n").alias("n"), F.collect_list(F.struct("blob", "df")).alias("pieces"))
-    sets = scratch.write(sets.where(100 * F.aggregate("pieces", F.lit(0), lambda a, p: a + (F.octet_length(p["blob"]) / 8).cast("int")) >= percent * F.col("n")), "sets")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes]] = []
+        for batch in batches:
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("kind", "target", "chunk", "blob")), strict=True))
+            held += [r[1:] for r in rows if r[0] == 2]
+            if others := [r for r in rows if r[0] != 2]:
+                yield batch_of(others)
+        out = counted(held, parts)
+        for begin in range(0, len(out), 1000):
+            yield batch_of(out[begin : begin + 1000])
+
+    def gather(documents: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, last = [], None
+            for batch in batches:
+                for kind, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "chunk", "blob")), strict=True):
+                    if held and chunk != last:
+                        yield from gathered(held, percent, documents)
+                        held = []
+                    last = chunk
+                    held.append((kind, blob))
+            if held:
+                yield from gathered(held, percent, documents)
+
+        return run
+
+    def shared(rows: DataFrame, documents: bool) -> DataFrame:
+        counted_ = rows.repartitionById(parts, F.col("target")).mapInArrow(count, ROWS)
+        return counted_.repartitionById(parts, F.col("target")).sortWithinPartitions("chunk").mapInArrow(gather(documents), FOUND)
+
+    first = scratch.write(shared(docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(to_parts, ROWS), True), "first")
+    names = first.where("kind = 0").select("doc_id", "n", "sig1", "sig2")
+    least = F.min("doc_id").alias("component_id")
+    # texts with one set in several chunks become one node, and the nodes are counted again among themselves
+    nodes = first.where("kind = 1").groupBy("sig1", "sig2").agg(F.first("n").alias("n"), F.first("blob").alias("blob"))
+    sets = scratch.write(shared(nodes.mapInArrow(again, ROWS), False).select("sig1", "sig2", "n", "blob", "df"), "sets")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, orders, keys = [], [], []
-            for s1, s2, n, pieces in zip(*(batch.column(c).to_pylist() for c in ("sig1", "sig2", "n", "pieces")), strict=True):
-                token = np.frombuffer(b"".join(p["blob"] for p in pieces), np.uint64)
-                df = np.frombuffer(b"".join(p["df"] for p in pieces), np.int32)
-                for order, prefix in enumerate(prefixes(n, token, df, percent)):
+            for s1, s2, n, blob, df in zip(*(batch.column(c).to_pylist() for c in ("sig1", "sig2", "n", "blob", "df")), strict=True):
+                for order, prefix in enumerate(prefixes(n, np.frombuffer(blob, U64), np.frombuffer(df, np.int32), percent)):
                     nodes.append(np.repeat(np.array([(s1, s2)], [("a", np.int64), ("b", np.int64)]), len(prefix)))
                     orders.append(np.full(len(prefix), order, np.int32))
                     keys.append(prefix.view(np.int64))
@@ -335,7 +350,6 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scrat
                 node = np.concatenate(nodes)
                 yield pa.record_batch([pa.array(node["a"]), pa.array(node["b"]), pa.array(np.concatenate(orders)), pa.array(np.concatenate(keys))], ["s1", "s2", "ord", "token"])
 
-    # token groups of one node connect nothing
     proposed = scratch.write(sets.mapInArrow(propose, "s1 long, s2 long, ord int, token long").select(F.struct("s1", "s2").alias("node"), "ord", "token"), "prefixes")
     one = connected(proposed.where("ord = 0").select("node", F.col("token").alias("key")), scratch, "one")
     inside = proposed.where("ord = 1").join(one, "node").select("node", F.struct("label", "token").alias("key"))
@@ -343,11 +357,11 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scrat
     members = names.groupBy("sig1", "sig2").agg(least)
     labelled = sets.join(blocks.select("node.s1", "node.s2", F.col("label").alias("block")), (F.col("sig1") == F.col("s1")) & (F.col("sig2") == F.col("s2")))
     several = blocks.groupBy(F.col("label").alias("block")).count().where(F.col("count") > 1).select("block")
-    work = labelled.join(several, "block", "left_semi").join(members, ["sig1", "sig2"]).select("block", "sig1", "sig2", "n", F.transform("pieces", lambda p: p["blob"]).alias("blobs"), "component_id")
+    work = labelled.join(several, "block", "left_semi").join(members, ["sig1", "sig2"]).select("block", "sig1", "sig2", "n", "blob", "component_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(rows: list) -> pa.RecordBatch:
-            sets_ = [np.sort(np.frombuffer(b"".join(r[4]), np.uint64)) for r in rows]
+            sets_ = [np.sort(np.frombuffer(r[4], U64)) for r in rows]
             group = join_block(np.array([r[3] for r in rows]), sets_, percent)
             smallest: dict[int, int | None] = {}
             for g, r in zip(group.tolist(), rows, strict=True):
@@ -357,7 +371,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scrat
 
         held: list = []
         for batch in batches:
-            for block, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "sig1", "sig2", "n", "blobs", "component_id")), strict=True):
+            for block, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "sig1", "sig2", "n", "blob", "component_id")), strict=True):
                 if held and held[-1][0] != block:
                     yield close(held)
                     held = []
