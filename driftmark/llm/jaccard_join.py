@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -77,7 +78,7 @@ def packed(chunk: int, node: np.ndarray, token: np.ndarray, parts: int) -> Itera
     part, place, token = part[order], node[order].astype(np.uint16), token[order]
     high, low = (token >> U64(32)).astype(np.uint32), (token >> U64(16)).astype(np.uint16)
     edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
-    for a, b in zip(edge, [*edge[1:], len(part)], strict=True):
+    for a, b in itertools.pairwise([*edge, len(part)]):
         yield 2, int(part[a]), chunk, high[a:b].tobytes() + low[a:b].tobytes() + place[a:b].tobytes()
 
 
@@ -86,7 +87,7 @@ def shared_rows(chunk: np.ndarray, node: np.ndarray, token: np.ndarray, df: np.n
     order = np.argsort(chunk, kind="stable")
     chunk, node, token, df = chunk[order], node[order].astype(np.uint16), token[order], df[order].astype(np.int32)
     edge = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)])
-    for a, b in zip(edge, [*edge[1:], len(chunk)], strict=True):
+    for a, b in itertools.pairwise([*edge, len(chunk)]):
         yield 1, int(chunk[a] % parts), int(chunk[a]), token[a:b].tobytes() + df[a:b].tobytes() + node[a:b].tobytes()
 
 
