@@ -9,6 +9,7 @@ contexts than a task should hold gets the whole window as its key instead, and i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,6 @@ from .words import U64, mix, ranges, stream
 BATCH_BYTES = 1_500_000
 #: Contexts of one q-gram that one task compares; q-grams with more are keyed by whole windows.
 HOT = 1_000
-#: Parts that the runs of such a q-gram are cut into.
-PIECES = 8
 #: Units of contexts that are compared at a time.
 UNITS = 1 << 20
 INVERSES = {}
@@ -125,9 +124,10 @@ def find_anchors(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def cut_contexts(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each document the units of its wanted runs. Runs with a frequent q-gram are cut into pieces of starts at fixed distances from
-    the anchor; a piece has as keys the core that all its windows hold, its own units, and each window."""
+    the anchor; a piece has as keys the core that all its windows hold, its own units, and each window. About as many pieces as windows in
+    each make the fewest rows of both."""
     names = ["hot", "h", "c1", "c2", "did", "cnt", "len", "blob", "place", "k1", "k2", "e1", "e2", "windows"]
-    step = -(-(units.size - units.q + 1) // PIECES)
+    step = math.isqrt(units.size - units.q + 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
