@@ -88,6 +88,8 @@ def fit_nnpu(p: Presence, u: Presence, prior: float, steps: int = 400, rate: flo
         g[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        # a text that shows nothing is no likelier toxic than any
+        theta[-1] = min(theta[-1], np.log(prior / (1 - prior)))
     return theta[:-1], float(theta[-1])
 
 
