@@ -81,9 +81,18 @@ def slices_by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -
 
 
 def partitions_for(df: DataFrame, mb: float) -> int:
-    """Partitions so that each has about `mb` MB of the input's files, and at least as many as the session shuffles into."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // int(mb * 1e6)), 1_000_000))
+    """Partitions so that each has about `mb` MB of the tables that df reads, and at least as many as the session shuffles into.
+
+    Rows that the program gave have no known size and count by their partitions.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size, given = 0, 0
+    for leaf in map(leaves.apply, range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            given += leaf.rdd().getNumPartitions()
+        else:
+            size += int(str(leaf.stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // int(mb * 1e6)) + given, 1_000_000))
 
 
 def binary_rows(values: np.ndarray, begins: np.ndarray) -> pa.Array:

@@ -177,10 +177,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
 
     picked = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     found = picked.select("label", "text").mapInArrow(measure, "label int, x binary").toArrow()
+    if not found.num_rows:
+        return fit_trees(np.zeros((0, 0), np.float32), np.zeros(0))
     x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(found.num_rows, -1)
     y = found["label"].to_numpy().astype(float)
     # the order of rows depends on tasks; sums in floating point depend on the order
-    order = np.lexsort((*x.T[:8], y)) if len(y) else np.zeros(0, int)
+    order = np.lexsort((*x.T[:8], y))
     return fit_trees(x[order], (y[order] > 0).astype(float))
 
 

@@ -299,3 +299,16 @@ def test_pipeline(spark):
             want = {c for _, _, c in brute_components(rows)}
             assert {r.doc_id for r in kept.collect()} == want
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_exact_stage_on_odd_rows(odd):
+    import corpus_pipeline
+
+    kept = corpus_pipeline.exact(odd.sparkSession, odd, SF)
+    assert kept.columns == odd.columns
+    want = Counter()
+    for d, t in odd_rows():
+        same = [e for e, u in odd_rows() if (u or "").lower() == (t or "").lower() and e is not None]
+        if d == max(same, default=None):
+            want[d, t] += 1
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
