@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftmark.llm.common import Scratch, table
+from driftmark.llm.common import Scratch, ascii_lower, table
 from driftmark.llm.decontaminate import decontaminate
 from driftmark.llm.exact_dedup import exact_dedup
 from driftmark.llm.jaccard_join import one_of_each
@@ -18,9 +19,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    gone = exact_dedup(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of equal texts the row with the largest doc_id stays; rows are told apart by doc_id and text."""
+    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), "text_sha256").distinct()
+    digest = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (digest == gone["text_sha256"]), "left_anti")
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
