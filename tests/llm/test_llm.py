@@ -306,9 +306,10 @@ def test_exact_stage_on_odd_rows(odd):
 
     kept = corpus_pipeline.exact(odd.sparkSession, odd, SF)
     assert kept.columns == odd.columns
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     want = Counter()
     for d, t in odd_rows():
-        same = [e for e, u in odd_rows() if (u or "").lower() == (t or "").lower() and e is not None]
+        same = [e for e, u in odd_rows() if lower(u) == lower(t) and e is not None]
         if d == max(same, default=None):
             want[d, t] += 1
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
