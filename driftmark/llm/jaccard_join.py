@@ -389,7 +389,10 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scrat
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id names its component, with all columns; rows with a null doc_id and rows that repeat a doc_id stay."""
+    """The rows of docs whose doc_id names its component, with all columns; rows with a null doc_id stay.
+
+    Of rows that repeat a doc_id all go if one of them does not name its component; else all stay.
+    """
     found, scratch = _components(docs, k, percent)
     gone = scratch.write(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
