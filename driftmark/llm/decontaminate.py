@@ -31,11 +31,17 @@ def bounded(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """(item_id, begin, words) of each window; an item of fewer words, but not none, is one window."""
-    items = benchmark.select("item_id", word_list(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_words, ids) of each different list of words: its digest, and the item_ids that have it (structs, so that a null one counts)."""
+    rows = benchmark.select(F.struct("item_id").alias("id"), word_list(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
+    item = F.unhex(F.sha2(F.array_join("item_words", " "), 256)).alias("item")
+    return rows.groupBy(item).agg(F.first("item_words").alias("item_words"), F.collect_set("id").alias("ids"))
+
+
+def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
+    """(item, begin, words) of each window; an item of fewer words is one window."""
     begins = F.explode(F.sequence(F.lit(0), F.greatest(F.size("item_words") - size, F.lit(0))))
-    return items.select("item_id", "item_words", begins.alias("begin")).select("item_id", "begin", F.slice("item_words", F.col("begin") + 1, size).alias("words"))
+    return items.select("item", "item_words", begins.alias("begin")).select("item", "begin", F.slice("item_words", F.col("begin") + 1, size).alias("words"))
 
 
 def terms_of(docs: DataFrame) -> DataFrame:
@@ -45,7 +51,7 @@ def terms_of(docs: DataFrame) -> DataFrame:
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """Exact matches (doc_id, item_id, begin, at, length): the item's window from `begin` stands in the document at word `at`.
 
-    docs: doc_id (unique, not null), text. benchmark: item_id, text.
+    docs: doc_id (unique, not null), text. benchmark: item_id (may repeat or be null), text.
     """
     return _matches(docs.select(F.col("doc_id").alias("row_id"), "text"), benchmark, size, rarest, Scratch(docs.sparkSession, "phrases"))[0].select(F.col("row_id").alias("doc_id"), "item_id", "begin", "at", "length")
 
@@ -71,8 +77,11 @@ def proximity_matches(docs: DataFrame, terms: list[str], within: int) -> DataFra
 
 def _matches(docs: DataFrame, benchmark: DataFrame, size: int, rarest: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The matches by row_id, and the documents with their words joined with their candidates."""
-    windows = scratch.write(benchmark_windows(benchmark, size), "windows")
-    total = windows.agg(F.sum(F.size("words")).alias("n")).first().n or 0
+    # items go by their words: an item_id can be null or stand for several texts
+    items = scratch.write(benchmark_items(benchmark), "items")
+    windows = scratch.write(benchmark_windows(items, size), "windows")
+    ids = items.select("item", "ids")
+    total = (windows.agg(F.sum(F.size("words")).alias("n")).first().n or 0) + (ids.agg(F.sum(F.size("ids")).alias("n")).first().n or 0)
     small = total <= BROADCAST_WORDS
     text = F.col("row.text" if "row" in docs.columns else "text")
     words = docs.select("row_id", word_list(text).alias("words"))
@@ -80,26 +89,26 @@ def _matches(docs: DataFrame, benchmark: DataFrame, size: int, rarest: int, scra
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
     each = docs.select("row_id", F.explode(F.array_distinct(word_list(text))).alias("term"))
     frequency = scratch.write(each.join(bounded(vocabulary, small), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequency")
-    placed = windows.select("item_id", "begin", F.posexplode("words").alias("o", "term"))
-    ranked = placed.join(frequency, "term", "left").select("item_id", "begin", "term", (F.col("begin") + F.col("o")).alias("place"), F.coalesce("df", F.lit(0)).alias("df"))
+    placed = windows.select("item", "begin", F.posexplode("words").alias("o", "term"))
+    ranked = placed.join(frequency, "term", "left").select("item", "begin", "term", (F.col("begin") + F.col("o")).alias("place"), F.coalesce("df", F.lit(0)).alias("df"))
     # of a term that a window has twice, one place is enough to propose an alignment
-    first = Window.partitionBy("item_id", "begin", "term").orderBy("place")
-    best = Window.partitionBy("item_id", "begin").orderBy("df", "term")
+    first = Window.partitionBy("item", "begin", "term").orderBy("place")
+    best = Window.partitionBy("item", "begin").orderBy("df", "term")
     once = ranked.withColumn("n", F.row_number().over(first)).where("n = 1").withColumn("n", F.row_number().over(best)).where(F.col("n") <= rarest)
-    probes = scratch.write(once.groupBy("item_id", "begin").agg(F.collect_set(F.struct("place", "term")).alias("probe"), F.min("df").alias("least")).where("least > 0"), "probes")
-    seeds = probes.select("item_id", F.explode("probe").alias("p")).select("item_id", "p.place", "p.term").distinct()
+    probes = scratch.write(once.groupBy("item", "begin").agg(F.collect_set(F.struct("place", "term")).alias("probe"), F.min("df").alias("least")).where("least > 0"), "probes")
+    seeds = probes.select("item", F.explode("probe").alias("p")).select("item", "p.place", "p.term").distinct()
     index = terms_of(words).join(bounded(seeds.select("term").distinct(), small), "term")
     postings = scratch.write(index.groupBy("row_id", "term").agg(F.collect_list("pos").alias("positions")), "postings")
-    proposed = postings.join(bounded(seeds, small), "term").select("row_id", "item_id", "place", F.explode("positions").alias("pos"))
-    alignments = proposed.groupBy("row_id", "item_id", (F.col("pos") - F.col("place")).alias("delta")).agg(F.collect_set("place").alias("places"))
-    probe_places = probes.select("item_id", "begin", F.col("probe.place").alias("need"))
-    agreed = alignments.join(bounded(probe_places, small), "item_id").where((F.size(F.array_except("need", "places")) == 0) & (F.col("delta") + F.col("begin") >= 0))
-    candidates = agreed.join(bounded(windows, small), ["item_id", "begin"]).select("row_id", "item_id", "begin", (F.col("delta") + F.col("begin")).alias("at"), "words")
-    gathered = candidates.groupBy("row_id").agg(F.collect_list(F.struct("item_id", "begin", "at", F.col("words").alias("window"))).alias("candidates"))
+    proposed = postings.join(bounded(seeds, small), "term").select("row_id", "item", "place", F.explode("positions").alias("pos"))
+    alignments = proposed.groupBy("row_id", "item", (F.col("pos") - F.col("place")).alias("delta")).agg(F.collect_set("place").alias("places"))
+    probe_places = probes.select("item", "begin", F.col("probe.place").alias("need"))
+    agreed = alignments.join(bounded(probe_places, small), "item").where((F.size(F.array_except("need", "places")) == 0) & (F.col("delta") + F.col("begin") >= 0))
+    candidates = agreed.join(bounded(windows, small), ["item", "begin"]).join(bounded(ids, small), "item").select("row_id", "ids", "begin", (F.col("delta") + F.col("begin")).alias("at"), "words")
+    gathered = candidates.groupBy("row_id").agg(F.collect_list(F.struct("ids", "begin", "at", F.col("words").alias("window"))).alias("candidates"))
     texts = docs.join(gathered, "row_id", "left").withColumn("words", word_list(text))
     hit = F.filter(F.coalesce("candidates", F.array()), lambda c: F.slice(F.col("words"), c["at"] + 1, F.size(c["window"])) == c["window"])
     checked = texts.withColumn("hits", hit)
-    matches = checked.select("row_id", F.explode("hits").alias("h")).select("row_id", "h.item_id", "h.begin", "h.at", F.size("h.window").alias("length"))
+    matches = checked.select("row_id", F.explode("hits").alias("h")).select("row_id", "h", F.explode("h.ids").alias("id")).select("row_id", "id.item_id", "h.begin", "h.at", F.size("h.window").alias("length"))
     return matches, checked
 
 
@@ -108,7 +117,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rar
 
     Words: A-Z lower-cased, runs of non-ASCII characters, letters and digits. A word inside any occurrence of a window is hit. A document
     is contaminated if n_hit > 0 and share * n_hit >= n_words. Null and empty texts have no words; items without words match nothing;
-    items with the same words all count; rows with one doc_id are each judged on their own text, a null doc_id included.
+    items with the same words all count; an item_id of several texts stands for all of them and counts once, and so does a null item_id, which
+    is not in the digest; rows with one doc_id are each judged on their own text, a null doc_id included.
     Without documents there are no rows, without items nothing is hit; other columns are passed on in `row` only.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
@@ -118,7 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rar
         named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("row_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     _, checked = _matches(named, benchmark, size, rarest, scratch)
     spots = F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + F.size(h["window"]) - 1)))
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string"))))
+    items = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("hits", lambda h: h["ids"])), lambda i: i["item_id"].cast("string"))))
     rest = ["row"] if whole_rows else []
     out = checked.select(F.col("row_id.doc_id").alias("doc_id"), F.size("words").cast("long").alias("n_words"), F.size(F.array_distinct(spots)).cast("long").alias("n_hit"), items.alias("items"), *rest)
     digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")

@@ -212,6 +212,17 @@ def test_decontamination(spark, odd):
     assert decontaminate.phrase_matches(spark.createDataFrame([(1, "say one two three")], "doc_id long, text string"), bench.where("item_id = 2")).collect()[0][:4] == (1, 2, 0, 1)
 
 
+def test_decontamination_of_repeated_and_null_items(spark):
+    a, b, c = (base_text(20, seed) for seed in (31, 32, 33))
+    bench = spark.createDataFrame([(0, a), (0, "zz " * 20), (0, b), (None, c), (None, "one two"), (7, a), (7, a)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"{b} one two"), (3, c), (None, "one two"), (5, "nothing")], "doc_id long, text string")
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    want = [(1, 22, 20, 2, sha("0,7"), True), (2, 22, 22, 2, sha("0"), True), (3, 20, 20, 1, sha(""), True), (None, 2, 2, 1, sha(""), True), (5, 1, 0, 0, sha(""), False)]
+    assert Counter(map(tuple, decontaminate.decontaminate(docs, bench).collect())) == Counter(want)
+    places = [(d, i, n, at + n, 13) for d, i, at in ((1, 0, 1), (1, 7, 1), (2, 0, 0), (3, None, 0)) for n in range(8)] + [(2, None, 0, 20, 2), (4, None, 0, 0, 2)]
+    assert Counter(map(tuple, decontaminate.phrase_matches(docs.fillna(4, ["doc_id"]), bench).collect())) == Counter(places)
+
+
 EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD, PHONE = r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
 
