@@ -22,6 +22,8 @@ from .common import Scratch, partitions_for, slices_by_bytes, utf8_parts
 from .words import U64, mix, ranges, stream
 
 BATCH_BYTES = 1_500_000
+#: Units that are anchored at a time; only a text of more bytes than a batch should have can be longer.
+PIECE = 1 << 21
 #: Contexts of one q-gram that one task compares; q-grams with more are keyed by whole windows.
 HOT = 1_000
 #: Units of contexts that are compared at a time.
@@ -83,11 +85,20 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(x) - w + 1], m[w - span : w - span + len(x) - w + 1])
 
 
+def overlapping(codes: np.ndarray, first: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(begin, codes, first unit of each text and the end) of pieces that overlap by size - 1 units: each window is in one piece."""
+    for begin in range(0, len(codes) - size + 1, PIECE - size + 1):
+        piece = codes[begin : begin + PIECE]
+        yield begin, piece, np.clip(first - begin, 0, len(piece))
+
+
 def anchor_runs(codes: np.ndarray, first: np.ndarray, size: int, q: int) -> tuple[np.ndarray, ...] | None:
     """(text, first start, number of starts, anchor, hash of its q-gram) of each run of starts with one anchor."""
     n = len(codes)
     if n < size:
         return None
+    if n >= 1 << 24:
+        raise ValueError("a piece has to have fewer than 2**24 units")
     places = np.arange(n + 1)
     roll = Rolling(codes, 11)
     h = roll.of(places[: n - q + 1], places[q : n + 1])
@@ -107,17 +118,18 @@ def anchor_runs(codes: np.ndarray, first: np.ndarray, size: int, q: int) -> tupl
 def find_anchors(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
-            codes, first, _ = units.split(*utf8_parts(batch.column("text")))
-            runs = anchor_runs(codes, first, units.size, units.q)
-            if runs is None:
-                continue
-            text, start, count, anchor, h = runs
-            end = start + count - 1 + units.size
-            offset = (anchor - start).astype(U64)
-            c1, c2 = (mix(Rolling(codes, seed).of(start, end) ^ mix(offset + U64(seed))) for seed in (12, 13))
-            ids, keys = batch.column("did").to_numpy()[text], batch.column("tk").to_numpy()[text]
-            columns = [h.view(np.int64), c1.view(np.int64), c2.view(np.int64), ids, keys, (start - first[text]).astype(np.int32), count.astype(np.int32), (anchor - start).astype(np.int32)]
-            yield pa.record_batch([pa.array(c) for c in columns], ["h", "c1", "c2", "did", "tk", "f", "len", "off"])
+            every, firsts, _ = units.split(*utf8_parts(batch.column("text")))
+            for begin, codes, first in overlapping(every, firsts, units.size):
+                runs = anchor_runs(codes, first, units.size, units.q)
+                if runs is None:
+                    continue
+                text, start, count, anchor, h = runs
+                end = start + count - 1 + units.size
+                offset = (anchor - start).astype(U64)
+                c1, c2 = (mix(Rolling(codes, seed).of(start, end) ^ mix(offset + U64(seed))) for seed in (12, 13))
+                ids, keys = batch.column("did").to_numpy()[text], batch.column("tk").to_numpy()[text]
+                columns = [h.view(np.int64), c1.view(np.int64), c2.view(np.int64), ids, keys, (begin + start - firsts[text]).astype(np.int32), count.astype(np.int32), (anchor - start).astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in columns], ["h", "c1", "c2", "did", "tk", "f", "len", "off"])
 
     return find
 

@@ -84,6 +84,20 @@ def test_suffix(odd, hot):
     assert Counter(map(tuple, suffix_dedup.suffix_dedup(odd, hot).collect())) == brute_bytes(odd_rows())
 
 
+@pytest.mark.parametrize("hot", [None, 1])
+def test_suffix_in_a_very_long_text(spark, hot):
+    tail, other = (bytes(np.random.default_rng(seed).integers(97, 123, 3000, np.uint8)).decode() for seed in (1, 2))
+    # the copies begin beyond 2**24 bytes, and one of them where two pieces meet
+    whole = np.random.default_rng(0).integers(97, 123, (1 << 24) + (1 << 20), np.uint8)
+    meet = 9 * (repeats.PIECE - suffix_dedup.WINDOW + 1) if hasattr(repeats, "PIECE") else (1 << 24) + (1 << 19)
+    whole = np.r_[whole, np.random.default_rng(3).integers(97, 123, max(0, meet + 5000 - len(whole)), np.uint8)]
+    whole[(1 << 24) + 50_000 : (1 << 24) + 53_000] = np.frombuffer(tail.encode(), np.uint8)
+    whole[meet - 1500 : meet + 1500] = np.frombuffer(other.encode(), np.uint8)
+    docs = spark.createDataFrame([(1, whole.tobytes().decode()), (2, f"-{tail}-"), (3, f"-{other}-")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(docs, hot).collect()}
+    assert got == {1: (6000, 2), 2: (3000, 1), 3: (3000, 1)}
+
+
 def brute_words(rows, size=50):
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
     least = {}
