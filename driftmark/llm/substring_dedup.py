@@ -1,9 +1,9 @@
-"""Substring dedup on words with prefix-partitioned suffix trees.
+"""Substring dedup on words with suffix trees of anchored windows.
 
-Suffixes are dealt to tasks by a sequence of words that they have in common; the sequence is as long as the number of suffixes
-with it demands (a fixed length, or the whole window where too many share that). A task builds the subtree of its
+Suffixes are dealt to tasks by the anchor of their window, 16 words somewhere in it (see repeats), not by prefixes. A task builds the tree of its
 suffixes from the top: a node is split by the next words, suffixes alone in a node are leaves, and internal nodes at the depth of a window
-are the repeats, with the smallest doc_id below them.
+are the repeats, with the smallest doc_id below them. Anchors whose runs of words are all equal, and those with too many different
+runs for a task, meet no tree: their repeats are found by grouping on hashes.
 """
 
 from __future__ import annotations
