@@ -19,14 +19,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; rows are told apart by doc_id and text."""
-    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), "text_sha256").distinct()
+    """Of equal texts one row stays, one with the largest doc_id; of several with that doc_id the one whose columns sort first."""
+    scratch = Scratch(spark, "exact-stage")
+    judged = exact_dedup(docs).groupBy(F.col("doc_id").alias("named"), "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marked = scratch.write(judged.where("not kept or n > 1"), "marked")
     digest = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (digest == gone["text_sha256"]), "left_anti")
+    same = docs["doc_id"].eqNullSafe(marked["named"]) & (digest == marked["text_sha256"])
+    single, several = docs.join(marked, same, "left_anti"), marked.where("kept")
+    if several.isEmpty():
+        return single
+    first = docs.join(several, same).groupBy("named", "text_sha256").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return single.unionByName(first.select("row.*"))
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    """One document of each group of near copies stays, the one with the smallest doc_id (a null one comes last)."""
     return one_of_each(docs)
 
 

@@ -389,10 +389,15 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scrat
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id names its component, with all columns; rows with a null doc_id stay.
+    """Of each component one row, with all columns: the one with the smallest doc_id, a null one last; ties go to the row whose columns sort first.
 
-    Of rows that repeat a doc_id all go if one of them does not name its component; else all stay.
+    Rows without words are no copies of each other and stay. Where a doc_id is null or repeated, rows are numbered in this order first.
     """
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
+    if not repeated.isEmpty():
+        order = [F.col("doc_id").asc_nulls_last(), "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+        rows = docs.orderBy(*order).select(F.monotonically_increasing_id().alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
+        return one_of_each(Scratch(docs.sparkSession, "numbered").write(rows, "rows"), k, percent).select("row.*")
     found, scratch = _components(docs, k, percent)
     gone = scratch.write(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

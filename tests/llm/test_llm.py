@@ -338,3 +338,18 @@ def test_exact_stage_on_odd_rows(odd):
         if d == max(same, default=None):
             want[d, t] += 1
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
+def test_dedup_stages_keep_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c = (base_text(120, seed) for seed in (41, 42, 43))
+    upper = re.sub("[a-z]", lambda m: m[0].upper(), b)
+    near = lambda t: t + " end"
+    rows = [(1, a, "y"), (1, a, "x"), (1, a, "x"), (None, b, "p"), (None, upper, "p"), (2, c, "q"), (2, near(c), "q"), (2, "other words here", "q"), (None, near(b), "p"), (None, "", "e"), (5, " ", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    exact = corpus_pipeline.exact(spark, docs, SF)
+    got = Counter(map(tuple, exact.collect()))
+    assert got == Counter([(1, a, "x"), (None, min(b, upper), "p"), *rows[5:]])
+    stay = Counter(map(tuple, corpus_pipeline.jaccard(spark, exact, SF).collect()))
+    assert exact.columns == docs.columns and stay == Counter([(1, a, "x"), (None, min(b, upper, near(b)), "p"), (2, c, "q"), (2, "other words here", "q"), (None, "", "e"), (5, " ", "e")])
