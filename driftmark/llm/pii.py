@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship_package
+from .words import U64, mix
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tags: 0 outside, 1 + 2k begin of kind k, 2 + 2k inside of kind k.
@@ -342,8 +343,18 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
+def training_windows(doc: int | None, text: str) -> list[int]:
+    """The windows of a text that may train: the SNIPPETS_PER_DOC with the least hash of doc_id and start."""
+    at = np.array(windows_of(text), np.int64)
+    key = mix(at.view(U64) ^ mix(np.array([doc or 0], np.int64).view(U64)))
+    return at[np.argsort(key, kind="stable")[:SNIPPETS_PER_DOC]].tolist()
+
+
 def train_pii(docs: DataFrame, snippets: int = TRAIN_SNIPPETS) -> Network | None:
-    """Train on at most `snippets` windows around triggers, labelled by the patterns, and on made-up spans among their words."""
+    """Train on at most `snippets` windows around triggers, labelled by the patterns, and on made-up spans among their words.
+
+    A text gives at most SNIPPETS_PER_DOC of its windows, chosen by hash, so that a long text does not outweigh others.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,7 +363,7 @@ def train_pii(docs: DataFrame, snippets: int = TRAIN_SNIPPETS) -> Network | None
                 if not text or not TRIGGER.search(text):
                     continue
                 spans = base_spans(text)
-                for at in windows_of(text)[:SNIPPETS_PER_DOC]:
+                for at in training_windows(doc, text):
                     inside = [(k, a - at, b - at) for k, a, b in spans if a >= at and b <= at + WINDOW]
                     if len(inside) == sum(a < at + WINDOW and b > at for _, a, b in spans):
                         for k, v in (("doc_id", doc), ("at", at), ("snippet", text[at : at + WINDOW]), ("spans", joined(inside))):

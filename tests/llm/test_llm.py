@@ -261,6 +261,15 @@ def test_pii(spark, odd):
         assert set(range(max(0, length - pii.MARGIN), length + 300 + pii.MARGIN)) <= seen
 
 
+def test_training_windows_come_from_whole_texts(spark, monkeypatch):
+    text = "".join(f"{'word ' * 60}{i:03d}7 " for i in range(40))
+    docs = spark.createDataFrame([(i, text) for i in range(30)] + [(None, text), (99, "call 1")], "doc_id long, text string")
+    monkeypatch.setattr(pii, "samples_of", lambda labelled: labelled)
+    monkeypatch.setattr(pii, "fit_network", lambda samples: samples)
+    found = [m[1] for s, _ in pii.train_pii(docs) for m in [re.search("([0-9]{3})7", s)] if m]
+    assert len(pii.train_pii(docs)) == 31 * pii.SNIPPETS_PER_DOC + 1 and max(map(int, found)) >= 30
+
+
 def test_network_learns():
     rng = random.Random(7)
     samples = pii.samples_of([(base_text(12, i)[:64], []) for i in range(150)])
