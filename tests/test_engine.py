@@ -162,3 +162,12 @@ def test_pipelines(spark):
     strength = pipelines.theme_strength(articles, periods, params).collect()
     assert len({r.theme for r in strength}) in (0, 4)
     assert pipelines.themes_of_long_period(articles, 2, 3, params).count() == 3
+
+
+def test_baum_welch_query_trains_until_the_thresholds_stop_it(spark):
+    from driftmark import queries
+
+    sf = "/root/testdata/sf0.001"
+    words = queries.event_stream(spark, sf).orderBy("pos").toPandas()["word_id"].to_numpy()
+    want = hmm.train_sequential(queries.event_model(), words, 1e-4, 1e-4).a
+    assert all(abs(r.p - want[r.i, r.j]) < 1e-6 for r in queries.baum_welch(spark, sf).collect())
