@@ -1,8 +1,9 @@
 """Exact token counts by prefix dynamic programming over byte-pair merges.
 
 For every prefix of a word the last token of its encoding is stored. It is the one token that ends there and whose pair with the
-last token of the shorter prefix encodes to just these two; the count is then one more than the shorter prefix's. Counts at
-every prefix answer questions on budgets and truncation without encoding again.
+last token of the shorter prefix encodes to just these two; the count is then one more than the shorter prefix's. The table of a word holds
+the count at each of its prefixes, a text's counts are sums of its words' tables, and these answer questions on budgets and
+truncation without encoding again.
 """
 
 from __future__ import annotations
@@ -19,16 +20,22 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship_package
-from .common import utf8_parts
+from .common import slices_by_bytes, utf8_parts
 
 #: Tokens up to which a document is within the limit.
 LIMIT = 2048
 #: Entries kept per cache and worker; a full cache is emptied, which costs time and changes nothing.
 CACHE = 400_000
+BATCH_BYTES = 4_000_000
 #: Below U+0250 (and without these exceptions) NFC changes nothing, lower() maps one character to one, and str.split() splits as \s does.
 UNSAFE = re.compile("[İ\x1c-\x1fɐ-\U0010ffff]")
 
 
+#: Characters that Unicode calls white space end a chunk.
+CHUNK = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+CLUSTER = regex.compile(r"\X")
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself, or the next free code point from 256 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -55,7 +62,7 @@ class PrefixCounter:
         self.library = Tokenizer.from_str(spec)
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.fits: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, int] = {}
+        self.tables: dict[str, list[int]] = {}
         self.chunks: dict[str, int] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -89,46 +96,36 @@ class PrefixCounter:
             found = self.fits[key] = self.merged([s for t in want for s in self.symbols(t)]) == want
         return found
 
-    def table(self, word: str) -> tuple[list[int], list[int]]:
-        """(inner, whole): tokens of each prefix as the begin of a longer word, and as a word of its own. Index 0 is the empty prefix."""
-        n = len(word)
-        last, inner, whole = [""] + [""] * n, [0] * (n + 1), [0] * (n + 1)
+    def filled(self, word: str) -> list[int]:
+        """Tokens of each prefix of a word (in the byte alphabet) as a word of its own; the first is the empty one."""
+        n, vocab, fits, longest = len(word), self.vocab, self.pair_fits, self.longest
+        # last token and count of each prefix as the begin of a longer word; some bytes are no token's begin, then there is none
+        last, inner, whole = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for length in range(min(i, self.longest), 0, -1):
-                token = word[i - length : i]
-                if token in self.vocab and (i == length or last[i - length]) and self.pair_fits(last[i - length], token):
-                    last[i], inner[i] = token, inner[i - length] + 1
+            for begin in range(max(0, i - longest), i):
+                token = word[begin:i]
+                if token in vocab and (not begin or last[begin]) and fits(last[begin], token):
+                    last[i], inner[i] = token, inner[begin] + 1
                     break
-            for length in range(min(i, self.longest), 0, -1):
-                token = word[i - length : i] + self.end
-                if token in self.vocab and (i == length or last[i - length]) and self.pair_fits(last[i - length], token):
-                    whole[i] = inner[i - length] + 1
+            for begin in range(max(0, i - longest), i):
+                token = word[begin:i] + self.end
+                if token in vocab and (not begin or last[begin]) and fits(last[begin], token):
+                    whole[i] = inner[begin] + 1
                     break
-        return inner, whole
+        return whole
 
-    def word(self, word: str) -> int:
-        found = self.words.get(word)
+    def table(self, word: str) -> list[int]:
+        found = self.tables.get(word)
         if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            # very long words would nest too deep
-            found = self.words[word] = self._ends(word, len(word), self.end, {0: ("", 0)})[1] if len(word) <= 200 else self.table(word)[1][-1]
+            found = self.filled(word)
+            if len(word) <= 200:
+                if len(self.tables) >= CACHE:
+                    self.tables.clear()
+                self.tables[word] = found
         return found
 
-    def _ends(self, word: str, i: int, end: str, known: dict[int, tuple[str, int]]) -> tuple[str, int]:
-        """(last token, count) of the prefix of length i; known is filled with the shorter prefixes that are asked for, ("", -1) where none fits."""
-        vocab, fits = self.vocab, self.fits
-        for begin in range(max(0, i - self.longest), i):
-            token = word[begin:i] + end
-            if token in vocab:
-                before = known.get(begin)
-                if before is None:
-                    before = known[begin] = self._ends(word, begin, "", known)
-                if before[1] >= 0:
-                    ok = fits.get((before[0], token))
-                    if self.pair_fits(before[0], token) if ok is None else ok:
-                        return token, before[1] + 1
-        return "", -1
+    def word(self, word: str) -> int:
+        return self.table(word)[-1]
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text without special strings, in the byte alphabet."""
@@ -167,32 +164,90 @@ class PrefixCounter:
                     total += self.chunk(piece) if n is None else n
         return total
 
-    def prefix_counts(self, text: str) -> np.ndarray:
-        """Tokens of text[:i] for i from 0 to len(text), without encoding again for each i; special strings are not allowed here.
+    def split_text(self, text: str) -> Iterator[tuple[int, int, bool]]:
+        """(begin, end, special) of a text's special strings and of the chunks without white space between them."""
+        at = 0
+        for m in [*(self.special_pattern.finditer(text) if "<" in text else ()), None]:
+            for c in CHUNK.finditer(text, at, m.start() if m else len(text)):
+                yield *c.span(), False
+            if m:
+                yield *m.span(), True
+                at = m.end()
+
+    def inside(self, chunk: str) -> list[int]:
+        """Tokens of chunk[:i] for i from 0 to len(chunk); special strings count as text."""
+        if UNSAFE.search(chunk):
+            normalise, clusters = self.library.normalizer.normalize_str, CLUSTER.findall(chunk)
+            parts = [normalise(c) for c in clusters]
+            if (whole := normalise(chunk)) != "".join(parts):
+                return [0, *(self.plain(chunk[:i]) for i in range(1, len(chunk) + 1))]
+            pieces = [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(whole)]
+        else:
+            whole, clusters = chunk.lower(), list(chunk)
+            parts, pieces = list(whole), [m.span() for m in self.split.finditer(whole)]
+        # counts at each place of the normalised chunk
+        counts, before, starts = [0] * (len(whole) + 1), 0, [0] * (len(whole) + 1)
+        for begin, end in pieces:
+            piece = whole[begin:end]
+            table = self.table(self.as_bytes(piece))
+            sizes = itertools.accumulate(len(c.encode()) for c in piece)
+            for i, size in enumerate(sizes, 1):
+                cut = piece[:i]
+                # a contraction ('re, 've, 'll) that is cut is no longer one
+                short = i < len(piece) <= 3 and piece[0] == "'" and piece[1] in "rvl"
+                counts[begin + i] = before + (sum(self.word(self.as_bytes(p)) for p in self.split.findall(cut)) if short else table[size])
+                starts[begin + i] = begin if i < len(piece) else end
+            before = counts[end]
+        out, at = [0], 0
+        for cluster, part in zip(clusters, parts, strict=True):
+            for i in range(1, len(cluster)):
+                # within a cluster, what follows could change what stands before
+                begin = starts[at]
+                out.append(counts[begin] + self.plain(whole[begin:at] + cluster[:i]))
+            at += len(part)
+            out.append(counts[at])
+        return out
 
-        Texts with characters from U+0250 on change length when normalised and are refused.
-        """
-        if UNSAFE.search(text) or self.special_pattern.search(text):
-            raise ValueError("prefixes are defined for texts below U+0250 without special strings")
-        out, lowered, before, at = np.zeros(len(text) + 1, np.int64), text.lower(), 0, 0
-        for m in self.split.finditer(lowered):
-            out[at : m.start() + 1] = before
-            sizes = [0, *itertools.accumulate(len(c.encode()) for c in m[0])]
-            whole = self.table(self.as_bytes(m[0]))[1]
-            for i in range(1, len(m[0]) + 1):
-                out[m.start() + i] = before + whole[sizes[i]]
-            # the split of a prefix can differ from the whole's where it cuts a contraction ('re, 've, 'll)
-            for i in range(1, len(m[0])):
-                cut = self.split.findall(m[0][:i])
-                if cut != [m[0][:i]]:
-                    out[m.start() + i] = before + sum(self.word(self.as_bytes(p)) for p in cut)
-            before, at = before + whole[-1], m.end()
+    def plain(self, text: str) -> int:
+        """Tokens of a text in which special strings count as text."""
+        return sum(map(self.word, self.pieces(text)))
+
+    def prefix_counts(self, text: str) -> np.ndarray:
+        """Tokens of text[:i] for i from 0 to len(text), for any text; a special string is one token from its last character on."""
+        out, before, at = np.zeros(len(text) + 1, np.int64), 0, 0
+        chunk = (0, 0)  # where the last chunk begins, and the count before it
+        for begin, end, special in self.split_text(text):
+            out[at : begin + 1] = before
+            if special:
+                # until its end a special string is text that goes on from the chunk before it
+                first, less = chunk if at == begin else (begin, before)
+                own = [before, *(less + self.plain(text[first:i]) for i in range(begin + 1, end)), before + 1]
+            else:
+                own, chunk = before + np.array(self.inside(text[begin:end])), (begin, before)
+            out[begin : end + 1] = own
+            before, at = int(out[end]), end
+            if special:
+                chunk = (end, before)
         out[at:] = before
         return out
 
-    def truncate(self, text: str, budget: int) -> str:
-        """The longest prefix of at most `budget` tokens."""
-        return text[: int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])]
+    def truncate(self, text: str, budget: int) -> int:
+        """Characters of the longest prefix of at most `budget` tokens.
+
+        Counts at the ends of chunks never fall, so only the first chunk that ends beyond the budget is looked into.
+        """
+        before, spans = 0, [*self.split_text(text)]
+        for i, (begin, end, special) in enumerate(spans):
+            n = 1 if special else self.chunk(text[begin:end])
+            if before + n > budget:
+                # a chunk and the special string right after it are looked into together
+                if special and i and spans[i - 1][1] == begin and not spans[i - 1][2]:
+                    begin, before = spans[i - 1][0], before - self.chunk(text[spans[i - 1][0] : begin])
+                elif not special and i + 1 < len(spans) and spans[i + 1][0] == end and spans[i + 1][2]:
+                    end = spans[i + 1][1]
+                return begin + max(j for j, c in enumerate(self.prefix_counts(text[begin:end])) if before + c <= budget)
+            before += n
+        return len(text)
 
 
 _counters: dict[int, PrefixCounter] = {}
@@ -208,7 +263,8 @@ def counter(spec: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
+    """One row per document: doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens), limit_chars (code points of the text's longest
+    prefix of at most `limit` tokens).
 
     A null text counts as empty and has 0 tokens; rows are counted one by one, so repeated rows, ties and a null doc_id are no matter; an
     empty table gives no rows; other columns are not read. The vocabulary file (about 1 MB) is read on the driver and sent to each executor once.
@@ -220,9 +276,11 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT) -> D
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(sent.value)
-        for batch in batches:
+        for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
             sizes = np.diff(utf8_parts(batch.column("text"))[1])
-            n = np.fromiter((own.count(t.as_py() or "") for t in batch.column("text")), np.int64, batch.num_rows)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            n = np.array([own.count(t) for t in texts], np.int64)
+            fits = [own.truncate(t, limit) if k > limit else len(t) for t, k in zip(texts, n, strict=True)]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes), pa.array(n), pa.array(n > limit), pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
 
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
