@@ -26,11 +26,13 @@ class Params:
     total_variation: bool = False
     output: str = "graph.dot"
     max_pen_width: float = 3.0
+    #: Begin (yyyy-MM-dd) of the frame whose words the HMM reads; none: all. Its length is hmm_days.
     hmm_start: str | None = None
     hmm_days: int = 20
     block_size: int = 65536
     viterbi_block_size: int = 131072
-    force_sequential: bool = True
+    # the published default is true, which gathers the whole stream on the driver
+    force_sequential: bool = False
     pi_threshold: float = 0.01
     a_threshold: float = 0.01
     max_iterations: int = 50

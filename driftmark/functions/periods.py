@@ -26,6 +26,20 @@ def englobing(periods: DataFrame) -> DataFrame:
     return periods.agg(F.min("p_from").alias("p_from"), F.max("p_to").alias("p_to"))
 
 
+def bounds(periods: DataFrame) -> tuple[dt.datetime, dt.datetime]:
+    """Begin of the first and end of the last period."""
+    row = englobing(periods).first()
+    return row.p_from, row.p_to
+
+
+def only(periods: DataFrame) -> tuple[dt.datetime, dt.datetime]:
+    """Begin and end of a single period; any other number of periods is an error."""
+    rows = periods.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("exactly one period is needed")
+    return rows[0].p_from, rows[0].p_to
+
+
 def contains(outer: tuple[dt.datetime, dt.datetime], inner: tuple[dt.datetime, dt.datetime]) -> bool:
     return outer[0] <= inner[0] and outer[1] >= inner[1]
 

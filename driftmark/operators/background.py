@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import running_total
+
 
 def word_counts(tokenized: DataFrame) -> DataFrame:
     return tokenized.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
@@ -23,7 +25,5 @@ def count_histogram(tokenized: DataFrame, least: int = 1, most: int = 49) -> Dat
 
 
 def lexicon(background: DataFrame) -> DataFrame:
-    """(word, word_id, p): ids by the order of words. The vocabulary is what min_count leaves, small enough for one sort."""
-    from pyspark.sql import Window
-
-    return background.select("word", (F.row_number().over(Window.orderBy("word")) - 1).cast("long").alias("word_id"), "p")
+    """(word, word_id, p): ids by the order of words."""
+    return running_total(background.select("word", "p"), ["word"], F.lit(1), "word_id").select("word", "word_id", "p")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import settle
+
 
 def _log(p: Column, q: Column, log_max: float) -> Column:
     return F.greatest(F.lit(-log_max), F.least(F.lit(log_max), F.ln(p / q)))
@@ -54,6 +56,14 @@ def edges(links: DataFrame, themes: DataFrame, begin=None, end=None, max_pen_wid
     return links.crossJoin(F.broadcast(bounds)).select("src", "dst", "divergence", (0.2 + share * max_pen_width).alias("pen_width"))
 
 
+def edge_report(edge_rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(src, dst, line): both ends of each link by their labels, and the divergence."""
+    end = lambda c: labels.select(F.col("theme_id").alias(c), F.trim("label").alias(f"{c}_label"))
+    named = edge_rows.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    name = lambda c: F.concat(F.lit("["), F.coalesce(f"{c}_label", F.lit("")), F.lit("]"))
+    return named.select("src", "dst", F.concat(name("src"), F.lit(" -> "), name("dst"), F.lit(" : "), F.format_number("divergence", 4)).alias("line"))
+
+
 def dot_lines(themes: DataFrame, labels: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """(part, line) of a GraphViz file: dates as a spine, themes of a date on one rank, edges with their width. Sort by both and write as text."""
     day = F.date_format("p_from", "yyyy-MM-dd")
@@ -69,28 +79,31 @@ def dot_lines(themes: DataFrame, labels: DataFrame, edge_rows: DataFrame) -> Dat
 
 def reachable(edge_rows: DataFrame, start: int) -> DataFrame:
     """(theme_id, step): all themes that links lead to from one, with the fewest links. Links go on in time, so it ends."""
-    links = edge_rows.select("src", "dst").distinct().cache()
+    links = settle(edge_rows.select("src", "dst").distinct(), "links")
     found = links.sparkSession.createDataFrame([(start, 0)], "theme_id long, step int")
     step = 0
     while True:
         step += 1
         front = found.where(F.col("step") == step - 1)
-        new = front.join(links, front["theme_id"] == links["src"]).select(F.col("dst").alias("theme_id")).distinct().join(found, "theme_id", "left_anti").withColumn("step", F.lit(step)).cache()
+        new = front.join(links, front["theme_id"] == links["src"]).select(F.col("dst").alias("theme_id")).distinct().join(found, "theme_id", "left_anti").withColumn("step", F.lit(step))
+        new = settle(new, "step")
         if new.isEmpty():
             return found
-        found = found.unionByName(new).cache()
+        found = found.unionByName(new)
 
 
 def components(edge_rows: DataFrame) -> DataFrame:
     """(theme_id, component): the least theme that links connect, whatever their direction. Themes are few; labels spread by joins until none changes."""
-    both = edge_rows.select("src", "dst").union(edge_rows.select("dst", "src")).distinct().cache()
-    labels = both.select(F.col("src").alias("theme_id"), F.col("src").alias("component")).distinct().cache()
+    both = edge_rows.select("src", "dst").union(edge_rows.select("dst", "src")).distinct()
+    both = settle(both, "links")
+    labels = both.select(F.col("src").alias("theme_id"), F.col("src").alias("component")).distinct()
     while True:
         near = both.join(labels, both["dst"] == labels["theme_id"]).groupBy("src").agg(F.min("component").alias("near"))
-        new = labels.join(near, labels["theme_id"] == near["src"]).select("theme_id", F.least("component", "near").alias("component")).cache()
-        if new.exceptAll(labels).isEmpty():
-            return new
-        labels = new
+        spread = labels.join(near, labels["theme_id"] == near["src"]).select("theme_id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        new = settle(spread, "labels")
+        labels = new.select("theme_id", "component")
+        if new.where("old <> component").isEmpty():
+            return labels
 
 
 def trans_collection_themes(edge_rows: DataFrame, theme_words: DataFrame) -> DataFrame:

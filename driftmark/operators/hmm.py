@@ -45,6 +45,8 @@ def star(k: int, b: np.ndarray) -> Hmm:
 def emissions(lexicon: DataFrame, theme_words: DataFrame, themes: list[int]) -> np.ndarray:
     """Row 0: background; row 1 + i: theme i. Words that are not in the lexicon are left out. N x M numbers: the model's size, for the driver."""
     words = lexicon.select("word_id", "p").toPandas()
+    if words.empty:
+        return np.zeros((len(themes) + 1, 0))
     b = np.zeros((len(themes) + 1, int(words["word_id"].max()) + 1))
     b[0, words["word_id"]] = words["p"]
     place = {t: i + 1 for i, t in enumerate(themes)}
@@ -112,15 +114,15 @@ def _matrices(rows: DataFrame, n: int) -> tuple[list[int], list[np.ndarray]]:
     return [r.block for r in found], [np.array(r.m).reshape(n, n) for r in found]
 
 
-def train(stream: DataFrame, model: Hmm, block: int = 65536, pi_threshold: float = 0.01, a_threshold: float = 0.01, max_iterations: int = 50, sequential_below: float = 1e6) -> Hmm:
-    """Baum-Welch with fixed emissions; streams with fewer than sequential_below / N**2 words go to the driver."""
+def train(stream: DataFrame, model: Hmm, block: int = 65536, pi_threshold: float = 0.01, a_threshold: float = 0.01, max_iterations: int = 50, sequential_below: float = 1e6, force_sequential: bool = False) -> Hmm:
+    """Baum-Welch with fixed emissions; streams with fewer than sequential_below / N**2 words go to the driver, with force_sequential any stream does."""
     spark: SparkSession = stream.sparkSession
     ship_package(spark)
     n = model.n
     length = stream.count()
     if length == 0:
         return model
-    if length * n * n <= sequential_below:
+    if force_sequential or length * n * n <= sequential_below:
         return train_sequential(model, stream.orderBy("pos").toPandas()["word_id"].to_numpy(), pi_threshold, a_threshold, max_iterations)
     stream = stream.persist()
     for _ in range(max_iterations):

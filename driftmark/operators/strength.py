@@ -21,6 +21,12 @@ def zero_fill(strengths: DataFrame, k: int) -> DataFrame:
     return grid.join(strengths, ["ts", "theme"], "left").select("ts", "theme", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def listed(strengths: DataFrame) -> DataFrame:
+    """(theme, points): each theme's (strength, ts) in the order of ts, as it is written for a display."""
+    rows = strengths.groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("ts", "n"))).alias("r"))
+    return rows.select("theme", F.transform("r", lambda x: F.struct(x["n"].alias("strength"), x["ts"].alias("ts"))).alias("points"))
+
+
 def matrix(strengths: DataFrame, k: int) -> DataFrame:
     """One row per theme with its strengths in the order of ts."""
     rows = zero_fill(strengths, k).groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("ts", "n"))).alias("r"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import running_total
 from ..functions.periods import assign
 
 
@@ -23,18 +24,22 @@ def articles_per_period(articles: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def period_chunks(articles: DataFrame, n: int) -> DataFrame:
-    """(article_id, chunk): n chunks of nearly equal size in the order of article_id, without loss."""
-    return articles.select("article_id", F.ntile(n).over(Window.orderBy("article_id")).alias("chunk"))
+    """(article_id, chunk): n chunks of nearly equal size in the order of article_id, without loss; the first ones have one more where it doesn't come out even."""
+    ranked = running_total(articles.select("article_id"), ["article_id"], F.lit(1), "rank")
+    size, more = divmod(articles.count(), n)
+    # the first `more` chunks have size + 1 articles
+    late = more + 1 + F.floor((F.col("rank") - more * (size + 1)) / max(size, 1))
+    chunk = F.when(F.col("rank") < more * (size + 1), 1 + F.floor(F.col("rank") / (size + 1))).otherwise(late)
+    return ranked.select("article_id", chunk.cast("int").alias("chunk"))
 
 
 def word_stream(tokenized: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(pos, word_id, ts): known words in the order of dates, articles and offsets.
 
-    Only the list of articles and their sizes is ordered as a whole; a word's place is its article's offset plus its rank in the article.
+    Articles are ordered by ranges (see running_total); a word's place is its article's offset plus its rank in the article.
     """
     known = tokenized.select("article_id", "issue_ts", F.posexplode("words").alias("offset", "word")).join(lexicon.select("word", "word_id"), "word")
     sizes = known.groupBy("article_id", "issue_ts").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("issue_ts", "article_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("article_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = running_total(sizes, ["issue_ts", "article_id"], F.col("n"), "before").select("article_id", F.col("before").alias("start"))
     rank = F.row_number().over(Window.partitionBy("article_id").orderBy("offset")) - 1
     return known.join(starts, "article_id").select((F.col("start") + rank).alias("pos"), "word_id", F.col("issue_ts").alias("ts"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Params
+from ..functions import periods as P
 from ..functions.text import tokenize
 from ..operators import background, em, graph, hmm, strength, terms
 from ..sources.articles import select_articles
@@ -40,8 +42,11 @@ def evolution_graph(articles: DataFrame, periods: DataFrame, params: Params) ->
     return graph.edges(links, fitted.themes, max_pen_width=params.max_pen_width)
 
 
-def themes_of_long_period(articles: DataFrame, chunks: int, k: int, params: Params) -> DataFrame:
-    """The k best themes (of all runs) of one long period that is split in chunks."""
+def themes_of_long_period(articles: DataFrame, chunks: int, k: int, params: Params, periods: DataFrame | None = None) -> DataFrame:
+    """The k best themes (of all runs) of one long period that is split in chunks. periods: that one period (none: all articles); several are an error."""
+    if periods is not None:
+        begin, end = P.only(periods)
+        articles = select_articles(articles, begin, end)
     tokens = tokenize(select_articles(articles, max_page=params.max_page))
     model = background.background_model(tokens, params.min_count)
     whole = articles.sparkSession.sql("SELECT 0 AS period_id, TIMESTAMP '0001-01-02' AS p_from, TIMESTAMP '9999-01-01' AS p_to")
@@ -52,14 +57,33 @@ def themes_of_long_period(articles: DataFrame, chunks: int, k: int, params: Para
     return scores.orderBy(F.desc("score"), "period_id", "run", "theme").limit(k)
 
 
-def theme_strength(articles: DataFrame, periods: DataFrame, params: Params) -> DataFrame:
-    """(ts, theme, n) of the themes of the periods over the whole stream of articles, zero-filled."""
+def hmm_frame(params: Params) -> tuple[dt.datetime, dt.datetime] | None:
+    """The frame whose words the HMM reads: hmm_days from hmm_start on."""
+    if params.hmm_start is None:
+        return None
+    begin = dt.datetime.fromisoformat(params.hmm_start)
+    return begin, begin + dt.timedelta(days=params.hmm_days)
+
+
+def theme_strength(articles: DataFrame, periods: DataFrame, params: Params, frame: tuple[dt.datetime, dt.datetime] | None = None) -> DataFrame:
+    """(ts, theme, n) of the themes of the periods over the stream of articles, zero-filled.
+
+    frame: begin and end of the articles of the background model (none: all). The periods, and the frame of the HMM if
+    params name one, have to lie inside it. No kept theme or no known word gives no rows.
+    """
+    own = hmm_frame(params)
+    if frame is not None:
+        P.require_inside(frame, P.bounds(periods), "the periods")
+        if own is not None:
+            P.require_inside(frame, own, "the frame of the HMM")
+        articles = select_articles(articles, *frame)
     fitted = fit_themes(articles, periods, params)
     tokens = tokenize(select_articles(articles, max_page=params.max_page))
     words = background.lexicon(background.background_model(tokens, params.min_count)).persist()
-    stream = terms.word_stream(tokens, words).persist()
+    seen = tokens if own is None else tokens.where((F.col("issue_ts") > F.lit(own[0])) & (F.col("issue_ts") < F.lit(own[1])))
+    stream = terms.word_stream(seen, words).persist()
     ids = [r.theme_id for r in fitted.themes.select("theme_id").orderBy("theme_id").collect()]
     model = hmm.star(len(ids), hmm.emissions(words, fitted.words, ids))
-    trained = hmm.train(stream, model, params.block_size, params.pi_threshold, params.a_threshold, params.max_iterations)
+    trained = hmm.train(stream, model, params.block_size, params.pi_threshold, params.a_threshold, params.max_iterations, force_sequential=params.force_sequential)
     decoded = hmm.decode(stream, trained, params.viterbi_block_size).join(stream, "pos").select("ts", "state")
     return strength.zero_fill(strength.strength_by_ts(decoded), len(ids))

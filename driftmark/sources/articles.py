@@ -43,6 +43,13 @@ def read_article_xml(spark: SparkSession, folders: list[str], begin: dt.datetime
     return select_articles(built.dropna().where(F.col("full_text") != ""), begin, end, max_page)
 
 
+def write_article_xml(articles: DataFrame, path: str) -> None:
+    """Articles as XML files that read_article_xml reads, one entity each; path stands for one year's file."""
+    meta = F.struct(F.col("article_id").cast("string").alias("id"), F.col("title").alias("name"), "page_no", F.col("stream").alias("publication"), F.date_format("issue_ts", "dd/MM/yyyy").alias("issue_date"))
+    rows = articles.select(F.array(F.struct("full_text", meta.alias("meta"))).alias("entity"))
+    rows.write.format("xml").option("rowTag", "article").option("rootTag", "articles").save(path)
+
+
 def select_articles(articles: DataFrame, begin: dt.datetime | None = None, end: dt.datetime | None = None, max_page: int | None = None) -> DataFrame:
     """Known streams, strictly inside the period, up to a page."""
     out = articles.where(F.col("stream").isin(*STREAMS))
