@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .config import Params
 from .functions import periods as P
-from .functions.text import tokenize
+from .functions.text import tokenize, words
 from .operators import background, em, graph, hmm, strength, terms, themes
 from .plans import pipelines
 from .sources import catalog
+from .shared import shared_path
+from .sources import articles as article_files
 from .sources.articles import articles_from_documents, select_articles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -218,6 +220,23 @@ def word_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.word_stream(tok, background.lexicon(background.background_model(tok)))
 
 
+@query(f"""WITH {MODEL}, lex AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS word_id FROM bg
+), each AS (SELECT article_id, issue_ts, unnest(words) AS word, unnest(generate_series(1, len(words))) AS o FROM tok)
+SELECT row_number() OVER (ORDER BY issue_ts, article_id, o) - 1 AS pos, word_id FROM each JOIN lex USING (word) ORDER BY issue_ts, article_id, o LIMIT 50""")
+def stream_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 words of the stream, for a look."""
+    return word_stream(spark, sf_dir).orderBy("pos").limit(50).select("pos", "word_id")
+
+
+@query(f"WITH {TOKENS} SELECT CAST(a.article_id AS VARCHAR) AS article_id, title, stream, a.page_no, a.issue_ts, array_to_string(words, ' ') AS full_text FROM alltok t JOIN articles a USING (article_id) WHERE a.page_no <= 3 AND len(words) > 0 AND a.issue_ts > TIMESTAMP '2023-12-31' AND a.issue_ts < TIMESTAMP '2024-02-20'")
+def xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All articles, their words as text, written as XML and read again from year files, of which one year has none."""
+    folder = shared_path(spark, "xml")
+    rows = articles(spark, sf_dir).withColumn("full_text", F.array_join(words(F.col("full_text")), " "))
+    article_files.write_article_xml(rows, f"{folder}/articles2024.xml")
+    return article_files.read_article_xml(spark, [folder], dt.datetime(2023, 12, 31), dt.datetime(2024, 2, 20), PARAMS.max_page)
+
+
 @query(f"WITH {INIT} SELECT period_id, word, CAST(theme AS INTEGER) AS theme, round(p, 12) AS p FROM tw0 WHERE run = 0")
 def theme_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     return em.init_themes(model_terms(spark, sf_dir)[1], K).withColumn("p", F.round("p", 12))
@@ -230,17 +249,11 @@ def em_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return post.select("period_id", "doc_id", "word", F.posexplode("z").alias("theme", "z"), "z_b").select("period_id", "doc_id", "word", "theme", F.round("z", 8).alias("z"), F.round("z_b", 8).alias("z_b"))
 
 
-def two_steps(model: DataFrame, rows: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
-    state = em.start_state(rows, K, run)
-    for _ in range(2):
-        state = em.em_step(rows, model, *state, LAM, K)
-    return state
-
-
 @query(f"WITH {INIT}{step_sql(0)}{step_sql(1)} SELECT period_id, word, CAST(theme AS INTEGER) AS theme, round(p, 8) AS p FROM tw2 WHERE run = 0")
 def em_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = two_steps(*model_terms(spark, sf_dir), 0)[1]
-    return words.select("period_id", "word", F.posexplode("pw").alias("theme", "p")).withColumn("p", F.round("p", 8))
+    model, rows = model_terms(spark, sf_dir)
+    fitted = em.extract_themes(rows, model, K, LAM, 1, 2).where("kind = 'word'")
+    return fitted.select("period_id", "word", "theme", F.round("p", 8).alias("p"))
 
 
 def likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,6 +318,17 @@ def top_k_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return themes.top_k(simple_themes(spark, sf_dir)[1].groupBy("theme_id").agg(F.round(F.max("p"), 9).alias("score")), 10)
 
 
+@query(f"""WITH {TOKENS}{THEMES[len(TOKENS):]}, pd AS (
+  SELECT period_id * 10 + list_position(['de', 'en', 'es', 'fr'], lang) AS theme_id, article_id, 'doc-' || article_id AS title, round(len(list_filter(words, lambda w: length(w) <= 3)) / greatest(len(words), 1), 9) AS pi
+  FROM alltok JOIN weeks ON issue_ts > p_from AND issue_ts < p_to WHERE list_position(['de', 'en', 'es', 'fr'], lang) > 0
+), t AS (SELECT theme_id, list(title ORDER BY r) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY pi DESC, article_id) AS r FROM pd) WHERE r <= 3 GROUP BY theme_id
+), w AS (SELECT theme_id, list(word ORDER BY r) AS words FROM (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY p DESC, word) AS r FROM tw WHERE length(word) >= 4) WHERE r <= 13 GROUP BY theme_id)
+SELECT theme_id, score, titles, words FROM (SELECT theme_id, round(max(p), 9) AS score FROM tw GROUP BY theme_id) LEFT JOIN t USING (theme_id) LEFT JOIN w USING (theme_id)""")
+def theme_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    theme_words = simple_themes(spark, sf_dir)[1]
+    return themes.report(theme_words.groupBy("theme_id").agg(F.round(F.max("p"), 9).alias("score")), theme_words, pi_docs(spark, sf_dir))
+
+
 @query(f"WITH {THEMES} SELECT theme_id, word, round(p, 9) AS p FROM tw WHERE word IN ('the', 'der', 'les')")
 def target_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return themes.target_words(simple_themes(spark, sf_dir)[1], ["the", "der", "les"]).withColumn("p", F.round("p", 9))
@@ -346,7 +370,10 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_edges(*simple_themes(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {LABELS}{link_sql('kl')}{WINDOW_EDGES} SELECT 0 AS part, 'digraph evolution {{' AS line UNION ALL SELECT 9, '}}'
+UNION ALL SELECT 1, string_agg(d, ' -> ' ORDER BY d) || ';' FROM (SELECT DISTINCT '"' || strftime(p_from, '%Y-%m-%d') || '"' AS d FROM theme)
+UNION ALL SELECT 2, '{{rank=same; "' || strftime(p_from, '%Y-%m-%d') || '"; t' || theme_id || ' [label="' || label || '"];}}' FROM theme JOIN labels USING (theme_id)
+UNION ALL SELECT 3, 't' || src || ' -> t' || dst || ' [penwidth=' || pen_width || '];' FROM edges""")
 def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, words = simple_themes(spark, sf_dir)
     return graph.dot_lines(found, themes.labels(words), window_edges(found, words))
@@ -358,11 +385,22 @@ def graph_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(links, 1).select("theme_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {THEMES}{link_sql('tv')}, both_ AS (SELECT src AS x, dst AS y FROM links WHERE divergence < 0.5 UNION SELECT dst, src FROM links WHERE divergence < 0.5
+), reach AS (SELECT x, y FROM both_ UNION SELECT r.x, b.y FROM reach r JOIN both_ b ON r.y = b.x
+), member AS (SELECT x AS theme_id, min(least(x, y)) AS component FROM reach GROUP BY x
+), size AS (SELECT component, count(*) AS n FROM member GROUP BY component)
+SELECT CAST(component AS BIGINT) AS component, word, round(sum(p / n), 9) AS p FROM tw JOIN member USING (theme_id) JOIN size USING (component) GROUP BY component, word""")
 def trans_collection_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, words = simple_themes(spark, sf_dir)
     words = words.cache()
-    return graph.trans_collection_themes(graph.transitions(found, words, metric="tv", threshold=0.5, digits=6).cache(), words)
+    return graph.trans_collection_themes(graph.transitions(found, words, metric="tv", threshold=0.5, digits=6).cache(), words).withColumn("p", F.round("p", 9))
+
+
+@query(f"""WITH {LABELS}{link_sql('kl')}{WINDOW_EDGES}, named AS (SELECT theme_id, trim(label) AS label FROM labels)
+SELECT src, dst, '[' || coalesce(a.label, '') || '] -> [' || coalesce(b.label, '') || '] : ' || printf('%.4f', divergence) AS line FROM edges LEFT JOIN named a ON a.theme_id = src LEFT JOIN named b ON b.theme_id = dst""")
+def edge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, words = simple_themes(spark, sf_dir)
+    return graph.edge_report(window_edges(found, words), themes.labels(words))
 
 
 @query("""SELECT s_suppkey AS point_id, n_nationkey AS target_id, d AS dist2 FROM (
@@ -380,18 +418,74 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.col("event_id").alias("pos"), F.greatest(F.array_position(kinds, F.col("event_type")) - 1, F.lit(0)).cast("long").alias("word_id"))
 
 
+#: Emissions of the events' model: background, and two themes. No two paths have the same score.
+EMITS = [[0.21, 0.19, 0.22, 0.18, 0.2], [0.61, 0.13, 0.07, 0.11, 0.08], [0.041, 0.053, 0.103, 0.197, 0.606]]
+
+
 def event_model() -> hmm.Hmm:
     import numpy as np
 
-    b = np.array([[0.2, 0.2, 0.2, 0.2, 0.2], [0.6, 0.1, 0.1, 0.1, 0.1], [0.05, 0.05, 0.1, 0.2, 0.6]])
-    return hmm.star(2, b)
+    return hmm.star(2, np.array(EMITS))
 
 
-@query()
+STAR = [[0.5, 1 / 6, 1 / 6], [0.5, 0.5, 0.0], [0.5, 0.0, 0.5]]
+OBS = """obs AS (
+  SELECT event_id AS pos, row_number() OVER (ORDER BY event_id) AS t, CASE event_type WHEN 'purchase' THEN 2 WHEN 'scroll' THEN 3 WHEN 'signup' THEN 4 WHEN 'view' THEN 5 ELSE 1 END AS w FROM events
+)"""
+
+
+def listed(values: list) -> str:
+    return "[" + ", ".join(listed(v) if isinstance(v, list) else repr(v) for v in values) + "]"
+
+
+def hmm_row(c: str) -> str:
+    """What each state emits at the word w, from a list of lists."""
+    return f"[{c}[1][w], {c}[2][w], {c}[3][w]]"
+
+
+def sums(f: Callable[[int], str]) -> str:
+    return "[" + ", ".join(f(j) for j in (1, 2, 3)) + "]"
+
+
+VITERBI = f"""WITH RECURSIVE {OBS}, m AS (
+  SELECT list_transform({listed(STAR)}, lambda r: list_transform(r, lambda x: CASE WHEN x > 0 THEN ln(x) ELSE -1e300 END)) AS a, list_transform({listed(EMITS)}, lambda r: list_transform(r, lambda x: ln(x))) AS b
+), o AS (SELECT t, {hmm_row('b')} AS e, a FROM obs, m), v AS (
+  SELECT 1 AS t, {sums(lambda j: f"ln(1 / 3.0::DOUBLE) + e[{j}]")} AS s, [0, 0, 0] AS back FROM o WHERE t = 1
+  UNION ALL
+  SELECT o.t, {sums(lambda j: f"greatest(s[1] + a[1][{j}], s[2] + a[2][{j}], s[3] + a[3][{j}]) + e[{j}]")},
+    {sums(lambda j: f"CASE WHEN s[1] + a[1][{j}] >= greatest(s[2] + a[2][{j}], s[3] + a[3][{j}]) THEN 1 WHEN s[2] + a[2][{j}] >= s[3] + a[3][{j}] THEN 2 ELSE 3 END")}
+  FROM v JOIN o ON o.t = v.t + 1
+), p AS (
+  SELECT t, CASE WHEN s[1] >= greatest(s[2], s[3]) THEN 1 WHEN s[2] >= s[3] THEN 2 ELSE 3 END AS k, back FROM (SELECT * FROM v ORDER BY t DESC LIMIT 1)
+  UNION ALL
+  SELECT v.t, p.back[p.k], v.back FROM p JOIN v ON v.t = p.t - 1
+) SELECT pos, CAST(k - 1 AS INTEGER) AS state FROM p JOIN obs USING (t)"""
+FORWARD = f"""{OBS}, m AS (SELECT {listed(STAR)} AS a, {listed(EMITS)} AS b
+), o AS (SELECT t, {hmm_row('b')} AS e, a FROM obs, m), f AS (
+  SELECT 1 AS t, list_transform(r, lambda x: x / list_sum(r)) AS al, list_sum(r) AS c FROM (SELECT {sums(lambda j: f"e[{j}] / 3")} AS r FROM o WHERE t = 1)
+  UNION ALL
+  SELECT t, list_transform(r, lambda x: x / list_sum(r)), list_sum(r) FROM (SELECT o.t, {sums(lambda j: f"(al[1] * a[1][{j}] + al[2] * a[2][{j}] + al[3] * a[3][{j}]) * e[{j}]")} AS r FROM f JOIN o ON o.t = f.t + 1)
+), g AS (
+  SELECT max(t) AS t, [1.0::DOUBLE, 1.0, 1.0] AS be FROM obs
+  UNION ALL
+  SELECT f.t - 1, {sums(lambda i: f"(a[{i}][1] * e[1] * be[1] + a[{i}][2] * e[2] * be[2] + a[{i}][3] * e[3] * be[3]) / c")} FROM g JOIN f ON f.t = g.t JOIN o ON o.t = g.t WHERE g.t > 1
+), xi AS (
+  SELECT i, j, sum(f0.al[i] * a[i][j] * e[j] * be[j] / f1.c) AS x FROM f f1 JOIN f f0 ON f0.t = f1.t - 1 JOIN g ON g.t = f1.t JOIN o ON o.t = f1.t, generate_series(1, 3) u(i), generate_series(1, 3) w(j) GROUP BY i, j
+)"""
+
+
+@query(VITERBI)
 def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.decode(event_stream(spark, sf_dir), event_model(), 4096)
 
 
+@query(f"WITH RECURSIVE {FORWARD} SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(x / sum(x) OVER (PARTITION BY i), 8) AS p FROM xi")
+def baum_welch_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, j, p): transitions after one step of training in blocks."""
+    trained = hmm.train(event_stream(spark, sf_dir), event_model(), 4096, 0, 0, 1, sequential_below=0)
+    return spark.createDataFrame([(i, j, round(float(trained.a[i, j]), 8)) for i in range(trained.n) for j in range(trained.n)], "i int, j int, p double")
+
+
 @query()
 def baum_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(i, j, p): transitions after training in blocks."""
@@ -411,6 +505,41 @@ def evolution_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.evolution_graph(articles(spark, sf_dir), weeks(spark), PARAMS)
 
 
+def few_steps() -> Params:
+    """Small enough for SQL: three themes and two iterations."""
+    return Params(themes=K, iterations=2, runs=1)
+
+
+@query(f"""WITH {INIT}{step_sql(0)}{step_sql(1)}, sc AS (SELECT period_id, theme FROM pi2 WHERE run = 0 GROUP BY ALL HAVING avg(pi) > 0.9 / 3
+), theme AS (SELECT CAST(period_id * 3 + theme AS BIGINT) AS theme_id, p_from, p_to FROM sc JOIN weeks USING (period_id)
+), tw AS (SELECT CAST(period_id * 3 + theme AS BIGINT) AS theme_id, word, p FROM tw2 JOIN sc USING (period_id, theme) WHERE run = 0){link_sql('kl')}, near AS (SELECT * FROM links WHERE divergence < 8.0)
+SELECT src, dst, divergence, round(0.2 + coalesce((max(divergence) OVER () - divergence) / nullif(max(divergence) OVER () - min(divergence) OVER (), 0), 1) * 3.0, 3) AS pen_width FROM near""")
+def evolution_graph_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan of the evolution graph after few iterations."""
+    links = pipelines.evolution_graph(articles(spark, sf_dir), weeks(spark), few_steps())
+    return links.select("src", "dst", F.round("divergence", 6).alias("divergence"), F.round("pen_width", 3).alias("pen_width"))
+
+
+LONG = INIT[: INIT.index("), dt AS (")] + """), whole AS (SELECT doc_id, word, cnt FROM dk WHERE n > 50
+), part AS (SELECT doc_id, CAST(ntile(4) OVER (ORDER BY doc_id) AS INTEGER) AS period_id FROM (SELECT DISTINCT doc_id FROM whole)
+), dt AS (SELECT period_id, doc_id, word, cnt FROM whole JOIN part USING (doc_id))""" + INIT[INIT.index(", vocab AS") :]
+
+
+@query(f"WITH {LONG}{step_sql(0)}{step_sql(1)} SELECT period_id, CAST(theme AS INTEGER) AS theme, round(avg(pi), 8) AS score FROM pi2 WHERE run = 0 GROUP BY ALL ORDER BY avg(pi) DESC, period_id, theme LIMIT 10")
+def long_period_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan of one long period in four chunks after few iterations."""
+    found = pipelines.themes_of_long_period(articles(spark, sf_dir), 4, 10, few_steps())
+    return found.select("period_id", "theme", F.round("score", 8).alias("score"))
+
+
+@query()
+def theme_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Themes of four weeks, fitted and then followed by the HMM through the words of a frame of those weeks, with the background of all."""
+    params = Params(themes=4, hmm_start="2024-01-01", hmm_days=28)
+    frame = (START - dt.timedelta(days=1), START + dt.timedelta(days=57))
+    return pipelines.theme_strength(articles(spark, sf_dir), P.tumbling(spark, START, 7, 4), params, frame)
+
+
 @query()
 def long_period_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.themes_of_long_period(articles(spark, sf_dir), 4, 10, PARAMS)
@@ -431,6 +560,12 @@ def strength_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strength.matrix(strength.strength_by_ts(decoded_events(spark, sf_dir)), 4)
 
 
+@query(f"WITH {BY_TS} SELECT theme, list(n || '@' || strftime(ts, '%Y-%m-%d') ORDER BY ts) AS points FROM st GROUP BY theme")
+def strength_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = strength.listed(strength.strength_by_ts(decoded_events(spark, sf_dir)))
+    return found.select("theme", F.transform("points", lambda p: F.concat_ws("@", p["strength"], F.date_format(p["ts"], "yyyy-MM-dd"))).alias("points"))
+
+
 @query(f"""WITH {DECODED}, b AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM decoded
 ), starts AS (SELECT make_timestamp(a + CAST(floor((b - a) * i / 10.0) AS BIGINT)) AS start FROM b, generate_series(0, 9) t(i))
 SELECT start, count(decoded.ts) AS n FROM starts LEFT JOIN decoded ON state = 2 AND ts >= start AND ts < start + INTERVAL 3 DAY GROUP BY start""")
@@ -484,14 +619,16 @@ def map_string_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BY_TS} SELECT * FROM st")
 def stream_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming form, run to the end over the events table."""
-    import uuid
-
     from .streaming.strength import strength_stream
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).format("parquet").load(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"strength_{uuid.uuid4().hex}"
-    decoded = source.select("ts", F.pmod("event_id", F.lit(5)).cast("int").alias("state"))
-    running = strength_stream(decoded).writeStream.format("memory").outputMode("complete").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    decoded, root = source.select("ts", F.pmod("event_id", F.lit(5)).cast("int").alias("state")), shared_path(spark, "stream")
+    counted, last = strength_stream(decoded), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/{number}")
+        last[:] = [number]
+
+    counted.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counted.schema).parquet(f"{root}/{last[0]}") if last else spark.createDataFrame([], counted.schema)
