@@ -16,9 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..ship import ship_package
+from .common import Scratch, bounded_sample
 from .words import U64, mix
 
 KINDS = ("email", "ip", "card", "phone")
@@ -93,12 +93,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def symbol_table() -> np.ndarray:
-    """A code for each code point below 128: marks that occur in personal data have their own, letters and digits one each by kind."""
-    own = "@.-+ ()_%/:,\n"
+    """A code for each code point below 128: marks that occur in personal data and 0 have their own, letters and other digits one each by kind."""
+    own = "@.-+ ()_%/:,\n0"
     table = np.full(128, 4)
     for c in range(128):
         ch = chr(c)
-        table[c] = 1 if ch.isdigit() else 2 if ch.islower() else 3 if ch.isupper() else 5 + own.index(ch) if ch in own else 4
+        table[c] = 5 + own.index(ch) if ch in own else 1 if ch.isdigit() else 2 if ch.islower() else 3 if ch.isupper() else 4
     return table
 
 
@@ -255,7 +255,7 @@ def made_up(rng: random.Random, kind: int) -> str:
         digits += next(c for c in "0123456789" if luhn(digits + c))
         return rng.choice(["", " ", "-", ".", "  "]).join(digits[i : i + 4] for i in range(0, 16, 4))
     sep = rng.choice([" ", "-", ".", ""])
-    return f"{rng.choice(['+', '+', '00'])}{rng.choice(['1', '33', '34', '41', '49'])}{sep}{rng.choice(['', '('])}{n(3)}{sep}{n(3)}{sep}{n(rng.choice([2, 4]))}".replace("(", "")
+    return f"{rng.choice(['+', '00'])}{rng.choice(['1', '33', '34', '41', '49'])}{sep}{rng.choice(['', '('])}{n(3)}{sep}{n(3)}{sep}{n(rng.choice([2, 4]))}".replace("(", "")
 
 
 def samples_of(snippets: list[tuple[str, list[tuple[int, int, int]]]], seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -371,7 +371,7 @@ def train_pii(docs: DataFrame, snippets: int = TRAIN_SNIPPETS) -> Network | None
             yield pa.record_batch([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["at"], pa.int32()), pa.array(rows["snippet"], pa.string()), pa.array(rows["spans"], pa.string())], list(rows))
 
     cuts = docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(cut, "doc_id long, at int, snippet string, spans string")
-    picked = cuts.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "snippet").limit(snippets).collect()
+    picked = bounded_sample(Scratch(docs.sparkSession, "pii").write(cuts, "cuts"), snippets, "doc_id", "at", "snippet").collect()
     labelled = [(r.snippet, [(KINDS.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]) for r in picked]
     return fit_network(samples_of(labelled)) if labelled else None
 
