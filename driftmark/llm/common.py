@@ -2,35 +2,51 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Only in local mode, as in tests, a local one is made where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="driftmark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Intermediate tables of one call: written once, so that lineage ends there and a lost executor costs no more than its own tasks."""
+    """Intermediate tables of one call: written once, so that lineage ends there and a lost executor costs no more than its own tasks.
+
+    A result may read them until the program ends, so the folder is deleted then, or by `release` once results are written.
+    """
+
+    made: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/driftmark-{name}-{uuid.uuid4().hex}"
+        path, fs = self._path()
+        fs.deleteOnExit(path)
+        Scratch.made.append(self)
+
+    def _path(self, *below: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *below]))
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it again."""
@@ -39,12 +55,27 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Delete tables that nothing reads any more, and let Spark delete the shuffle files of finished jobs."""
-        jvm = self.spark.sparkContext._jvm
+        """Delete tables that nothing reads any more."""
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+            path, fs = self._path(name)
+            fs.delete(path, True)
+
+    @staticmethod
+    def release(since: int = 0) -> None:
+        """Delete the folders made after the first `since` ones; what reads them has to be written by then."""
+        for scratch in Scratch.made[since:]:
+            path, fs = scratch._path()
+            fs.delete(path, True)
+        del Scratch.made[since:]
+
+
+def bounded_sample(df: DataFrame, rows: int, *key: Column | str) -> DataFrame:
+    """At most `rows` rows, those with the least hash of the key, ties by the key itself. Hashes that cannot be among them are left out first,
+    so that about twice as many rows, and not as many from each partition, meet for the choice."""
+    n, place = df.count(), F.shiftrightunsigned(F.xxhash64(F.lit(1), *key), 32)
+    if n > 4 * rows:
+        df = df.where(place < int(2**32 * (2 * rows + 100) / n))
+    return df.orderBy(place, *key).limit(rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

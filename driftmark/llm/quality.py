@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship_package
-from .common import slices_by_bytes, utf8_parts
+from .common import bounded_sample, slices_by_bytes, utf8_parts
 from .words import U64, Words, sequences
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of doc_id.
@@ -163,7 +163,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, bi
 def labelled_sample(labels: DataFrame, label: str, folds: int, held: int, rows: int) -> DataFrame:
     """At most `rows` labelled doc_ids outside the held-out fold, the same ones each time; a doc_id with contradicting labels counts as the larger."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held))
-    return known.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return bounded_sample(known.groupBy("doc_id").agg(F.max(label).alias("label")), rows, "doc_id")
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS) -> Trees:

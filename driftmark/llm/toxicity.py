@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship_package
-from .common import slices_by_bytes, utf8_parts
+from .common import Scratch, bounded_sample, slices_by_bytes, utf8_parts
 from .quality import BATCH_BYTES, CUT, labelled_sample, with_fold
 from .words import U64, Words
 
@@ -93,13 +93,13 @@ def fit_nnpu(p: Presence, u: Presence, prior: float, steps: int = 400, rate: flo
     return theta[:-1], float(theta[-1])
 
 
-def choose(positive: np.ndarray, unlabelled: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
-    """Buckets that positives have significantly more often than unlabelled documents, by the z-value of the two shares."""
-    share = (positive + unlabelled + 1) / (n_p + n_u + 2)
-    z = (positive / max(n_p, 1) - unlabelled / max(n_u, 1)) / np.sqrt(share * (1 - share) * (1 / max(n_p, 1) + 1 / max(n_u, 1)))
-    z[positive < max(5, 0.01 * n_p)] = 0
-    best = np.argsort(-z, kind="stable")[:FEATURES]
-    return np.sort(best[z[best] > 4])
+def choose(counts: DataFrame, n_p: int, n_u: int) -> DataFrame:
+    """At most FEATURES buckets that positives have significantly more often than unlabelled documents, by the z-value of the two shares."""
+    a, b = float(n_p), float(max(n_u, 1))
+    share = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2.0)
+    z = (F.col("p") / a - F.col("u") / b) / F.sqrt(share * (1 - share) * (1 / a + 1 / b))
+    often = counts.where((F.col("bucket") >= 0) & (F.col("p") >= max(5.0, 0.01 * n_p)))
+    return often.withColumn("z", z).where("z > 4").orderBy(F.desc("z"), "bucket").limit(FEATURES)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Linear:
@@ -110,33 +110,49 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
     outside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held
     confirmed = labelled_sample(labels.where(F.col(label) == 1), label, folds, held, positive_rows).select("doc_id", F.lit(1).alias("kind"))
     prior = labels.where(outside).agg(F.avg(F.col(label).cast("double")).alias("p")).first().p
-    free = docs.where(outside & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(unlabelled_rows).select("doc_id", F.lit(0).alias("kind"))
+    ids = docs.where(outside & F.col("doc_id").isNotNull()).select("doc_id")
+    free = bounded_sample(ids, unlabelled_rows, "doc_id").select("doc_id", F.lit(0).alias("kind"))
     picked = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(confirmed.union(free)), "doc_id")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    samples = scratch.write(picked.select("doc_id", "kind", "text"), "samples")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a task's texts of each kind: how many, as bucket -1, and how many have each bucket."""
+        count = np.zeros((2, (1 << BUCKET_BITS) + 1), np.int64)
         for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
             doc, bucket = buckets(*utf8_parts(batch.column("text")))
             both = np.unique(doc << BUCKET_BITS | bucket)
-            edge = np.searchsorted(both, np.arange(batch.num_rows + 1) << BUCKET_BITS)
-            parts = (both & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("kind"), pa.array([parts[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["doc_id", "kind", "x"])
-
-    found = picked.select("doc_id", "kind", "text").mapInArrow(gather, "doc_id long, kind int, x binary").toArrow()
-    order = np.lexsort((found["doc_id"].to_numpy(), found["kind"].to_numpy())) if found.num_rows else []
-    kinds, rows = found["kind"].to_numpy(), found["x"]
-    lists = {k: [np.frombuffer(rows[int(i)].as_py(), np.int32) for i in order if kinds[i] == k] for k in (0, 1)}
-    if not lists[1] or not prior:
+            kind = batch.column("kind").to_numpy()
+            count[:, -1] += np.bincount(kind, minlength=2)
+            np.add.at(count, (kind[both >> BUCKET_BITS], both & ((1 << BUCKET_BITS) - 1)), 1)
+        kind, bucket = np.nonzero(count)
+        yield pa.record_batch([pa.array(np.where(bucket == count.shape[1] - 1, -1, bucket)), *(pa.array(np.where(kind == k, count[kind, bucket], 0)) for k in (1, 0))], ["bucket", "p", "u"])
+
+    counts = scratch.write(samples.select("kind", "text").mapInArrow(tally, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")), "counts")
+    sizes = counts.where("bucket = -1").first()
+    n_p, n_u = (sizes.p, sizes.u) if sizes else (0, 0)
+    if not n_p or not prior:
+        scratch.drop("samples", "counts")
         return Linear(np.zeros(0, np.int64), np.zeros(0), float(np.log(0.01 / 0.99)))
-    count = {k: np.bincount(np.concatenate([np.zeros(0, np.int32), *v]), minlength=1 << BUCKET_BITS) for k, v in lists.items()}
-    chosen = choose(count[1], count[0], len(lists[1]), len(lists[0]))
-    slot = np.full(1 << BUCKET_BITS, -1, np.int32)
-    slot[chosen] = np.arange(len(chosen))
+    chosen = np.sort(np.array([r.bucket for r in choose(counts, n_p, n_u).collect()], np.int64))
 
-    def presence(of: list[np.ndarray]) -> Presence:
-        places = (slot[b] for b in of)
-        return Presence([p[p >= 0] for p in places], len(chosen))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chosen features that each text has."""
+        for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
+            doc, bucket = buckets(*utf8_parts(batch.column("text")))
+            hit = np.isin(bucket, chosen)
+            both = np.unique(doc[hit] << 16 | np.searchsorted(chosen, bucket[hit]))
+            edge = np.searchsorted(both, np.arange(batch.num_rows + 1) << 16)
+            parts = (both & 0xFFFF).astype(np.int16)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("kind"), pa.array([parts[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["doc_id", "kind", "x"])
 
-    weight, bias = fit_nnpu(presence(lists[1]), presence(lists[0]), float(np.clip(prior, 1e-3, 0.9)))
+    found = samples.mapInArrow(gather, "doc_id long, kind int, x binary").toArrow()
+    scratch.drop("samples", "counts")
+    kinds, ids_, rows = found["kind"].to_numpy(), found["doc_id"].to_numpy(), found["x"].to_pylist()
+    # the order of rows depends on tasks; sums in floating point depend on the order
+    order = sorted(range(len(rows)), key=lambda i: (ids_[i], rows[i]))
+    positive, unlabelled = (Presence([np.frombuffer(rows[i], np.int16).astype(np.int64) for i in order if kinds[i] == k], len(chosen)) for k in (1, 0))
+    weight, bias = fit_nnpu(positive, unlabelled, float(np.clip(prior, 1e-3, 0.9)))
     return Linear(chosen, weight, bias)
 
 
