@@ -113,12 +113,12 @@ def _matches(docs: DataFrame, benchmark: DataFrame, size: int, rarest: int, scra
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rarest: int = RAREST, share: int = 20, whole_rows: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with whole_rows also the struct `row` of its columns.
+    """One row per document: doc_id, n_words, n_hit, n_items, items (the item_ids, sorted as strings), contaminated; with whole_rows also the struct `row` of its columns.
 
     Words: A-Z lower-cased, runs of non-ASCII characters, letters and digits. A word inside any occurrence of a window is hit. A document
     is contaminated if n_hit > 0 and share * n_hit >= n_words. Null and empty texts have no words; items without words match nothing;
     items with the same words all count; an item_id of several texts stands for all of them and counts once, and so does a null item_id, which
-    is not in the digest; rows with one doc_id are each judged on their own text, a null doc_id included.
+    is not in the list; rows with one doc_id are each judged on their own text, a null doc_id included.
     Without documents there are no rows, without items nothing is hit; other columns are passed on in `row` only.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
@@ -131,5 +131,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, rar
     items = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("hits", lambda h: h["ids"])), lambda i: i["item_id"].cast("string"))))
     rest = ["row"] if whole_rows else []
     out = checked.select(F.col("row_id.doc_id").alias("doc_id"), F.size("words").cast("long").alias("n_words"), F.size(F.array_distinct(spots)).cast("long").alias("n_hit"), items.alias("items"), *rest)
-    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *rest)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *rest)

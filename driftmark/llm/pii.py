@@ -7,7 +7,6 @@ network adds spans that overlap none of them.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -31,6 +30,7 @@ SNIPPETS_PER_DOC = 4
 #: Of a span's mean posterior probability from which the network may add it.
 SURE = 0.9
 
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 TRIGGER = re.compile("[0-9@]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -377,7 +377,7 @@ def train_pii(docs: DataFrame, snippets: int = TRAIN_SNIPPETS) -> Network | None
 
 
 def find_pii(docs: DataFrame, snippets: int = TRAIN_SNIPPETS) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans (the network's included).
+    """One row per document: doc_id, base (the patterns' spans) and spans (the network's included), arrays of kind, start and end in code points.
 
     Whole texts are read; a null text counts as empty and has no spans. Repeated rows get the same result each, a null doc_id is passed on;
     spans of different kinds may overlap. An empty table gives no rows, and without any digit or @ there is no network. Other columns are not read.
@@ -385,15 +385,14 @@ def find_pii(docs: DataFrame, snippets: int = TRAIN_SNIPPETS) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     net = spark.sparkContext.broadcast(train_pii(docs, snippets))
+    named = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in spans]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                batch = whole.slice(begin, 500)
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
                 found = all_spans(net.value, [t or "" for t in batch.column("text").to_pylist()])
-                counts = [pa.array([sum(k == kind for k, _, _ in base) for base, _ in found], pa.int64()) for kind in range(len(KINDS))]
-                digest = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string())
-                names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
-                yield pa.record_batch([batch.column("doc_id"), *counts, digest, pa.array([joined(s) for _, s in found], pa.string())], names)
+                columns = [pa.array([named(f[i]) for f in found], SPANS) for i in (0, 1)]
+                yield pa.record_batch([batch.column("doc_id"), *columns], ["doc_id", "base", "spans"])
 
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    spans = "array<struct<kind:string,start:long,end:long>>"
+    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(find, f"doc_id long, base {spans}, spans {spans}")

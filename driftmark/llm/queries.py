@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
 from . import exact_dedup as exact
@@ -38,12 +39,24 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def removed() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]).alias("n_removed")
+
+
+def op5_columns(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_bytes", removed(), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return op5_columns(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
+def op6_columns(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_words", removed(), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return op6_columns(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +67,23 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_columns(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return op9_columns(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op10_columns(found: DataFrame) -> DataFrame:
+    has = lambda kind: lambda s: s["kind"] == F.lit(kind)
+    counts = [F.size(F.filter("base", has(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_pii(table(spark, sf_dir, "documents"))
+    return op10_columns(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Query] = {

@@ -1,10 +1,13 @@
 """Distributed search for repeated windows, shared by suffix-array and substring dedup.
 
-Every window of `size` units (bytes or words) has one anchor: the position in it whose q-gram has the least hash. Equal windows have equal
-anchors at equal places, so the windows of an anchor (a run of starts, about size / 2 of them) only have to be compared with
-those of anchors with the same q-gram. Runs whose q-gram is unique in the corpus are done. Runs with equal units are one context.
-Contexts of one q-gram go to one task, where the caller's index tells which of their windows are equal. A q-gram with more
-contexts than a task should hold gets the whole window as its key instead, and its windows are compared by grouping.
+Sampling. Every window of `size` units (bytes or words) has one anchor: the position in it whose q-gram has the least hash. Equal windows have
+equal anchors at equal places, so the windows of an anchor (a run of starts, about size / 2 of them) only have to be compared with
+those of anchors with the same q-gram. A run's units are its context; runs with equal contexts are represented by one.
+
+Buckets. Contexts are put in buckets by the q-gram. A bucket with one context is settled: its windows are repeated if the context is. A bucket of
+at most MEMBERS contexts goes to one task, where the caller's index tells which windows are equal. A larger one is split by longer
+keys: the run is cut into pieces of neighbouring starts, and the key is all that the windows of a piece share. What
+is still too large is split by whole windows, where the members of a bucket are equal. So no bucket is too large for a task, and none is left out.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions_for, slices_by_bytes, utf8_parts
@@ -24,16 +27,21 @@ from .words import U64, mix, ranges, stream
 BATCH_BYTES = 1_500_000
 #: Units that are anchored at a time; only a text of more bytes than a batch should have can be longer.
 PIECE = 1 << 21
-#: Contexts of one q-gram that one task compares; q-grams with more are keyed by whole windows.
-HOT = 1_000
+#: Different texts of one bucket that one task compares; larger buckets are split by longer keys.
+MEMBERS = 256
 #: Units of contexts that are compared at a time.
 UNITS = 1 << 20
 INVERSES = {}
 
+#: A context: its q-gram and 128 bits of a hash of its units and the anchor's place.
 KEY = ["h", "c1", "c2"]
+#: A member of a bucket: the bucket's key, and 128 bits of a hash of its own units.
+MEMBER = ["g1", "g2", "e1", "e2"]
 ANCHORS = "h long, c1 long, c2 long, did long, tk long, f int, len int, off int"
-CONTEXTS = "hot boolean, h long, c1 long, c2 long, did long, cnt long, len int, blob binary, place int, k1 long, k2 long, e1 long, e2 long, windows array<struct<w1:long,w2:long>>"
-RUNS = "h long, c1 long, c2 long, a int, b int, least long"
+CUTS = "piece boolean, h long, c1 long, c2 long, place int, g1 long, g2 long, e1 long, e2 long, did long, cnt long, len int, blob binary"
+SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+RUNS = "g1 long, g2 long, e1 long, e2 long, a int, b int, least long"
+WINDOWS = "g1 long, g2 long, e1 long, e2 long, did long, cnt long, a int, w1 long, w2 long"
 
 
 @dataclass(frozen=True)
@@ -41,6 +49,8 @@ class Units:
     """What a unit is. split: bytes of texts -> (codes of all units, first unit of each text and the end, bytes of all units for contexts, their width)."""
 
     split: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: Units as they are kept in contexts -> their codes.
+    codes: Callable[[np.ndarray], np.ndarray]
     size: int
     q: int
     #: Whether windows of one document count as repeats of each other, and which of them go: all, or those with an earlier document.
@@ -135,10 +145,9 @@ def find_anchors(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def cut_contexts(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each document the units of its wanted runs. Runs with a frequent q-gram are cut into pieces of starts at fixed distances from
-    the anchor; a piece has as keys the core that all its windows hold, its own units, and each window. About as many pieces as windows in
-    each make the fewest rows of both."""
-    names = ["hot", "h", "c1", "c2", "did", "cnt", "len", "blob", "place", "k1", "k2", "e1", "e2", "windows"]
+    """Of each document the units of its wanted runs: whole, with the q-gram as the bucket's key, or, for large buckets, in pieces of starts at fixed distances
+    from the anchor, with what all windows of a piece share as the key. About as many pieces as windows in each make the fewest rows of both."""
+    names = [c.split()[0] for c in CUTS.split(", ")]
     step = math.isqrt(units.size - units.q + 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,41 +156,42 @@ def cut_contexts(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             runs = batch.column("runs")
             flat = runs.flatten()
             text = np.repeat(np.arange(batch.num_rows), runs.value_lengths().to_numpy())
-            hot, h, c1, c2, f, count, off, cnt = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("hot", "h", "c1", "c2", "f", "len", "off", "cnt"))
+            large, h, c1, c2, f, count, off, cnt = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("large", "h", "c1", "c2", "f", "len", "off", "cnt"))
             did = batch.column("did").to_numpy()[text]
             begin = first[text] + f
-            cold = np.flatnonzero(~hot)
-            if len(cold):
-                blobs = [content[b : b + n].tobytes() for b, n in zip(begin[cold], count[cold] - 1 + units.size, strict=True)]
-                none = pa.nulls(len(cold), pa.int64())
-                windows = pa.nulls(len(cold), pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())])))
-                yield pa.record_batch([pa.array(np.zeros(len(cold), bool)), *(pa.array(x[cold]) for x in (h, c1, c2, did, cnt, count)), pa.array(blobs, pa.binary()), none.cast(pa.int32()), none, none, none, none, windows], names)
-            warm = np.flatnonzero(hot)
-            if len(warm):
-                start, of = ranges(begin[warm], count[warm]), np.repeat(warm, count[warm])
+
+            def rows(own: np.ndarray, start: np.ndarray, number: np.ndarray, g1: np.ndarray, g2: np.ndarray, e1: np.ndarray, e2: np.ndarray, piece: bool) -> pa.RecordBatch:
+                blobs = [content[b : b + n].tobytes() for b, n in zip(start, number - 1 + units.size, strict=True)]
+                place = (start - begin[own]).astype(np.int32)
+                columns = [np.full(len(own), piece), h[own], c1[own], c2[own], place, g1, g2, e1, e2, did[own], cnt[own], number.astype(np.int32)]
+                return pa.record_batch([*map(pa.array, columns), pa.array(blobs, pa.binary())], names)
+
+            whole = np.flatnonzero(~large)
+            if len(whole):
+                yield rows(whole, begin[whole], count[whole], h[whole], np.zeros(len(whole), np.int64), c1[whole], c2[whole], False)
+            much = np.flatnonzero(large)
+            for some in (much[i : i + 1000] for i in range(0, len(much), 1000)):
+                start, of = ranges(begin[some], count[some]), np.repeat(some, count[some])
                 anchor = begin[of] + off[of]
                 piece = (anchor - start) // step
                 new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (piece[1:] != piece[:-1])])
                 last = np.r_[new[1:], len(of)] - 1
                 core = anchor[new] - step * piece[new]
                 rolls = [Rolling(codes, seed) for seed in (14, 15)]
-                k1, k2 = (r.of(core, core - (step - 1) + units.size).view(np.int64) for r in rolls)
+                g1, g2 = (r.of(core, core - (step - 1) + units.size).view(np.int64) for r in rolls)
                 shift = mix((anchor[new] - start[new]).astype(U64))
                 e1, e2 = (mix(r.of(start[new], start[last] + units.size) ^ shift).view(np.int64) for r in rolls)
-                w1, w2 = (pa.array(r.of(start, start + units.size).view(np.int64)) for r in rolls)
-                windows = pa.ListArray.from_arrays(pa.array(np.r_[new, len(of)].astype(np.int32)), pa.StructArray.from_arrays([w1, w2], ["w1", "w2"]))
-                own, place = of[new], (start[new] - begin[of[new]]).astype(np.int32)
-                yield pa.record_batch([pa.array(np.ones(len(new), bool)), *(pa.array(x[own]) for x in (h, c1, c2, did, cnt)), pa.array((last - new + 1).astype(np.int32)), pa.nulls(len(new), pa.binary()), *(pa.array(x) for x in (place, k1, k2, e1, e2)), windows], names)
+                yield rows(of[new], start[new], last - new + 1, g1, g2, e1, e2, True)
 
     return cut
 
 
-def compare_contexts(units: Units, dtype: np.dtype, classes: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Runs of starts per context whose windows are repeated. classes(units, first unit of each context, number of starts of each) -> class of each start."""
+def compare_members(units: Units, dtype: np.dtype, classes: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs of starts per member whose windows are repeated. classes(units, first unit of each member, number of starts of each) -> class of each start."""
 
     def close(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        h, c1, c2, did, cnt, count = (t[k].to_numpy() for k in ("h", "c1", "c2", "did", "cnt", "len"))
+        did, cnt, count = (t[k].to_numpy() for k in ("did", "cnt", "len"))
         blobs = t["blob"].to_pylist()
         content = np.frombuffer(b"".join(blobs), dtype)
         begin = np.cumsum([0, *(len(b) // dtype.itemsize for b in blobs[:-1])])
@@ -197,36 +207,44 @@ def compare_contexts(units: Units, dtype: np.dtype, classes: Callable[[np.ndarra
         place, of, best = place[keep], of[keep], np.zeros(keep.sum(), np.int64) if units.all_go else best[keep]
         new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1) | (best[1:] != best[:-1])][: len(of)])
         last = np.r_[new[1:], len(of)][: len(new)] - 1
-        return pa.record_batch([pa.array(h[of[new]]), pa.array(c1[of[new]]), pa.array(c2[of[new]]), pa.array(place[new].astype(np.int32)), pa.array(place[last].astype(np.int32)), pa.array(best[new])], ["h", "c1", "c2", "a", "b", "least"])
+        ids = [pa.array(t[k].to_numpy()[of[new]]) for k in MEMBER]
+        return pa.record_batch([*ids, pa.array(place[new].astype(np.int32)), pa.array(place[last].astype(np.int32)), pa.array(best[new])], [*MEMBER, "a", "b", "least"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        total = 0
+        total, last = 0, None
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            edges = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
-            size = (utf8_sizes(batch.column("blob")) // dtype.itemsize).cumsum()
-            before, at = 0, 0
-            for edge in [int(e) for e in edges if e]:
-                # a group may go on from the batch before, so only edges close one
-                if total + size[edge - 1] - before > UNITS:
-                    held.append(batch.slice(at, edge - at))
+            g1, g2 = (batch.column(k).to_numpy() for k in ("g1", "g2"))
+            size = np.array([len(b) // dtype.itemsize for b in batch.column("blob").to_pylist()], np.int64)
+            edges = np.flatnonzero(np.r_[True, (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])][: len(g1)])
+            for a, b in zip(edges, [*edges[1:], len(g1)], strict=True):
+                # a bucket may go on from the batch before, so only a new one closes what is held
+                if total > UNITS and (g1[a], g2[a]) != last:
                     yield close(held)
-                    held, total, before, at = [], 0, int(size[edge - 1]), edge
-            if len(h) and held and at == 0 and total > UNITS and held[-1].column("h")[-1].as_py() != int(h[0]):
-                yield close(held)
-                held, total = [], 0
-            if len(h):
-                held.append(batch.slice(at))
-                total += int(size[-1]) - before
+                    held, total = [], 0
+                held.append(batch.slice(a, b - a))
+                total, last = total + int(size[a:b].sum()), (g1[a], g2[a])
         if held:
             yield close(held)
 
     return compare
 
 
-def utf8_sizes(column: pa.Array) -> np.ndarray:
-    return np.array([len(b) for b in column.to_pylist()], np.int64) if len(column) else np.zeros(0, np.int64)
+def window_rows(units: Units, dtype: np.dtype) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each window of each member, with 128 bits of a hash of the window as its key."""
+    names = [c.split()[0] for c in WINDOWS.split(", ")]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                count, blobs = batch.column("len").to_numpy(), batch.column("blob").to_pylist()
+                content = np.frombuffer(b"".join(blobs), dtype)
+                begin = np.cumsum([0, *(len(b) // dtype.itemsize for b in blobs[:-1])])
+                start, of = ranges(begin, count), np.repeat(np.arange(len(count)), count)
+                keys = (Rolling(units.codes(content), seed).of(start, start + units.size).view(np.int64) for seed in (14, 15))
+                yield pa.record_batch([*(pa.array(batch.column(k).to_numpy()[of]) for k in [*MEMBER, "did", "cnt"]), pa.array((start - begin[of]).astype(np.int32)), *map(pa.array, keys)], names)
+
+    return each
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -235,7 +253,13 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("did"), text).withColumn("tk", F.xxhash64("text"))
 
 
-def repeated_intervals(rows: DataFrame, units: Units, dtype: np.dtype, classes: Callable, scratch: Scratch, hot: int = HOT) -> DataFrame:
+def islands(windows: DataFrame) -> DataFrame:
+    """Runs (a, b, least) of each member from single windows (a, least)."""
+    order = Window.partitionBy(*MEMBER, "least").orderBy("a")
+    return windows.withColumn("isle", F.col("a") - F.row_number().over(order)).groupBy(*MEMBER, "least", "isle").agg(F.min("a").alias("a"), F.max("a").alias("b")).select(*MEMBER, "a", "b", "least")
+
+
+def repeated_intervals(rows: DataFrame, units: Units, dtype: np.dtype, classes: Callable, scratch: Scratch, members: int = MEMBERS) -> DataFrame:
     """(did, tk, spans) with the unit ranges [a, b) that repeated windows cover."""
     parts = partitions_for(rows, 8)
     anchors = scratch.write(rows.select("did", "tk", "text").mapInArrow(find_anchors(units), ANCHORS), "anchors")
@@ -245,28 +269,41 @@ def repeated_intervals(rows: DataFrame, units: Units, dtype: np.dtype, classes:
     repeated = scratch.write(contexts.join(grams, "h"), "repeated")
     scratch.drop("contexts")
     alone = repeated.where("n = 1").select(*KEY, F.lit(0).alias("a"), (F.col("rep.len") - 1).alias("b"), F.col("rep.did").alias("least"))
-    wanted = repeated.where("n > 1").select(F.col("rep.did").alias("did"), F.col("rep.tk").alias("tk"), F.struct((F.col("n") > hot).alias("hot"), *KEY, F.col("rep.f").alias("f"), F.col("rep.len").alias("len"), F.col("rep.off").alias("off"), "cnt").alias("run"))
+    wanted = repeated.where("n > 1").select(F.col("rep.did").alias("did"), F.col("rep.tk").alias("tk"), F.struct((F.col("n") > members).alias("large"), *KEY, F.col("rep.f").alias("f"), F.col("rep.len").alias("len"), F.col("rep.off").alias("off"), "cnt").alias("run"))
     lists = wanted.groupBy("did", "tk").agg(F.collect_list("run").alias("runs"))
     # of rows with one doc_id and one text, one is cut
     texts = rows.select("did", "tk", "text").join(lists, ["did", "tk"])
-    cuts = scratch.write(texts.mapInArrow(cut_contexts(units), CONTEXTS), "cuts")
-    cold = cuts.where("not hot").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(compare_contexts(units, dtype, classes), RUNS)
-    # pieces with one core and equal units are compared as a whole, those with one core and different units window by window
-    pieces = cuts.where("hot").select(*KEY, "did", "cnt", "place", "len", "k1", "k2", "e1", "e2", "windows")
-    equal = pieces.groupBy("k1", "k2", "e1", "e2").agg(F.min("did").alias("least"), F.sum("cnt").alias("weight"))
-    cores = equal.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("kinds"))
-    known = scratch.write(pieces.join(equal.join(cores, ["k1", "k2"]), ["k1", "k2", "e1", "e2"]), "pieces")
-    whole = known.where("kinds = 1 and weight > 1").select(*KEY, F.col("place").alias("a"), (F.col("place") + F.col("len") - 1).alias("b"), "least")
-    each = known.where("kinds > 1").select(*KEY, "did", "cnt", "place", F.posexplode("windows").alias("i", "w")).select(*KEY, "did", "cnt", (F.col("place") + F.col("i")).alias("a"), "w.w1", "w.w2")
-    windows = each.groupBy("w1", "w2").agg(F.min("did").alias("least"), F.sum("cnt").alias("weight")).where("weight > 1")
-    warm = whole.unionByName(each.join(windows, ["w1", "w2"]).select(*KEY, "a", F.col("a").alias("b"), "least"))
-    runs = scratch.write(alone.unionByName(cold).unionByName(warm), "runs")
-    scratch.drop("cuts", "repeated", "pieces")
-    found = anchors.join(runs, KEY)
+    cuts = scratch.write(texts.mapInArrow(cut_contexts(units), CUTS), "cuts")
+    sort = [*MEMBER, "did", "cnt", "len", "blob"]
+    compare = lambda df: df.repartition(parts, "g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(compare_members(units, dtype, classes), RUNS)
+    small = compare(cuts.where("not piece").select(*sort)).select(F.col("g1").alias("h"), F.col("e1").alias("c1"), F.col("e2").alias("c2"), "a", "b", "least")
+    # pieces with equal units are represented by one; a bucket of one such is settled
+    pieces = cuts.where("piece")
+    equal = pieces.groupBy(*MEMBER).agg(F.min("did").alias("least"), F.sum("cnt").alias("weight"), F.min(F.struct(*KEY, "place")).alias("rep"))
+    sizes = equal.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("kinds"))
+    known = scratch.write(equal.join(sizes, ["g1", "g2"]), "pieces")
+    settled = known.where("kinds = 1 and weight > 1")
+    chosen = known.where("kinds > 1").select("rep.*", F.col("least").alias("did"), F.col("weight").alias("cnt"), "kinds")
+    open_ = scratch.write(pieces.drop("did", "cnt").join(chosen, [*KEY, "place"]).select(*sort, "kinds"), "open")
+    sorted_ = compare(open_.where(F.col("kinds") <= members).drop("kinds"))
+    each = open_.where(F.col("kinds") > members).drop("kinds").mapInArrow(window_rows(units, dtype), WINDOWS)
+    windows = scratch.write(each, "windows")
+    same = windows.groupBy("w1", "w2").agg(F.min("did").alias("least"), F.sum("cnt").alias("weight")).where("weight > 1")
+    if units.all_go:
+        same = same.withColumn("least", F.lit(0).cast("long"))
+    found = scratch.write(sorted_.unionByName(islands(windows.join(same, ["w1", "w2"]))), "found")
+    place = [(F.col("place") + F.col(c)).alias(c) for c in ("a", "b")]
+    whole = pieces.join(settled.select(*MEMBER, F.col("least").alias("first")), MEMBER).select(*KEY, F.col("place").alias("a"), (F.col("place") + F.col("len") - 1).alias("b"), F.col("first").alias("least"))
+    parts_ = pieces.join(found, MEMBER).select(*KEY, *place, "least")
+    # one row for each context, so that a context with many copies meets each copy once
+    runs = alone.unionByName(small).unionByName(whole).unionByName(parts_).groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "least")).alias("runs"))
+    runs = scratch.write(runs, "runs")
+    scratch.drop("cuts", "repeated", "pieces", "open", "windows", "found")
+    both = anchors.join(runs, KEY)
     if not units.all_go:
-        found = found.where(F.col("least") < F.col("did"))
-    span = F.struct((F.col("f") + F.col("a")).alias("a"), (F.col("f") + F.col("b") + units.size).alias("b"))
-    return found.select("did", "tk", span.alias("span")).groupBy("did", "tk").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+        both = both.withColumn("runs", F.filter("runs", lambda r: r["least"] < F.col("did"))).where(F.size("runs") > 0)
+    spans = F.transform("runs", lambda r: F.struct((F.col("f") + r["a"]).alias("a"), (F.col("f") + r["b"] + units.size).alias("b")))
+    return both.select("did", "tk", spans.alias("spans")).groupBy("did", "tk").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:

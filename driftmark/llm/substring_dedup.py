@@ -1,14 +1,16 @@
-"""Substring dedup on words with suffix trees of anchored windows.
+"""Substring dedup on words with prefix-partitioned suffix trees.
 
-Suffixes are dealt to tasks by the anchor of their window, 16 words somewhere in it (see repeats), not by prefixes. A task builds the tree of its
-suffixes from the top: a node is split by the next words, suffixes alone in a node are leaves, and internal nodes at the depth of a window
-are the repeats, with the smallest doc_id below them. Anchors whose runs of words are all equal, and those with too many different
-runs for a task, meet no tree: their repeats are found by grouping on hashes.
+Suffixes are dealt to tasks in ranges of neighbouring starts, by a prefix that they share, of variable length: first 16 words that are in all
+windows of the range, then, where a group is too large for a task, the words that shorter ranges share, and last the whole window (see repeats).
+A task builds the tree of its group's suffixes from the top: a node is split by the next words, suffixes alone in a node are
+leaves, and the internal nodes at the depth of a window are the repeats, with the smallest doc_id below each. A repeat that goes on beyond a window
+has such a node at each of its starts; these runs are joined to maximal repeats.
+
+Words go by 64-bit hashes. Two different words have one hash with a chance of 2**-64; a wrong match also needs the other 49 words to be equal.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship_package
 from .common import Scratch, slices_by_bytes
-from .repeats import BATCH_BYTES, Units, identified, merged_spans, repeated_intervals
+from .repeats import BATCH_BYTES, MEMBERS, SPANS, Units, identified, merged_spans, repeated_intervals
 from .words import Words, ranges
 
 WINDOW, GRAM = 50, 16
@@ -60,8 +62,8 @@ def word_units(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return codes, words.first, codes
 
 
-def substring_dedup(docs: DataFrame, hot: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256.
+def substring_dedup(docs: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """One row per document: doc_id, n_words, spans (begin and end of the maximal removed runs of words), kept (the other words, joined by one space).
 
     Removed is each word covered by 50 consecutive words that also start in a document with a smaller doc_id; judged on the input. Words are
     unchanged runs of bytes other than space and 0x09-0x0D. A null text has no words; texts under 50 words lose nothing; rows with one doc_id
@@ -71,8 +73,8 @@ def substring_dedup(docs: DataFrame, hot: int | None = None) -> DataFrame:
     ship_package(spark)
     scratch = Scratch(spark, "substring")
     rows = identified(docs)
-    units = Units(word_units, WINDOW, GRAM, False)
-    spans = repeated_intervals(rows, units, np.dtype(np.uint64), deep_nodes, scratch, **({} if hot is None else {"hot": hot}))
+    units = Units(word_units, lambda codes: codes, WINDOW, GRAM, False)
+    spans = repeated_intervals(rows, units, np.dtype(np.uint64), deep_nodes, scratch, members)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
@@ -84,9 +86,9 @@ def substring_dedup(docs: DataFrame, hot: int | None = None) -> DataFrame:
                     kept += words[last:a]
                     last = b
                 kept += words[last:]
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            n, removed, sha = zip(*out, strict=True)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                out.append((len(words), [{"begin": a, "end": b} for a, b in gone], b" ".join(kept).decode()))
+            n, runs, kept_ = zip(*out, strict=True)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(runs, SPANS), pa.array(kept_, pa.string())], ["doc_id", "n_words", "spans", "kept"])
 
     joined = rows.join(spans, ["did", "tk"], "left").select("doc_id", "text", F.col("spans"))
-    return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(remove, "doc_id long, n_words long, spans array<struct<begin:long,end:long>>, kept string")

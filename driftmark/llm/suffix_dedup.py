@@ -1,13 +1,13 @@
 """Suffix-array dedup on bytes by bucket-pointer refinement.
 
-Positions are put in buckets by their first 8 bytes. A bucket is then refined by sorting its positions on the bucket numbers at later
-offsets; the refined numbers are the keys of the next round, so that the depth goes 8, 24, 72, 216 and last to the window of 400. A position alone in
-its bucket is final and sorted no more. Windows are equal if they end in one bucket.
+Across tasks, windows are put in buckets by a 32-byte gram, and buckets too large for a task are refined by longer keys, up to whole windows (see
+repeats). In a task, positions are put in buckets by their first 8 bytes. A bucket is then refined by sorting its positions on the
+bucket numbers at later offsets; the refined numbers are the keys of the next round, so that the depth goes 8, 24, 72, 216 and last to
+the window of 400. A position alone in its bucket is final and sorted no more. Windows are equal if they end in one bucket.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship_package
-from .common import Scratch, slices_by_bytes
-from .repeats import BATCH_BYTES, Units, identified, merged_spans, repeated_intervals
+from .common import Scratch, slices_by_bytes, utf8_parts
+from .repeats import BATCH_BYTES, MEMBERS, SPANS, Units, identified, merged_spans, repeated_intervals
 from .words import ranges, stream
 
 WINDOW, GRAM, Q = 400, 32, 8
@@ -84,12 +84,16 @@ def window_classes(data: np.ndarray, begin: np.ndarray, count: np.ndarray, size:
 CODES = stream(256, 21)
 
 
+def byte_codes_of(raw: np.ndarray) -> np.ndarray:
+    return CODES[raw]
+
+
 def byte_units(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return CODES[raw], at, raw
 
 
-def suffix_dedup(docs: DataFrame, hot: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def suffix_dedup(docs: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """One row per document: doc_id, n_bytes, spans (begin and end of the maximal removed runs of bytes), kept (the remaining bytes).
 
     Removed is each byte covered by a 400-byte string that starts anywhere else too, in the same or another document, overlaps included; judged
     on the input. A null text counts as empty; texts under 400 bytes lose nothing; rows with one doc_id are documents of their
@@ -99,22 +103,22 @@ def suffix_dedup(docs: DataFrame, hot: int | None = None) -> DataFrame:
     ship_package(spark)
     scratch = Scratch(spark, "suffix")
     rows = identified(docs)
-    units = Units(byte_units, WINDOW, GRAM, True)
-    spans = repeated_intervals(rows, units, np.dtype(np.uint8), window_classes, scratch, **({} if hot is None else {"hot": hot}))
+    units = Units(byte_units, byte_codes_of, WINDOW, GRAM, True)
+    spans = repeated_intervals(rows, units, np.dtype(np.uint8), window_classes, scratch, members)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
-            out = []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw, gone = text.encode(), merged_spans(own)
-                digest, last = hashlib.sha256(), 0
+            raw, at = utf8_parts(batch.column("text"))
+            data, out = raw.tobytes(), []
+            for begin, end, own in zip(at[:-1].tolist(), at[1:].tolist(), batch.column("spans").to_pylist(), strict=True):
+                gone, kept, last = merged_spans(own), [], begin
                 for a, b in gone:
-                    digest.update(raw[last:a])
-                    last = b
-                digest.update(raw[last:])
-                out.append((len(raw), sum(b - a for a, b in gone), len(gone), digest.hexdigest()))
-            n, removed, count, sha = zip(*out, strict=True)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    kept.append(data[last : begin + a])
+                    last = begin + b
+                kept.append(data[last:end])
+                out.append((end - begin, [{"begin": a, "end": b} for a, b in gone], b"".join(kept)))
+            n, runs, kept_ = zip(*out, strict=True)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(runs, SPANS), pa.array(kept_, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     joined = rows.join(spans, ["did", "tk"], "left").select("doc_id", "text", F.col("spans"))
-    return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
