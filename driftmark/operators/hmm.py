@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..ship import ship_package
 
 LOW = -1e300
+#: Words of a piece of a block; all pieces of a block are worked through at once.
+SUB = 256
 
 
 @dataclass
@@ -108,6 +110,69 @@ def _per_block(stream: DataFrame, block: int, fn: Callable[[int, np.ndarray], pd
     return _blocks(stream, block).groupBy("block").applyInPandas(lambda pdf: fn(int(pdf["block"].iloc[0]), pdf.sort_values("pos")["word_id"].to_numpy()), schema)
 
 
+class Pieces:
+    """A block cut into pieces of SUB words that are worked through side by side, one array step for all pieces at once. The last piece is padded:
+    live tells real words. first: the block is the stream's first, so its first word has no transition before it."""
+
+    def __init__(self, e: np.ndarray, first: bool, fill: float):
+        length, n = e.shape
+        self.count, self.n, self.length = -(-length // SUB), n, length
+        self.steps = min(SUB, length)
+        self.e = np.full((self.count * SUB, n), fill)
+        self.e[:length] = e
+        self.e = self.e.reshape(self.count, SUB, n)
+        self.live = (np.arange(self.count * SUB) < length).reshape(self.count, SUB)
+        self.first = first
+
+    def start(self, t: int) -> bool:
+        return self.first and t == 0
+
+    def products(self, a: np.ndarray) -> np.ndarray:
+        """The scaled matrix of each piece."""
+        m = np.tile(np.eye(self.n), (self.count, 1, 1))
+        for t in range(self.steps):
+            step = (m @ a) * self.e[:, t, None, :]
+            if self.start(t):
+                step[0] = np.eye(self.n) * self.e[0, 0]
+            m = np.where(self.live[:, t, None, None], scaled(step, (1, 2)), m)
+        return m
+
+    def best(self, pi: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """The best score of each piece between the state before it and its last one; without a state before it, in row 0."""
+        m = a[None] + self.e[:, 0, None, :]
+        if self.first:
+            m[0] = 2 * LOW
+            m[0, 0] = pi + self.e[0, 0]
+        for t in range(1, self.steps):
+            step = (m[:, :, :, None] + a[None, None]).max(2) + self.e[:, t, None, :]
+            m = np.where(self.live[:, t, None, None], np.maximum(step, 2 * LOW), m)
+        return np.maximum(m, 2 * LOW)
+
+
+def scaled(x: np.ndarray, axes: int | tuple[int, ...] = -1) -> np.ndarray:
+    """x with sums of 1 over the axes, where they are not 0."""
+    total = x.sum(axes, keepdims=True)
+    return x / np.where(total == 0, 1.0, total)
+
+
+def chained(score: np.ndarray, ms: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Scores after all matrices (in the sense of best), and for each the best state before it by the state after it."""
+    came = []
+    for m in ms:
+        total = np.maximum(score[:, None] + m, 4 * LOW)
+        came.append(total.argmax(0))
+        score = total.max(0)
+    return score, came
+
+
+def traced(last: int, came: list[np.ndarray]) -> list[int]:
+    """The states after each matrix, from the last one."""
+    states = [last]
+    for c in came[:0:-1]:
+        states.append(int(c[states[-1]]))
+    return states[::-1]
+
+
 def _matrices(rows: DataFrame, n: int) -> tuple[list[int], list[np.ndarray]]:
     """One small matrix per block, in order."""
     found = sorted(rows.collect(), key=lambda r: r.block)
@@ -129,40 +194,44 @@ def train(stream: DataFrame, model: Hmm, block: int = 65536, pi_threshold: float
         sent = spark.sparkContext.broadcast(model)
 
         def product(number: int, obs: np.ndarray, sent=sent) -> pd.DataFrame:
-            m, e, a = np.eye(n), sent.value.b[:, obs].T, sent.value.a
-            for t in range(len(obs)):
-                if number or t:
-                    m = m @ a
-                m = m * e[t]
-                m /= m.sum() or 1.0
+            m = np.eye(n)
+            for piece in Pieces(sent.value.b[:, obs].T, number == 0, 1.0).products(sent.value.a):
+                m = scaled(m @ piece, (0, 1))
             return pd.DataFrame({"block": [number], "m": [m.ravel().tolist()]})
 
         numbers, ms = _matrices(_per_block(stream, block, product, "block long, m array<double>"), n)
-        unit = lambda v: v / (v.sum() or 1.0)
         before, after = [model.pi], [np.ones(n)]
         for m in ms[:-1]:
-            before.append(unit(before[-1] @ m))
+            before.append(scaled(before[-1] @ m))
         for m in ms[:0:-1]:
-            after.append(unit(m @ after[-1]))
+            after.append(scaled(m @ after[-1]))
         edges = spark.sparkContext.broadcast(dict(zip(numbers, zip(before, after[::-1], strict=True), strict=True)))
 
         def expect(number: int, obs: np.ndarray, sent=sent, edges=edges) -> pd.DataFrame:
-            e, a = sent.value.b[:, obs].T, sent.value.a
-            row, beta = edges.value[number]
-            alpha, xi = np.empty_like(e), np.zeros((n, n))
-            for t in range(len(obs)):
-                row = (row @ a if number or t else row) * e[t]
-                row = alpha[t] = row / (row.sum() or 1.0)
-            for t in range(len(obs) - 1, -1, -1):
-                prior = alpha[t - 1] if t else edges.value[number][0]
-                if number or t:
-                    step = prior[:, None] * a * (e[t] * beta)[None, :]
-                    xi += step / (step.sum() or 1.0)
-                    if t:
-                        beta = a @ (e[t] * beta)
-                        beta /= beta.sum() or 1.0
-            gamma = alpha[0] * beta
-            return pd.DataFrame({"block": [number], "m": [xi.ravel().tolist()], "g": [(gamma / (gamma.sum() or 1.0)).tolist()]})
+            a, (row, beta) = sent.value.a, edges.value[number]
+            pieces = Pieces(sent.value.b[:, obs].T, number == 0, 1.0)
+            ms = pieces.products(a)
+            rows, betas = [row], [beta]
+            for m in ms[:-1]:
+                rows.append(scaled(rows[-1] @ m))
+            for m in ms[:0:-1]:
+                betas.append(scaled(m @ betas[-1]))
+            before, beta = [np.array(rows)], np.array(betas[::-1])
+            for t in range(pieces.steps):
+                step = (before[-1] @ a) * pieces.e[:, t]
+                if pieces.start(t):
+                    step[0] = before[-1][0] * pieces.e[0, 0]
+                before.append(np.where(pieces.live[:, t, None], scaled(step), before[-1]))
+            xi, gamma = np.zeros((n, n)), None
+            for t in range(pieces.steps - 1, -1, -1):
+                ahead, live = pieces.e[:, t] * beta, pieces.live[:, t].copy()
+                if t == 0:
+                    gamma = before[1][0] * beta[0]
+                if pieces.start(t):
+                    live[0] = False
+                xi += scaled(before[t][live][:, :, None] * a * ahead[live][:, None, :], (1, 2)).sum(0)
+                beta = np.where(pieces.live[:, t, None], scaled(ahead @ a.T), beta)
+            return pd.DataFrame({"block": [number], "m": [xi.ravel().tolist()], "g": [scaled(gamma).tolist()]})
 
         rows = _per_block(stream, block, expect, "block long, m array<double>, g array<double>").collect()
         xi = sum(np.array(r.m) for r in sorted(rows, key=lambda r: r.block)).reshape(n, n)
@@ -190,45 +259,41 @@ def decode(stream: DataFrame, model: Hmm, block: int = 131072) -> DataFrame:
 
     def reach(number: int, obs: np.ndarray) -> pd.DataFrame:
         pi, a, b = sent.value
-        # rows: state before the block (the first block has none and starts from pi in row 0)
-        if number:
-            m = a + b[:, obs[0]][None, :]
-        else:
-            m = np.full((n, n), 2 * LOW)
-            m[0] = pi + b[:, obs[0]]
-        for o in obs[1:]:
-            m = (m[:, :, None] + a[None]).max(1) + b[:, o][None, :]
-        return pd.DataFrame({"block": [number], "m": [np.maximum(m, 2 * LOW).ravel().tolist()]})
+        ms = Pieces(b[:, obs].T, number == 0, 0.0).best(pi, a)
+        m = ms[0]
+        for piece in ms[1:]:
+            m = np.maximum((m[:, :, None] + piece[None]).max(1), 2 * LOW)
+        return pd.DataFrame({"block": [number], "m": [m.ravel().tolist()]})
 
     numbers, ms = _matrices(_per_block(stream, block, reach, "block long, m array<double>"), n)
     if not numbers:
         return stream.select("pos", F.lit(0).alias("state"))
-    score, came = np.r_[0.0, np.full(n - 1, 2 * LOW)], []
-    for m in ms:
-        total = np.maximum(score[:, None] + m, 4 * LOW)
-        came.append(total.argmax(0))
-        score = total.max(0)
-    last = [int(score.argmax())]
-    for c in came[:0:-1]:
-        last.append(int(c[last[-1]]))
-    ends = dict(zip(numbers, last[::-1], strict=True))
+    nowhere = np.r_[0.0, np.full(n - 1, 2 * LOW)]
+    score, came = chained(nowhere, np.array(ms))
+    ends = dict(zip(numbers, traced(int(score.argmax()), came), strict=True))
     begins = {b: (ends[a] if i else None) for i, (a, b) in enumerate(zip([None, *numbers[:-1]], numbers, strict=True))}
     borders = spark.sparkContext.broadcast((begins, ends))
 
     def path(pdf: pd.DataFrame) -> pd.DataFrame:
         pi, a, b = sent.value
         pdf, number = pdf.sort_values("pos"), int(pdf["block"].iloc[0])
-        obs, (first, final) = pdf["word_id"].to_numpy(), borders.value
-        score = (pi if first[number] is None else a[first[number]]) + b[:, obs[0]]
-        back = np.empty((len(obs), n), np.int16)
-        for t, o in enumerate(obs[1:], 1):
-            total = score[:, None] + a
-            back[t] = total.argmax(0)
-            score = total.max(0) + b[:, o]
-        states = np.empty(len(obs), np.int32)
-        states[-1] = final[number]
-        for t in range(len(obs) - 1, 0, -1):
-            states[t - 1] = back[t, states[t]]
-        return pd.DataFrame({"pos": pdf["pos"].to_numpy(), "state": states})
+        begin, end = borders.value[0][number], borders.value[1][number]
+        pieces = Pieces(b[:, pdf["word_id"].to_numpy()].T, number == 0, 0.0)
+        score = nowhere if begin is None else np.where(np.arange(n) == begin, 0.0, 2 * LOW)
+        last = np.array(traced(end, chained(score, pieces.best(pi, a))[1]))
+        # inside the pieces, side by side, between the states at their borders
+        first = a[np.r_[0 if begin is None else begin, last[:-1]]]
+        if begin is None:
+            first[0] = pi
+        score, back = first + pieces.e[:, 0], np.tile(np.arange(n), (pieces.steps, pieces.count, 1))
+        for t in range(1, pieces.steps):
+            total, live = score[:, :, None] + a, pieces.live[:, t, None]
+            back[t] = np.where(live, total.argmax(1), back[t])
+            score = np.where(live, total.max(1) + pieces.e[:, t], score)
+        states, rows = np.empty((pieces.count, pieces.steps), np.int32), np.arange(pieces.count)
+        states[:, -1] = last
+        for t in range(pieces.steps - 1, 0, -1):
+            states[:, t - 1] = back[t][rows, states[:, t]]
+        return pd.DataFrame({"pos": pdf["pos"].to_numpy(), "state": states.ravel()[: pieces.length]})
 
     return _blocks(stream, block).groupBy("block").applyInPandas(path, "pos long, state int")

@@ -110,14 +110,29 @@ def brute_viterbi(model, obs):
     return path[::-1]
 
 
-@pytest.mark.parametrize("block", [1, 7, 60, 61])
-def test_blocks_equal_the_sequence(spark, block):
+@pytest.mark.parametrize(("block", "sub"), [(1, 256), (7, 3), (60, 256), (60, 1), (60, 7), (61, 60)])
+def test_blocks_equal_the_sequence(spark, monkeypatch, block, sub):
+    # workers get their functions by reference, so the length of pieces is tested where they run, too
     true, obs = chain(60)
+    monkeypatch.setattr(hmm, "SUB", sub)
+    e = true.b[:, obs].T
+    whole = np.eye(4)
+    for piece in hmm.Pieces(e, True, 1.0).products(true.a):
+        whole = hmm.scaled(whole @ piece, (0, 1))
+    want = np.diag(e[0])
+    for row in e[1:]:
+        want = hmm.scaled((want @ true.a) * row, (0, 1))
+    assert np.allclose(whole, want)
     stream = spark.createDataFrame([(i, int(o)) for i, o in enumerate(obs)], "pos long, word_id long")
     start = hmm.Hmm(np.full(4, 0.25), np.full((4, 4), 0.25), true.b)
     whole = hmm.train_sequential(start, obs, 0, 0, 2)
     blocks = hmm.train(stream, start, block, 0, 0, 2, sequential_below=0)
     assert np.allclose(whole.a, blocks.a) and np.allclose(whole.pi, blocks.pi)
+    long = chain(1500)[1]
+    rows = spark.createDataFrame([(i, int(o)) for i, o in enumerate(long)], "pos long, word_id long")
+    once = hmm.train_sequential(start, long, 0, 0, 1)
+    assert np.allclose(once.a, hmm.train(rows, start, 100 * block, 0, 0, 1, sequential_below=0).a)
+    assert [r.state for r in hmm.decode(rows, true, 100 * block).orderBy("pos").collect()] == brute_viterbi(true, long)
     got = [r.state for r in hmm.decode(stream, true, block).orderBy("pos").collect()]
     assert got == brute_viterbi(true, obs)
 
