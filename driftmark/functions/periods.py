@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Periods up to which they are broadcast.
+BROADCAST_PERIODS = 10_000
 SCHEMA = "period_id int, p_from timestamp, p_to timestamp"
 
 
@@ -52,12 +54,15 @@ def require_inside(outer: tuple[dt.datetime, dt.datetime], inner: tuple[dt.datet
 def assign(rows: DataFrame, periods: DataFrame, ts: str = "issue_ts", bucket_days: int | None = None) -> DataFrame:
     """Each row once for each period that it lies strictly inside. Periods may overlap.
 
-    Without bucket_days the periods are broadcast (they are listed by hand, some thousands at most). With it, rows and periods meet by an
-    equi-join on buckets of so many days, for very many periods.
+    Up to BROADCAST_PERIODS periods are broadcast. For more, or with bucket_days, rows and periods meet by an equi-join on buckets of so many
+    days (none: the mean width of a period).
     """
     inside = (F.col(ts) > F.col("p_from")) & (F.col(ts) < F.col("p_to"))
     if bucket_days is None:
-        return rows.join(F.broadcast(periods), inside)
+        if periods.limit(BROADCAST_PERIODS + 1).count() <= BROADCAST_PERIODS:
+            return rows.join(F.broadcast(periods), inside)
+        width = periods.agg(F.avg(F.unix_seconds("p_to") - F.unix_seconds("p_from")).alias("w")).first().w
+        bucket_days = max(1, round(width / 86400))
     bucket = lambda c: F.floor(F.unix_seconds(c) / (86400 * bucket_days))
     spread = periods.withColumn("bucket", F.explode(F.sequence(bucket(F.col("p_from")), bucket(F.col("p_to")))))
     return rows.withColumn("bucket", bucket(F.col(ts))).join(spread, "bucket").where(inside).drop("bucket")

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..shared import settle
 
+#: Targets that points are compared with at a time.
+BROADCAST_TARGETS = 10_000
+
 
 def _log(p: Column, q: Column, log_max: float) -> Column:
     return F.greatest(F.lit(-log_max), F.least(F.lit(log_max), F.ln(p / q)))
@@ -114,7 +117,14 @@ def trans_collection_themes(edge_rows: DataFrame, theme_words: DataFrame) -> Dat
 
 
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """(point_id, target_id, dist2): the nearest target of each point in the plane, the least id on ties. targets (a drawing's nodes) are few and broadcast."""
+    """(point_id, target_id, dist2): the nearest target of each point in the plane, the least id on ties.
+
+    Targets (a drawing's nodes) are broadcast, in blocks of about BROADCAST_TARGETS; a point keeps the best of each block.
+    """
     dist = (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2
-    pairs = points.crossJoin(F.broadcast(targets)).withColumn("dist2", dist)
-    return pairs.groupBy("point_id").agg(F.min(F.struct("dist2", "target_id")).alias("m")).select("point_id", "m.target_id", "m.dist2")
+    blocks, best = max(1, -(-targets.count() // BROADCAST_TARGETS)), None
+    for i in range(blocks):
+        some = targets.where(F.pmod(F.xxhash64("target_id"), F.lit(blocks)) == i)
+        found = points.crossJoin(F.broadcast(some)).withColumn("dist2", dist).groupBy("point_id").agg(F.min(F.struct("dist2", "target_id")).alias("m"))
+        best = found if best is None else best.unionByName(found)
+    return best.groupBy("point_id").agg(F.min("m").alias("m")).select("point_id", "m.target_id", "m.dist2")

@@ -50,9 +50,10 @@ def write_article_xml(articles: DataFrame, path: str) -> None:
     rows.write.format("xml").option("rowTag", "article").option("rootTag", "articles").save(path)
 
 
-def select_articles(articles: DataFrame, begin: dt.datetime | None = None, end: dt.datetime | None = None, max_page: int | None = None) -> DataFrame:
-    """Known streams, strictly inside the period, up to a page."""
-    out = articles.where(F.col("stream").isin(*STREAMS))
+def select_articles(articles: DataFrame, begin: dt.datetime | None = None, end: dt.datetime | None = None, max_page: int | None = None, strict: bool = False) -> DataFrame:
+    """Known streams, strictly inside the period, up to a page. With strict an unknown stream is an error when the row is read."""
+    known = F.col("stream").isin(*STREAMS)
+    out = articles.where(F.assert_true(known, F.concat(F.lit("unknown stream "), F.coalesce("stream", F.lit("null")))).isNull()) if strict else articles.where(known)
     if begin is not None and end is not None:
         out = out.where((F.col("issue_ts") > F.lit(begin)) & (F.col("issue_ts") < F.lit(end)))
     return out if max_page is None else out.where(F.col("page_no") <= max_page)

@@ -1,16 +1,20 @@
 import datetime as dt
 import itertools
+from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftmark.config import Params
 from driftmark.functions import periods as P
+from driftmark.functions.order import running_total
 from driftmark.functions.text import tokenize
 from driftmark.operators import background, em, graph, hmm, terms
 from driftmark.plans import pipelines
 from driftmark.sources import catalog
-from driftmark.sources.articles import read_article_xml
+from driftmark.sources.articles import read_article_xml, select_articles, write_article_xml
 
 ENTITY = "<entity><meta><id>{id}</id><name>{name}</name><page_no>{page}</page_no><publication>{pub}</publication><issue_date>{date}</issue_date></meta><full_text>{text}</full_text></entity>"
 
@@ -28,7 +32,43 @@ def test_xml(spark, tmp_path):
     assert read_article_xml(spark, [str(tmp_path / "none")], dt.datetime(1939, 1, 1), dt.datetime(1940, 1, 1)).count() == 0
 
 
-def test_overlapping_periods(spark):
+def test_strict_streams(spark):
+    rows = spark.createDataFrame([("GDL", 1), ("XYZ", 1)], "stream string, page_no int")
+    assert select_articles(rows).count() == 1
+    assert select_articles(rows.where("stream = 'GDL'"), strict=True).count() == 1
+    with pytest.raises(Exception, match="unknown stream XYZ"):
+        select_articles(rows, strict=True).collect()
+
+
+def test_xml_is_read_as_it_was_written(spark, tmp_path):
+    rows = [(1, "a & b", "GDL", 2, dt.datetime(1939, 3, 5, 12), "one <two>"), (2, "t", "JDG", 1, dt.datetime(1939, 7, 1, 12), "three")]
+    articles = spark.createDataFrame(rows, "article_id long, title string, stream string, page_no int, issue_ts timestamp, full_text string")
+    write_article_xml(articles, str(tmp_path / "articles1939.xml"))
+    back = read_article_xml(spark, [str(tmp_path)], dt.datetime(1938, 1, 1), dt.datetime(1941, 1, 1))
+    assert sorted(map(tuple, back.collect())) == [(str(r[0]), *r[1:]) for r in rows]
+
+
+def test_running_totals(spark):
+    rows = [(i * 7 % 50, i) for i in range(50)]
+    got = running_total(spark.createDataFrame(rows, "k long, n long").repartition(5), ["k"], F.col("n"), "before").collect()
+    ordered = sorted(rows)
+    assert {(r.k, r.n): r.before for r in got} == {r: sum(n for _, n in ordered[:i]) for i, r in enumerate(ordered)}
+    for n in (1, 3, 7, 60):
+        chunks = terms.period_chunks(spark.createDataFrame([(k,) for k, _ in rows], "article_id long"), n).collect()
+        sizes = [50 // n + (i < 50 % n) for i in range(n)]
+        assert [r.chunk for r in sorted(chunks)] == [i + 1 for i, size in enumerate(sizes) for _ in range(size)]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    points = spark.createDataFrame([(i, i * 1.5, i % 3 * 1.0) for i in range(20)], "point_id long, x double, y double")
+    targets = spark.createDataFrame([(i, i * 2.0, 1.0) for i in range(15)], "target_id long, tx double, ty double")
+    whole = sorted(map(tuple, graph.nearest(points, targets).collect()))
+    monkeypatch.setattr(graph, "BROADCAST_TARGETS", 4)
+    assert whole == sorted(map(tuple, graph.nearest(points, targets).collect()))
+    assert whole[3] == (3, 2, 1.25)
+
+
+def test_overlapping_periods(spark, monkeypatch):
     rows = spark.createDataFrame([(i, dt.datetime(2024, 1, 1, 0, 0, s)) for i, s in ((1, 10), (2, 20), (3, 30), (4, 40))], "article_id long, issue_ts timestamp")
     at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
     periods = P.from_rows(spark, [(at(5), at(25)), (at(15), at(40))])
@@ -37,6 +77,11 @@ def test_overlapping_periods(spark):
         assert got == [(0, 1), (0, 2), (1, 2), (1, 3)]
     with pytest.raises(ValueError):
         P.require_inside((at(1), at(2)), (at(1), at(3)), "it")
+    assert P.bounds(periods) == (at(5), at(40)) and P.only(periods.limit(1)) == (at(5), at(25))
+    with pytest.raises(ValueError):
+        P.only(periods)
+    monkeypatch.setattr(P, "BROADCAST_PERIODS", 1)
+    assert sorted((r.period_id, r.article_id) for r in P.assign(rows, periods).collect()) == [(0, 1), (0, 2), (1, 2), (1, 3)]
 
 
 def toy(spark):
@@ -176,6 +221,30 @@ def test_pipelines(spark):
     assert pipelines.evolution_graph(articles, periods, params).count() == 4
     strength = pipelines.theme_strength(articles, periods, params).collect()
     assert len({r.theme for r in strength}) in (0, 4)
+    # the same steps on the driver, word by word
+    fitted = pipelines.fit_themes(articles, periods, params)
+    tokens = tokenize(articles)
+    lexicon = background.lexicon(background.background_model(tokens, 1)).persist()
+    ids = sorted(r.theme_id for r in fitted.themes.collect())
+    stream = terms.word_stream(tokens, lexicon).orderBy("pos").collect()
+    model = hmm.star(len(ids), hmm.emissions(lexicon, fitted.words, ids))
+    words_ = np.array([r.word_id for r in stream])
+    states = brute_viterbi(hmm.train_sequential(model, words_, params.pi_threshold, params.a_threshold, params.max_iterations), words_)
+    want = Counter((r.ts, s) for r, s in zip(stream, states, strict=True) if s)
+    assert {(r.ts, r.theme): r.n for r in strength if r.n} == dict(want)
+    in_blocks = pipelines.theme_strength(articles, periods, replace(params, force_sequential=False, block_size=16, viterbi_block_size=16)).collect()
+    assert {(r.ts, r.theme): r.n for r in in_blocks if r.n} == dict(want)
+    # the HMM reads its frame only, and frames have to lie in each other
+    framed = replace(params, hmm_start="2024-01-08", hmm_days=7, force_sequential=True)
+    whole = (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 15))
+    assert {r.ts.day for r in pipelines.theme_strength(articles, periods, framed, whole).collect()} <= {9}
+    for frame in ((dt.datetime(2024, 1, 2), whole[1]), (whole[0], dt.datetime(2024, 1, 14))):
+        with pytest.raises(ValueError):
+            pipelines.theme_strength(articles, periods, framed, frame)
+    assert hmm.emissions(lexicon.limit(0), fitted.words, ids).shape == (len(ids) + 1, 0)
+    with pytest.raises(ValueError):
+        pipelines.themes_of_long_period(articles, 2, 3, params, periods)
+    assert pipelines.themes_of_long_period(articles, 2, 3, params, periods.limit(1)).count() == 3
     assert pipelines.themes_of_long_period(articles, 2, 3, params).count() == 3
 
 
