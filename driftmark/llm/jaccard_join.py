@@ -4,10 +4,15 @@
    what their own nodes share, so that no task and no row grows with the number of copies.
 2. A token that only one node has cannot be part of an intersection. A node that shares less than its least intersection is
    done. The rest is counted again among itself, which gives document frequencies.
-3. Orders: rare tokens first, ties by hash, with another hash for each order. Two nodes are candidates only if their prefixes share a token under every
-   order. Nodes connected by such tokens (under one order, then within that under the next) form blocks.
-4. Within a block, prefix indexes under both orders propose pairs, these are intersected, pairs of one component already are left out,
-   and the others are verified exactly on the whole sets.
+3. Orders: rare tokens first, ties by hash, with another hash for each order. Two nodes are candidates only if their prefixes share as many tokens
+   as a similar pair of their sizes has to, one at least, under every order. Only candidates are verified, on their whole sets, each pair in a row of its own.
+4. What is asked for is which nodes are connected, so pairs within a component need no verification. Hub rounds come first: of
+   each list of nodes with one prefix token one node is the hub, and the others are paired with it; the components of the links found are merged.
+   Then all candidates are proposed whose nodes are still in different components, each where its first shared token is. Long lists are dealt out in tiles
+   of TILE by TILE nodes.
+
+Shingles go by 64-bit hashes (48 bits and the number of a partition). Two sets of 300 shingles have a false match with a chance of
+300 * 300 / 2**48 at most, about 3e-10, and it matters only where the similarity is just below the limit.
 """
 
 from __future__ import annotations
@@ -18,19 +23,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship_package
 from .common import Scratch, binary_rows, partitions_for, slices_by_bytes, utf8_parts
-from .words import U64, Words, mix, ranges, sequences, stream
+from .words import U64, Words, mix, sequences, stream
 
 SHINGLE = 5
 #: Similarity as a percentage of the union.
 PERCENT = 80
-BATCH_BYTES, BATCH_ROWS = 2_000_000, 50_000
+BATCH_BYTES, BATCH_ROWS = 1_000_000, 50_000
+#: Sets that a task unpacks at a time.
+SETS = 500
 #: MB of Parquet input for each task that counts tokens.
 COUNT_MB = 8
+#: Rounds in which lists are reduced by hubs, and nodes of a list that meet in one tile.
+HUB_ROUNDS, TILE = 2, 256
 #: Place of a token that a map task has found with several of its own nodes.
 KNOWN = 0xFFFF
 
@@ -181,92 +190,108 @@ def prefixes(n: int, token: np.ndarray, df: np.ndarray, percent: int) -> list[np
     return [token[np.lexsort((key, df))[:length]] for key in (token, mix(token ^ U64(0x2545F4914F6CDD1D)))]
 
 
-class Components:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def labels(self) -> np.ndarray:
-        while not np.array_equal(up := self.up[self.up], self.up):
-            self.up = up
-        return self.up
-
-
-def join_block(size: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Component of each node of a block, by exact verification. sets: sorted tokens that some other node has; size: of the whole set."""
-    m = len(sets)
-    node = np.repeat(np.arange(m), [len(s) for s in sets])
-    token = np.concatenate(sets)
-    names, place, df = np.unique(token, return_inverse=True, return_counts=True)
-    place = place.reshape(-1)
-    comps = Components(m)
-    unique = np.bincount(node[df[place] == 1], minlength=m)
-    known = np.bincount(node, minlength=m)
-    length = np.maximum(prefix_length(size, percent) - (size - known) - unique, 0)
-    # prefix lists under each order, and their inverted indexes
-    indexes = []
-    for key in (names, mix(names ^ U64(0x2545F4914F6CDD1D))):
-        rank = np.empty(len(names), np.int64)
-        rank[np.lexsort((key, df))] = np.arange(len(names))
-        live = df[place] > 1
-        order = np.lexsort((rank[place[live]], node[live]))
-        n_, p_ = node[live][order], place[live][order]
-        begin = np.searchsorted(n_, np.arange(m + 1))
-        inside = np.arange(len(n_)) - begin[n_] < length[n_]
-        n_, p_ = n_[inside], p_[inside]
-        by = np.argsort(p_, kind="stable")
-        indexes.append((np.searchsorted(n_, np.arange(m + 1)), p_, n_[by], np.searchsorted(p_[by], np.arange(len(names) + 1))))
-    def proposed(x: int, begin: np.ndarray, tokens: np.ndarray, members: np.ndarray, edge: np.ndarray) -> np.ndarray:
-        own = tokens[begin[x] : begin[x + 1]]
-        mark = np.zeros(m, bool)
-        mark[members[ranges(edge[own], edge[own + 1] - edge[own])]] = True
-        return mark
-
-    # nodes of frequent tokens first: they are likely to be what others are copies of
-    weight = np.bincount(node, df[place], minlength=m) / np.maximum(size, 1)
-    for x in np.argsort(-weight, kind="stable"):
-        mine = proposed(x, *indexes[0]) & proposed(x, *indexes[1])
-        mine &= (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])) & (comps.labels() != comps.find(x))
-        for y in np.flatnonzero(mine):
-            if comps.find(x) == comps.find(y):
-                continue
-            a, b = sets[x], sets[y]
-            at = np.searchsorted(a, b)
-            both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-            if 100 * both >= percent * (size[x] + size[y] - both):
-                comps.up[max(comps.find(x), comps.find(y))] = min(comps.find(x), comps.find(y))
-    return comps.labels()
-
-
-def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, label): the least node reachable over shared keys; edges (node, key).
-
-    Each key is first replaced by links to its least node, which are few where nodes share many keys. Labels spread over the links and to the
-    labels' own labels until none changes.
+def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, label): the least node reachable over links (x, y), for nodes that have any.
+
+    Labels spread over the links and to the labels' own labels until none changes.
     """
-    hubs = edges.groupBy("key").agg(F.min("node").alias("hub"))
-    star = scratch.write(edges.join(hubs, "key").select("node", "hub").distinct(), f"{name}_star")
-    links = star.where(F.col("node") != F.col("hub"))
-    links = links.union(links.select("hub", "node"))
-    labels, step = star.groupBy("node").agg(F.min("hub").alias("label")), 0
+    ends = links.select(F.col("x").alias("node"), F.col("y").alias("hub"))
+    both = scratch.write(ends.union(ends.select("hub", "node")), f"{name}_links")
+    labels, step = both.groupBy("node").agg(F.least("node", F.min("hub")).alias("label")), 0
     while True:
         labels = labels.withColumnsRenamed({"node": "at", "label": "old"})
-        near = links.join(labels, F.col("hub") == F.col("at")).groupBy("node").agg(F.min("old").alias("near"))
+        near = both.join(labels, F.col("hub") == F.col("at")).groupBy("node").agg(F.min("old").alias("near"))
         spread = labels.join(near, F.col("at") == F.col("node"), "left").select(F.col("at").alias("node"), "old", F.least("old", F.coalesce("near", "old")).alias("label"))
         jump = spread.select(F.col("node").alias("to"), F.col("label").alias("further"))
         fresh = scratch.write(spread.join(jump, F.col("label") == F.col("to"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), f"{name}{step}")
         moved = fresh.where(F.col("label") != F.col("old")).limit(1).count()
         labels = fresh.select("node", "label")
+        scratch.drop(*([f"{name}{step - 1}"] if step else []))
         if not moved:
+            scratch.drop(f"{name}_links")
             return labels
         step += 1
 
 
+def shared_at_least(a: str, b: str, percent: int) -> Column:
+    """Tokens that the prefixes of similar sets of sizes a and b share at least.
+
+    The intersection has percent * (a + b) / (100 + percent) tokens. Of the set whose prefix ends first in the order, what is not in the prefix is
+    least_overlap - 1 tokens; all its other shared tokens are in both prefixes.
+    """
+    return F.expr(f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent} - ({percent} * greatest({a}, {b}) + 99) div 100 + 1")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose prefixes share enough tokens under both orders, and that are similar."""
+    own = [nodes.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "first", "second")]) for side in "xy"]
+    met = pairs.join(own[0], F.col("x") == F.col("node_x")).join(own[1], F.col("y") == F.col("node_y"))
+    enough = [F.size(F.array_intersect(f"{c}_x", f"{c}_y")) >= shared_at_least("n_x", "n_y", percent) for c in ("first", "second")]
+    met = met.where(enough[0] & enough[1]).select("x", "y", "n_x", "n_y")
+    for side in "xy":
+        met = met.join(nodes.select(F.col("node").alias("of"), F.col("blob").alias(f"blob_{side}")), F.col(side) == F.col("of")).drop("of")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, SETS) for b in batches for i in range(0, b.num_rows, SETS)):
+            n_x, n_y = (batch.column(c).to_numpy() for c in ("n_x", "n_y"))
+            sets = ((np.frombuffer(a, U64), np.frombuffer(b, U64)) for a, b in zip(batch.column("blob_x").to_pylist(), batch.column("blob_y").to_pylist(), strict=True))
+            both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], ["x", "y"]).filter(pa.array(100 * both >= percent * (n_x + n_y - both)))
+
+    return met.select("x", "y", "n_x", "n_y", "blob_x", "blob_y").mapInArrow(verify, "x long, y long")
+
+
+def link_components(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, label) of the nodes that have a link. nodes: node, n, weight, first and second (prefixes under the orders), lead (tokens before these, which no other node has), blob."""
+    lists = nodes.select("node", "n", "weight", "lead", F.posexplode("first").alias("pos", "token")).withColumn("left_", F.col("n") - F.col("lead") - F.col("pos")).drop("lead", "pos")
+    fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    pair = [F.least("node", "node2").alias("x"), F.greatest("node", "node2").alias("y")]
+    links, tried, labels = None, None, None
+
+    def labelled() -> DataFrame:
+        if labels is None:
+            return lists.withColumn("label", F.col("node"))
+        return lists.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select(*lists.columns, F.coalesce("label", "node").alias("label"))
+
+    def fresh(proposed: DataFrame, name: str) -> DataFrame:
+        found = proposed.select(*pair).distinct()
+        return scratch.write(found if tried is None else found.join(tried, ["x", "y"], "left_anti"), name)
+
+    for r in range(HUB_ROUNDS):
+        # first the node that is likeliest to be what others are copies of, then any
+        rank = F.col("weight") if r == 0 else F.xxhash64(F.lit(r), "token", "node").cast("double")
+        here = labelled()
+        hubs = here.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "node", "n", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+        hubs = hubs.where("low <> high").select("token", F.col("hub.node").alias("node2"), F.col("hub.n").alias("n2"), F.col("hub.label").alias("label2"))
+        pairs = fresh(here.join(hubs, "token").where((F.col("label") != F.col("label2")) & fits), f"pairs{r}")
+        new = scratch.write(verified(pairs, nodes, percent), f"links{r}")
+        tried = pairs if tried is None else tried.union(pairs)
+        if new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        labels = connected(links, scratch, f"round{r}_")
+    here = labelled()
+    open_ = here.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    dealt = here.join(open_.select("token", F.ceil(F.col("m") / TILE).cast("int").alias("chunks")), "token").withColumn("chunk", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("chunks")).cast("int"))
+    # what a pair needs to be a candidate goes along, so that no other pair leaves the join
+    dealt = dealt.join(nodes.select(F.col("node").alias("of"), "first", "second"), F.col("node") == F.col("of")).drop("of", "weight")
+    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    own = ["node", "n", "label", "left_", "first", "second"]
+    left = rows.where("chunk <= other").select("token", "chunk", "other", *own)
+    right = rows.where("chunk >= other").select("token", F.col("other").alias("chunk"), F.col("chunk").alias("other"), *[F.col(c).alias(f"{c}2") for c in own])
+    apart = (F.col("label") != F.col("label2")) & ((F.col("chunk") != F.col("other")) | (F.col("node") < F.col("node2")))
+    # from the token on, each set has to have as many tokens left as the intersection
+    reach = (100 + percent) * F.least("left_", "left_2") >= percent * (F.col("n") + F.col("n2"))
+    both, need = F.array_intersect("first", "first2"), shared_at_least("n", "n2", percent)
+    enough = (F.size(both) >= need) & (F.element_at(both, 1) == F.col("token")) & (F.size(F.array_intersect("second", "second2")) >= need)
+    pairs = fresh(left.join(right, ["token", "chunk", "other"]).where(apart & fits & reach & enough), "rest")
+    new = scratch.write(verified(pairs, nodes, percent), "more_links")
+    if not new.isEmpty():
+        labels = connected(new if links is None else links.union(new), scratch, "last_")
+    scratch.drop("rest", "more_links", *(f"{name}{r}" for name in ("pairs", "links") for r in range(HUB_ROUNDS)))
+    return labels if labels is not None else scratch.write(nodes.select("node", F.col("node").alias("label")).limit(0), "none")
+
+
 def similar_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
@@ -294,7 +319,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scrat
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for some in (batch.slice(b, 5_000) for b in range(0, batch.num_rows, 5_000)):
+            for some in (batch.slice(b, 10 * SETS) for b in range(0, batch.num_rows, 10 * SETS)):
                 table = np.zeros(some.num_rows, NODE)
                 table["s1"], table["s2"], table["n"] = (some.column(c).to_numpy() for c in ("sig1", "sig2", "n"))
                 blobs = some.column("blob").to_pylist()
@@ -337,51 +362,33 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scrat
     least = F.min("doc_id").alias("component_id")
     # texts with one set in several chunks become one node, and the nodes are counted again among themselves
     nodes = first.where("kind = 1").groupBy("sig1", "sig2").agg(F.first("n").alias("n"), F.first("blob").alias("blob"))
-    sets = scratch.write(shared(nodes.mapInArrow(again, ROWS), False).select("sig1", "sig2", "n", "blob", "df"), "sets")
+    sets = shared(nodes.mapInArrow(again, ROWS), False).select("sig1", "sig2", "n", "blob", "df")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, orders, keys = [], [], []
-            for s1, s2, n, blob, df in zip(*(batch.column(c).to_pylist() for c in ("sig1", "sig2", "n", "blob", "df")), strict=True):
-                for order, prefix in enumerate(prefixes(n, np.frombuffer(blob, U64), np.frombuffer(df, np.int32), percent)):
-                    nodes.append(np.repeat(np.array([(s1, s2)], [("a", np.int64), ("b", np.int64)]), len(prefix)))
-                    orders.append(np.full(len(prefix), order, np.int32))
-                    keys.append(prefix.view(np.int64))
-            if nodes:
-                node = np.concatenate(nodes)
-                yield pa.record_batch([pa.array(node["a"]), pa.array(node["b"]), pa.array(np.concatenate(orders)), pa.array(np.concatenate(keys))], ["s1", "s2", "ord", "token"])
-
-    proposed = scratch.write(sets.mapInArrow(propose, "s1 long, s2 long, ord int, token long").select(F.struct("s1", "s2").alias("node"), "ord", "token"), "prefixes")
-    one = connected(proposed.where("ord = 0").select("node", F.col("token").alias("key")), scratch, "one")
-    inside = proposed.where("ord = 1").join(one, "node").select("node", F.struct("label", "token").alias("key"))
-    blocks = connected(inside, scratch, "two")
+        for batch in (b.slice(i, SETS) for b in batches for i in range(0, b.num_rows, SETS)):
+            first, second, weight, lead, keep = [], [], [], [], []
+            for n, blob, df in zip(*(batch.column(c).to_pylist() for c in ("n", "blob", "df")), strict=True):
+                token, often = np.frombuffer(blob, U64), np.frombuffer(df, np.int32)
+                found = prefixes(n, token, often, percent)
+                keep.append(bool(found))
+                if found:
+                    first.append(found[0].view(np.int64))
+                    second.append(found[1].view(np.int64))
+                    weight.append(often.sum() / n)
+                    lead.append(n - len(token))
+            some = batch.filter(pa.array(keep, pa.bool_()))
+            if some.num_rows:
+                arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (first, second)]
+                yield pa.record_batch([*(some.column(c) for c in ("sig1", "sig2", "n")), pa.array(weight, pa.float64()), pa.array(lead, pa.int32()), *arrays, some.column("blob")], ["sig1", "sig2", "n", "weight", "lead", "first", "second", "blob"])
+
+    # numbers that are fixed once the table is written stand for nodes from here on
+    table = sets.mapInArrow(propose, "sig1 long, sig2 long, n int, weight double, lead int, first array<long>, second array<long>, blob binary")
+    table = scratch.write(table.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    labels = link_components(table, percent, scratch)
     members = names.groupBy("sig1", "sig2").agg(least)
-    labelled = sets.join(blocks.select("node.s1", "node.s2", F.col("label").alias("block")), (F.col("sig1") == F.col("s1")) & (F.col("sig2") == F.col("s2")))
-    several = blocks.groupBy(F.col("label").alias("block")).count().where(F.col("count") > 1).select("block")
-    work = labelled.join(several, "block", "left_semi").join(members, ["sig1", "sig2"]).select("block", "sig1", "sig2", "n", "blob", "component_id")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(rows: list) -> pa.RecordBatch:
-            sets_ = [np.sort(np.frombuffer(r[4], U64)) for r in rows]
-            group = join_block(np.array([r[3] for r in rows]), sets_, percent)
-            smallest: dict[int, int | None] = {}
-            for g, r in zip(group.tolist(), rows, strict=True):
-                ids = [x for x in (smallest.get(g), r[5]) if x is not None]
-                smallest[g] = min(ids, default=None)
-            return pa.record_batch([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([smallest[g] for g in group.tolist()], pa.int64())], ["sig1", "sig2", "component_id"])
-
-        held: list = []
-        for batch in batches:
-            for block, *row in zip(*(batch.column(c).to_pylist() for c in ("block", "sig1", "sig2", "n", "blob", "component_id")), strict=True):
-                if held and held[-1][0] != block:
-                    yield close(held)
-                    held = []
-                held.append((block, *row))
-        if held:
-            yield close(held)
-
-    found = scratch.write(work.repartition(parts, "block").sortWithinPartitions("block", "sig1", "sig2").mapInArrow(verify, "sig1 long, sig2 long, component_id long"), "components")
-    scratch.drop("sets", "prefixes")
+    named = table.select("node", "sig1", "sig2").join(labels, "node").join(members, ["sig1", "sig2"])
+    smallest = named.groupBy(F.col("label").alias("of")).agg(F.min("component_id").alias("component_id"))
+    found = scratch.write(named.select("sig1", "sig2", "label").join(smallest, F.col("label") == F.col("of")).select("sig1", "sig2", "component_id"), "components")
     lone = members.join(found, ["sig1", "sig2"], "left_anti")
     all_ = found.unionByName(lone).withColumnsRenamed({"sig1": "s1", "sig2": "s2"})
     joined = names.join(all_, (F.col("sig1") == F.col("s1")) & (F.col("sig2") == F.col("s2")))
