@@ -155,6 +155,46 @@ def scaled(x: np.ndarray, axes: int | tuple[int, ...] = -1) -> np.ndarray:
     return x / np.where(total == 0, 1.0, total)
 
 
+def expected(model: Hmm, obs: np.ndarray, first: bool, row: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Transition sums of a block, and the posterior of its first state. row: scaled forward values before the block; beta: backward ones after it."""
+    a, n = model.a, model.n
+    pieces = Pieces(model.b[:, obs].T, first, 1.0)
+    ms = pieces.products(a)
+    rows, betas = [row], [beta]
+    for m in ms[:-1]:
+        rows.append(scaled(rows[-1] @ m))
+    for m in ms[:0:-1]:
+        betas.append(scaled(m @ betas[-1]))
+    before, after = [np.array(rows)], np.array(betas[::-1])
+    for t in range(pieces.steps):
+        step = (before[-1] @ a) * pieces.e[:, t]
+        if pieces.start(t):
+            step[0] = before[-1][0] * pieces.e[0, 0]
+        before.append(np.where(pieces.live[:, t, None], scaled(step), before[-1]))
+    xi, gamma = np.zeros((n, n)), np.zeros(n)
+    for t in range(pieces.steps - 1, -1, -1):
+        ahead, live = pieces.e[:, t] * after, pieces.live[:, t].copy()
+        if t == 0:
+            gamma = scaled(before[1][0] * after[0])
+        if pieces.start(t):
+            live[0] = False
+        xi += scaled(before[t][live][:, :, None] * a * ahead[live][:, None, :], (1, 2)).sum(0)
+        after = np.where(pieces.live[:, t, None], scaled(ahead @ a.T), after)
+    return xi, gamma
+
+
+def train_local(model: Hmm, obs: np.ndarray, pi_threshold: float = 0.01, a_threshold: float = 0.01, max_iterations: int = 50) -> Hmm:
+    """train_sequential with the words worked through in pieces side by side."""
+    for _ in range(max_iterations):
+        xi, pi = expected(model, obs, True, model.pi, np.ones(model.n))
+        a = normalised(xi, model.a)
+        done = np.abs(pi - model.pi).sum() < pi_threshold and np.abs(a - model.a).sum() < a_threshold
+        model = Hmm(pi, a, model.b)
+        if done:
+            break
+    return model
+
+
 def chained(score: np.ndarray, ms: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Scores after all matrices (in the sense of best), and for each the best state before it by the state after it."""
     came = []
@@ -179,7 +219,7 @@ def _matrices(rows: DataFrame, n: int) -> tuple[list[int], list[np.ndarray]]:
     return [r.block for r in found], [np.array(r.m).reshape(n, n) for r in found]
 
 
-def train(stream: DataFrame, model: Hmm, block: int = 65536, pi_threshold: float = 0.01, a_threshold: float = 0.01, max_iterations: int = 50, sequential_below: float = 1e6, force_sequential: bool = False) -> Hmm:
+def train(stream: DataFrame, model: Hmm, block: int = 65536, pi_threshold: float = 0.01, a_threshold: float = 0.01, max_iterations: int = 50, sequential_below: float = 5e7, force_sequential: bool = False) -> Hmm:
     """Baum-Welch with fixed emissions; streams with fewer than sequential_below / N**2 words go to the driver, with force_sequential any stream does."""
     spark: SparkSession = stream.sparkSession
     ship_package(spark)
@@ -188,7 +228,7 @@ def train(stream: DataFrame, model: Hmm, block: int = 65536, pi_threshold: float
     if length == 0:
         return model
     if force_sequential or length * n * n <= sequential_below:
-        return train_sequential(model, stream.orderBy("pos").toPandas()["word_id"].to_numpy(), pi_threshold, a_threshold, max_iterations)
+        return train_local(model, stream.orderBy("pos").toPandas()["word_id"].to_numpy(), pi_threshold, a_threshold, max_iterations)
     stream = stream.persist()
     for _ in range(max_iterations):
         sent = spark.sparkContext.broadcast(model)
@@ -208,30 +248,8 @@ def train(stream: DataFrame, model: Hmm, block: int = 65536, pi_threshold: float
         edges = spark.sparkContext.broadcast(dict(zip(numbers, zip(before, after[::-1], strict=True), strict=True)))
 
         def expect(number: int, obs: np.ndarray, sent=sent, edges=edges) -> pd.DataFrame:
-            a, (row, beta) = sent.value.a, edges.value[number]
-            pieces = Pieces(sent.value.b[:, obs].T, number == 0, 1.0)
-            ms = pieces.products(a)
-            rows, betas = [row], [beta]
-            for m in ms[:-1]:
-                rows.append(scaled(rows[-1] @ m))
-            for m in ms[:0:-1]:
-                betas.append(scaled(m @ betas[-1]))
-            before, beta = [np.array(rows)], np.array(betas[::-1])
-            for t in range(pieces.steps):
-                step = (before[-1] @ a) * pieces.e[:, t]
-                if pieces.start(t):
-                    step[0] = before[-1][0] * pieces.e[0, 0]
-                before.append(np.where(pieces.live[:, t, None], scaled(step), before[-1]))
-            xi, gamma = np.zeros((n, n)), None
-            for t in range(pieces.steps - 1, -1, -1):
-                ahead, live = pieces.e[:, t] * beta, pieces.live[:, t].copy()
-                if t == 0:
-                    gamma = before[1][0] * beta[0]
-                if pieces.start(t):
-                    live[0] = False
-                xi += scaled(before[t][live][:, :, None] * a * ahead[live][:, None, :], (1, 2)).sum(0)
-                beta = np.where(pieces.live[:, t, None], scaled(ahead @ a.T), beta)
-            return pd.DataFrame({"block": [number], "m": [xi.ravel().tolist()], "g": [scaled(gamma).tolist()]})
+            xi, gamma = expected(sent.value, obs, number == 0, *edges.value[number])
+            return pd.DataFrame({"block": [number], "m": [xi.ravel().tolist()], "g": [gamma.tolist()]})
 
         rows = _per_block(stream, block, expect, "block long, m array<double>, g array<double>").collect()
         xi = sum(np.array(r.m) for r in sorted(rows, key=lambda r: r.block)).reshape(n, n)

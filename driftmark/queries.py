@@ -488,8 +488,8 @@ def baum_welch_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def baum_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(i, j, p): transitions after training in blocks."""
-    trained = hmm.train(event_stream(spark, sf_dir), event_model(), 4096, 1e-4, 1e-4, sequential_below=0)
+    """(i, j, p): transitions after training until the thresholds stop it."""
+    trained = hmm.train(event_stream(spark, sf_dir), event_model(), 4096, 1e-4, 1e-4)
     return spark.createDataFrame([(i, j, float(trained.a[i, j])) for i in range(trained.n) for j in range(trained.n)], "i int, j int, p double")
 
 

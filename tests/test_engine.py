@@ -176,6 +176,8 @@ def test_blocks_equal_the_sequence(spark, monkeypatch, block, sub):
     long = chain(1500)[1]
     rows = spark.createDataFrame([(i, int(o)) for i, o in enumerate(long)], "pos long, word_id long")
     once = hmm.train_sequential(start, long, 0, 0, 1)
+    local = hmm.train_local(start, long, 0, 0, 4)
+    assert np.allclose(local.a, hmm.train_sequential(start, long, 0, 0, 4).a)
     assert np.allclose(once.a, hmm.train(rows, start, 100 * block, 0, 0, 1, sequential_below=0).a)
     assert [r.state for r in hmm.decode(rows, true, 100 * block).orderBy("pos").collect()] == brute_viterbi(true, long)
     got = [r.state for r in hmm.decode(stream, true, block).orderBy("pos").collect()]
