@@ -47,6 +47,8 @@ KNOWN = 0xFFFF
 ROWS = "kind int, target int, chunk long, blob binary"
 #: kind 0: a document and its node; 1: a node that shares enough, with its shared tokens and their document frequencies.
 FOUND = "kind int, doc_id long, sig1 long, sig2 long, n int, blob binary, df binary"
+#: A node that may have similar ones: weight (mean document frequency), its prefixes under the orders after `lead` tokens that no other node has, its shared tokens.
+NODES = "sig1 long, sig2 long, n int, weight double, lead int, first array<long>, second array<long>, blob binary"
 NODE = np.dtype([("doc", np.int64), ("null", np.bool_), ("s1", np.int64), ("s2", np.int64), ("n", np.int32)])
 
 
@@ -80,6 +82,11 @@ def batch_of(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(kind, pa.int32()), pa.array(target, pa.int32()), pa.array(chunk, pa.int64()), pa.array(blob, pa.binary())], ["kind", "target", "chunk", "blob"])
 
 
+def home(chunk: int, parts: int) -> int:
+    """The partition where what belongs to a chunk is gathered. Chunk numbers have the task's number in their high bits, so all bits have to count."""
+    return (int(chunk) * 0x9E3779B97F4A7C15 % (1 << 64) >> 32) % parts
+
+
 def packed(chunk: int, node: np.ndarray, token: np.ndarray, parts: int) -> Iterator[tuple[int, int, int, bytes]]:
     """Rows of kind 2 per target partition: 48 bits of each token (the partition has the rest) and the node's place in the chunk, 8 bytes in all."""
     part = (token % U64(parts)).astype(np.int64)
@@ -97,7 +104,7 @@ def shared_rows(chunk: np.ndarray, node: np.ndarray, token: np.ndarray, df: np.n
     chunk, node, token, df = chunk[order], node[order].astype(np.uint16), token[order], df[order].astype(np.int32)
     edge = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)])
     for a, b in itertools.pairwise([*edge, len(chunk)]):
-        yield 1, int(chunk[a] % parts), int(chunk[a]), token[a:b].tobytes() + df[a:b].tobytes() + node[a:b].tobytes()
+        yield 1, home(chunk[a], parts), int(chunk[a]), token[a:b].tobytes() + df[a:b].tobytes() + node[a:b].tobytes()
 
 
 def name_of(token: np.ndarray, parts: int) -> np.ndarray:
@@ -120,7 +127,7 @@ def mapped(raw: np.ndarray, at: np.ndarray, doc_ids: pa.Array, chunk: int, parts
     chosen = np.zeros(n, bool)
     chosen[first] = True
     node, token = doc[chosen[doc]], token[chosen[doc]]
-    rows = [(0, chunk % parts, chunk, table.tobytes())]
+    rows = [(0, home(chunk, parts), chunk, table.tobytes())]
     order = np.argsort(token, kind="stable")
     same = token[order][1:] == token[order][:-1]
     several, head = np.zeros(len(token), bool), np.zeros(len(token), bool)
@@ -324,7 +331,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scrat
                 table["s1"], table["s2"], table["n"] = (some.column(c).to_numpy() for c in ("sig1", "sig2", "n"))
                 blobs = some.column("blob").to_pylist()
                 node = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
-                yield batch_of([(0, number % parts, number, table.tobytes()), *packed(number, node, np.frombuffer(b"".join(blobs), U64), parts)])
+                yield batch_of([(0, home(number, parts), number, table.tobytes()), *packed(number, node, np.frombuffer(b"".join(blobs), U64), parts)])
                 number += 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,17 +360,6 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scrat
 
         return run
 
-    def shared(rows: DataFrame, documents: bool) -> DataFrame:
-        counted_ = rows.repartitionById(parts, F.col("target")).mapInArrow(count, ROWS)
-        return counted_.repartitionById(parts, F.col("target")).sortWithinPartitions("chunk").mapInArrow(gather(documents), FOUND)
-
-    first = scratch.write(shared(docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(to_parts, ROWS), True), "first")
-    names = first.where("kind = 0").select("doc_id", "n", "sig1", "sig2")
-    least = F.min("doc_id").alias("component_id")
-    # texts with one set in several chunks become one node, and the nodes are counted again among themselves
-    nodes = first.where("kind = 1").groupBy("sig1", "sig2").agg(F.first("n").alias("n"), F.first("blob").alias("blob"))
-    sets = shared(nodes.mapInArrow(again, ROWS), False).select("sig1", "sig2", "n", "blob", "df")
-
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SETS) for b in batches for i in range(0, b.num_rows, SETS)):
             first, second, weight, lead, keep = [], [], [], [], []
@@ -381,8 +377,21 @@ def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Scrat
                 arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (first, second)]
                 yield pa.record_batch([*(some.column(c) for c in ("sig1", "sig2", "n")), pa.array(weight, pa.float64()), pa.array(lead, pa.int32()), *arrays, some.column("blob")], ["sig1", "sig2", "n", "weight", "lead", "first", "second", "blob"])
 
+    def name_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # in one function, so that a task needs one Python worker
+        yield from propose(gather(False)(batches))
+
+    def shared(rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        counted_ = rows.repartitionById(parts, F.col("target")).mapInArrow(count, ROWS)
+        return counted_.repartitionById(parts, F.col("target")).sortWithinPartitions("chunk").mapInArrow(fn, schema)
+
+    first = scratch.write(shared(docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(to_parts, ROWS), gather(True), FOUND), "first")
+    names = first.where("kind = 0").select("doc_id", "n", "sig1", "sig2")
+    least = F.min("doc_id").alias("component_id")
+    # texts with one set in several chunks become one node, and the nodes are counted again among themselves
+    nodes = first.where("kind = 1").groupBy("sig1", "sig2").agg(F.first("n").alias("n"), F.first("blob").alias("blob"))
     # numbers that are fixed once the table is written stand for nodes from here on
-    table = sets.mapInArrow(propose, "sig1 long, sig2 long, n int, weight double, lead int, first array<long>, second array<long>, blob binary")
+    table = shared(nodes.mapInArrow(again, ROWS), name_nodes, NODES)
     table = scratch.write(table.withColumn("node", F.monotonically_increasing_id()), "nodes")
     labels = link_components(table, percent, scratch)
     members = names.groupBy("sig1", "sig2").agg(least)

@@ -118,7 +118,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of a task's texts of each kind: how many, as bucket -1, and how many have each bucket."""
-        count = np.zeros((2, (1 << BUCKET_BITS) + 1), np.int64)
+        count = np.zeros((2, (1 << BUCKET_BITS) + 1), np.int32)
         for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
             doc, bucket = buckets(*utf8_parts(batch.column("text")))
             both = np.unique(doc << BUCKET_BITS | bucket)
@@ -126,7 +126,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
             count[:, -1] += np.bincount(kind, minlength=2)
             np.add.at(count, (kind[both >> BUCKET_BITS], both & ((1 << BUCKET_BITS) - 1)), 1)
         kind, bucket = np.nonzero(count)
-        yield pa.record_batch([pa.array(np.where(bucket == count.shape[1] - 1, -1, bucket)), *(pa.array(np.where(kind == k, count[kind, bucket], 0)) for k in (1, 0))], ["bucket", "p", "u"])
+        yield pa.record_batch([pa.array(np.where(bucket == count.shape[1] - 1, -1, bucket)), *(pa.array(np.where(kind == k, count[kind, bucket], 0), pa.int64()) for k in (1, 0))], ["bucket", "p", "u"])
 
     counts = scratch.write(samples.select("kind", "text").mapInArrow(tally, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")), "counts")
     sizes = counts.where("bucket = -1").first()
