@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
 from . import exact_dedup as exact
-from . import jaccard_join, mixing, pii, quality, substring_dedup, suffix_dedup, tokens, toxicity
+from . import filter_audit, jaccard_join, mixing, pii, quality, substring_dedup, suffix_dedup, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_columns(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality": op2_quality,
@@ -97,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -188,4 +193,42 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
 FROM d LEFT JOIN spots ON d.doc_id = spots.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_decontaminate": OP9_SQL}
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), l AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(words) < 50 AS INT) AS a, CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INT) AS b,
+    CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS INT) AS c, CAST(regexp_matches(t, '[#$%&*|]') AS INT) AS d,
+    CAST(coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS INT) AS e
+  FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+), g AS (
+  SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL
+), names AS (
+  SELECT unnest(range(5)) AS i
+), orders AS (
+  SELECT [p.i, q.i, r.i, s.i, u.i] AS o FROM names p, names q, names r, names s, names u
+  WHERE len(list_distinct([p.i, q.i, r.i, s.i, u.i])) = 5
+), steps AS (
+  SELECT o, array_to_string(list_transform(o, lambda i: substr('ABCDE', CAST(i + 1 AS INT), 1)), '') AS filter_order, unnest(range(1, 6)) AS step FROM orders
+), masks AS (
+  SELECT filter_order, step, CAST(1 << o[step] AS INT) AS m, CAST(coalesce(list_sum(list_transform(o[1:step - 1], lambda i: 1 << i)), 0) AS INT) AS before FROM steps
+), counted AS (
+  SELECT part, filter_order, step, m,
+    sum(CASE WHEN fails & (before | m) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails & before = 0 AND fails & m > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails & before > 0 AND fails & m > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = m THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails & before = 0 AND fails & m > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails & before = 0 AND fails & m > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g, masks GROUP BY part, filter_order, step, m
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, m) AS BIGINT) AS shapley
+FROM counted
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_decontaminate": OP9_SQL, "op11_filter_audit": OP11_SQL}
