@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
 from . import exact_dedup as exact
-from . import filter_audit, jaccard_join, mixing, pii, quality, substring_dedup, suffix_dedup, tokens, toxicity
+from . import filter_audit, jaccard_join, mixing, periodic_runs, pii, quality, substring_dedup, suffix_dedup, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_columns(found: DataFrame) -> DataFrame:
+    top = periodic_runs.strongest(F.col("runs"))
+    line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    flat = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return flat.select("doc_id", "n_runs", "top.start", "top.length", "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_columns(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality": op2_quality,
@@ -102,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
     "op11_filter_audit": op11_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -231,4 +244,41 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
 FROM counted
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_decontaminate": OP9_SQL, "op11_filter_audit": OP11_SQL}
+OP13_SQL = r"""
+WITH t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+), raw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM documents, t
+), placed AS (
+  SELECT doc_id, words, len(words) AS n, h, h // 10 AS g, (h // 10) % greatest(len(words), 1) AS a FROM raw
+), sized AS (
+  SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed
+), d AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: words[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) ELSE words END AS words FROM sized
+), w AS (
+  SELECT doc_id, n, unnest(words) AS word, unnest(range(n)) AS i FROM d
+), pairs AS (
+  SELECT x.doc_id, y.i - x.i AS p, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM pairs
+), stretches AS (
+  SELECT doc_id, p, min(i) AS s, count(*) + p AS len FROM islands GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(24, 3 * p)
+), runs AS (
+  SELECT doc_id, s, len, min(p) AS p FROM stretches GROUP BY doc_id, s, len
+), best AS (
+  SELECT doc_id, s, len, p FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(len AS DOUBLE) / p DESC, s, p) = 1
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS text FROM runs GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s + p, s + len)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(len AS BIGINT) AS length, CAST(p AS BIGINT) AS period, CAST(1000 * len // p AS BIGINT) AS exponent_milli,
+  sha256(coalesce(listed.text, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN listed ON listed.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op9_decontaminate": OP9_SQL, "op11_filter_audit": OP11_SQL, "op13_periodic_runs": OP13_SQL}
