@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
 from . import exact_dedup as exact
-from . import filter_audit, jaccard_join, mixing, periodic_runs, pii, quality, substring_dedup, suffix_dedup, tokens, toxicity
+from . import filter_audit, jaccard_join, mixing, packing, periodic_runs, pii, quality, substring_dedup, suffix_dedup, tokens, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The name of the vocabulary file in the installed collection of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_columns(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_columns(packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY)))
+
+
 def op13_columns(found: DataFrame) -> DataFrame:
     top = periodic_runs.strongest(F.col("runs"))
     line = lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period")))
@@ -114,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
     "op11_filter_audit": op11_filter_audit,
+    "op12_packing": op12_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
