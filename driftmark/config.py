@@ -30,7 +30,8 @@ class Params:
     hmm_start: str | None = None
     hmm_days: int = 20
     block_size: int = 65536
-    viterbi_block_size: int = 131072
+    #: Words of a block in decoding; none: the blocks of training, so that the stream is dealt once. The published default is 131072; results do not depend on it.
+    viterbi_block_size: int | None = None
     # the published default is true, which gathers the whole stream on the driver
     force_sequential: bool = False
     pi_threshold: float = 0.01
@@ -39,7 +40,7 @@ class Params:
 
     def override(self, values: dict[str, str]) -> Params:
         """Values as text, by field name; unknown names are an error."""
-        kinds = {f.name: type(getattr(self, f.name)) for f in fields(self)}
+        kinds = {f.name: int if f.name == "viterbi_block_size" else type(getattr(self, f.name)) for f in fields(self)}
         if unknown := set(values) - set(kinds):
             raise ValueError(f"unknown parameters: {sorted(unknown)}")
         cast = lambda k, v: v.strip().lower() == "true" if kinds[k] is bool else (str if kinds[k] is type(None) else kinds[k])(v)

@@ -1,22 +1,18 @@
 """Hidden Markov model over the word stream: state 0 is the background, states 1..K the themes; emissions are fixed.
 
-Training and decoding work on blocks of the stream. In each pass a task turns its block into one N x N matrix, the driver scans these
-small matrices (one per block) in order, and a second pass works through the block from its scanned start. Block products
-are scaled to sum 1; each transition's posterior is scaled before it is added up, so that no constants have to cancel.
+Here are the model, its kernels and training in one place; `hmm_blocks` trains and decodes streams of any length with them. Kernels cut a block in pieces
+that are worked through side by side. Products are scaled to sum 1, and each transition's posterior is scaled before it is added up, so that no
+constants have to cancel. Star-shaped transitions cost N a word and row instead of N^2.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import ship_package
-
 LOW = -1e300
 #: Words of a piece of a block; all pieces of a block are worked through at once.
 SUB = 256
@@ -102,12 +98,65 @@ def train_sequential(model: Hmm, obs: np.ndarray, pi_threshold: float = 0.01, a_
     return model
 
 
-def _blocks(stream: DataFrame, block: int) -> DataFrame:
-    return stream.select(F.floor(F.col("pos") / block).cast("long").alias("block"), "pos", "word_id")
-
-
-def _per_block(stream: DataFrame, block: int, fn: Callable[[int, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    return _blocks(stream, block).groupBy("block").applyInPandas(lambda pdf: fn(int(pdf["block"].iloc[0]), pdf.sort_values("pos")["word_id"].to_numpy()), schema)
+class Moves:
+    """Products with transitions. A star (row 0, column 0 and the diagonal only) is taken from these three parts."""
+
+    def __init__(self, a: np.ndarray):
+        self.a, self.log = a, logs(a)
+        off = a.copy()
+        off[0], off[:, 0] = 0, 0
+        np.fill_diagonal(off, 0)
+        self.star = not off.any()
+        self.diagonal, self.row, self.column = (np.where(np.arange(len(a)) > 0, x, 0) for x in (a.diagonal(), a[0], a[:, 0]))
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        """x @ a over the last axis."""
+        if not self.star:
+            return x @ self.a
+        out = x * self.diagonal
+        out += x[..., :1] * self.row
+        out[..., 0] = x @ self.a[:, 0]
+        return out
+
+    def backward(self, x: np.ndarray) -> np.ndarray:
+        """x @ a.T over the last axis."""
+        if not self.star:
+            return x @ self.a.T
+        out = x * self.diagonal
+        out += x[..., :1] * self.column
+        out[..., 0] = x @ self.a[0]
+        return out
+
+    def sums(self, before: np.ndarray, ahead: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The sum over rows r of weight[r] * before[r, i] * a[i, j] * ahead[r, j]."""
+        heavy = before * weight[:, None]
+        if not self.star:
+            return self.a * (heavy.T @ ahead)
+        out = np.diag(self.a.diagonal() * (heavy * ahead).sum(0))
+        out[0] = self.a[0] * (heavy[:, 0] @ ahead)
+        out[1:, 0] = self.a[1:, 0] * (ahead[:, 0] @ heavy[:, 1:])
+        return out
+
+    def best(self, x: np.ndarray) -> np.ndarray:
+        """The greatest x[..., i] + log a[i, j] by j."""
+        if not self.star:
+            return (x[..., :, None] + self.log).max(-2)
+        out = np.maximum(x[..., :1] + self.log[0], x + self.log.diagonal())
+        out[..., 0] = (x + self.log[:, 0]).max(-1)
+        return np.maximum(out, x.max(-1, keepdims=True) + LOW)
+
+    def best_with_origin(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """best, and the lowest i that gives it."""
+        if self.star:
+            middle, own = x[..., :1] + self.log[0], x + self.log.diagonal()
+            out, origin = np.maximum(middle, own), np.where(middle >= own, 0, np.arange(len(self.a)))
+            back = x + self.log[:, 0]
+            origin[..., 0] = back.argmax(-1)
+            out[..., 0] = back.max(-1)
+            if (out > LOW / 2).all():
+                return out, origin
+        total = x[..., :, None] + self.log
+        return total.max(-2), total.argmax(-2)
 
 
 class Pieces:
@@ -127,24 +176,24 @@ class Pieces:
     def start(self, t: int) -> bool:
         return self.first and t == 0
 
-    def products(self, a: np.ndarray) -> np.ndarray:
+    def products(self, moves: Moves) -> np.ndarray:
         """The scaled matrix of each piece."""
         m = np.tile(np.eye(self.n), (self.count, 1, 1))
         for t in range(self.steps):
-            step = (m @ a) * self.e[:, t, None, :]
+            step = moves.forward(m) * self.e[:, t, None, :]
             if self.start(t):
                 step[0] = np.eye(self.n) * self.e[0, 0]
             m = np.where(self.live[:, t, None, None], scaled(step, (1, 2)), m)
         return m
 
-    def best(self, pi: np.ndarray, a: np.ndarray) -> np.ndarray:
+    def best(self, pi: np.ndarray, moves: Moves) -> np.ndarray:
         """The best score of each piece between the state before it and its last one; without a state before it, in row 0."""
-        m = a[None] + self.e[:, 0, None, :]
+        m = moves.log[None] + self.e[:, 0, None, :]
         if self.first:
             m[0] = 2 * LOW
             m[0, 0] = pi + self.e[0, 0]
         for t in range(1, self.steps):
-            step = (m[:, :, :, None] + a[None, None]).max(2) + self.e[:, t, None, :]
+            step = moves.best(m) + self.e[:, t, None, :]
             m = np.where(self.live[:, t, None, None], np.maximum(step, 2 * LOW), m)
         return np.maximum(m, 2 * LOW)
 
@@ -157,9 +206,9 @@ def scaled(x: np.ndarray, axes: int | tuple[int, ...] = -1) -> np.ndarray:
 
 def expected(model: Hmm, obs: np.ndarray, first: bool, row: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Transition sums of a block, and the posterior of its first state. row: scaled forward values before the block; beta: backward ones after it."""
-    a, n = model.a, model.n
+    moves, n = Moves(model.a), model.n
     pieces = Pieces(model.b[:, obs].T, first, 1.0)
-    ms = pieces.products(a)
+    ms = pieces.products(moves)
     rows, betas = [row], [beta]
     for m in ms[:-1]:
         rows.append(scaled(rows[-1] @ m))
@@ -167,7 +216,7 @@ def expected(model: Hmm, obs: np.ndarray, first: bool, row: np.ndarray, beta: np
         betas.append(scaled(m @ betas[-1]))
     before, after = [np.array(rows)], np.array(betas[::-1])
     for t in range(pieces.steps):
-        step = (before[-1] @ a) * pieces.e[:, t]
+        step = moves.forward(before[-1]) * pieces.e[:, t]
         if pieces.start(t):
             step[0] = before[-1][0] * pieces.e[0, 0]
         before.append(np.where(pieces.live[:, t, None], scaled(step), before[-1]))
@@ -178,8 +227,10 @@ def expected(model: Hmm, obs: np.ndarray, first: bool, row: np.ndarray, beta: np
             gamma = scaled(before[1][0] * after[0])
         if pieces.start(t):
             live[0] = False
-        xi += scaled(before[t][live][:, :, None] * a * ahead[live][:, None, :], (1, 2)).sum(0)
-        after = np.where(pieces.live[:, t, None], scaled(ahead @ a.T), after)
+        back = moves.backward(ahead)
+        total = (before[t] * back).sum(-1)
+        xi += moves.sums(before[t], ahead, np.where(live & (total > 0), 1 / np.where(total > 0, total, 1), 0))
+        after = np.where(pieces.live[:, t, None], scaled(back), after)
     return xi, gamma
 
 
@@ -196,12 +247,13 @@ def train_local(model: Hmm, obs: np.ndarray, pi_threshold: float = 0.01, a_thres
 
 
 def chained(score: np.ndarray, ms: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Scores after all matrices (in the sense of best), and for each the best state before it by the state after it."""
+    """Scores after all matrices (in the sense of best; the greatest is 0), and for each the best state before it by the state after it."""
     came = []
     for m in ms:
         total = np.maximum(score[:, None] + m, 4 * LOW)
         came.append(total.argmax(0))
         score = total.max(0)
+        score = score - score.max()
     return score, came
 
 
@@ -213,105 +265,42 @@ def traced(last: int, came: list[np.ndarray]) -> list[int]:
     return states[::-1]
 
 
-def _matrices(rows: DataFrame, n: int) -> tuple[list[int], list[np.ndarray]]:
-    """One small matrix per block, in order."""
-    found = sorted(rows.collect(), key=lambda r: r.block)
-    return [r.block for r in found], [np.array(r.m).reshape(n, n) for r in found]
-
-
-def train(stream: DataFrame, model: Hmm, block: int = 65536, pi_threshold: float = 0.01, a_threshold: float = 0.01, max_iterations: int = 50, sequential_below: float = 5e7, force_sequential: bool = False) -> Hmm:
-    """Baum-Welch with fixed emissions; streams with fewer than sequential_below / N**2 words go to the driver, with force_sequential any stream does."""
-    spark: SparkSession = stream.sparkSession
-    ship_package(spark)
-    n = model.n
-    length = stream.count()
-    if length == 0:
-        return model
-    if force_sequential or length * n * n <= sequential_below:
-        return train_local(model, stream.orderBy("pos").toPandas()["word_id"].to_numpy(), pi_threshold, a_threshold, max_iterations)
-    stream = stream.persist()
-    for _ in range(max_iterations):
-        sent = spark.sparkContext.broadcast(model)
-
-        def product(number: int, obs: np.ndarray, sent=sent) -> pd.DataFrame:
-            m = np.eye(n)
-            for piece in Pieces(sent.value.b[:, obs].T, number == 0, 1.0).products(sent.value.a):
-                m = scaled(m @ piece, (0, 1))
-            return pd.DataFrame({"block": [number], "m": [m.ravel().tolist()]})
-
-        numbers, ms = _matrices(_per_block(stream, block, product, "block long, m array<double>"), n)
-        before, after = [model.pi], [np.ones(n)]
-        for m in ms[:-1]:
-            before.append(scaled(before[-1] @ m))
-        for m in ms[:0:-1]:
-            after.append(scaled(m @ after[-1]))
-        edges = spark.sparkContext.broadcast(dict(zip(numbers, zip(before, after[::-1], strict=True), strict=True)))
-
-        def expect(number: int, obs: np.ndarray, sent=sent, edges=edges) -> pd.DataFrame:
-            xi, gamma = expected(sent.value, obs, number == 0, *edges.value[number])
-            return pd.DataFrame({"block": [number], "m": [xi.ravel().tolist()], "g": [gamma.tolist()]})
-
-        rows = _per_block(stream, block, expect, "block long, m array<double>, g array<double>").collect()
-        xi = sum(np.array(r.m) for r in sorted(rows, key=lambda r: r.block)).reshape(n, n)
-        pi = np.array(min(rows, key=lambda r: r.block).g)
-        a = normalised(xi, model.a)
-        done = np.abs(pi - model.pi).sum() < pi_threshold and np.abs(a - model.a).sum() < a_threshold
-        model = Hmm(pi, a, model.b)
-        if done:
-            break
-    stream.unpersist()
-    return model
-
-
 def logs(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, np.log(np.where(x > 0, x, 1)), LOW)
 
 
-def decode(stream: DataFrame, model: Hmm, block: int = 131072) -> DataFrame:
-    """(pos, state) by Viterbi. Per block the best score between each pair of border states, a scan over blocks on the driver, and the best path inside each block
-    between its scanned border states. Ties go to the lowest state."""
-    spark = stream.sparkSession
-    ship_package(spark)
-    n = model.n
-    sent = spark.sparkContext.broadcast((logs(model.pi), logs(model.a), logs(model.b)))
-
-    def reach(number: int, obs: np.ndarray) -> pd.DataFrame:
-        pi, a, b = sent.value
-        ms = Pieces(b[:, obs].T, number == 0, 0.0).best(pi, a)
-        m = ms[0]
-        for piece in ms[1:]:
-            m = np.maximum((m[:, :, None] + piece[None]).max(1), 2 * LOW)
-        return pd.DataFrame({"block": [number], "m": [m.ravel().tolist()]})
-
-    numbers, ms = _matrices(_per_block(stream, block, reach, "block long, m array<double>"), n)
-    if not numbers:
-        return stream.select("pos", F.lit(0).alias("state"))
-    nowhere = np.r_[0.0, np.full(n - 1, 2 * LOW)]
-    score, came = chained(nowhere, np.array(ms))
-    ends = dict(zip(numbers, traced(int(score.argmax()), came), strict=True))
-    begins = {b: (ends[a] if i else None) for i, (a, b) in enumerate(zip([None, *numbers[:-1]], numbers, strict=True))}
-    borders = spark.sparkContext.broadcast((begins, ends))
-
-    def path(pdf: pd.DataFrame) -> pd.DataFrame:
-        pi, a, b = sent.value
-        pdf, number = pdf.sort_values("pos"), int(pdf["block"].iloc[0])
-        begin, end = borders.value[0][number], borders.value[1][number]
-        pieces = Pieces(b[:, pdf["word_id"].to_numpy()].T, number == 0, 0.0)
-        score = nowhere if begin is None else np.where(np.arange(n) == begin, 0.0, 2 * LOW)
-        last = np.array(traced(end, chained(score, pieces.best(pi, a))[1]))
-        # inside the pieces, side by side, between the states at their borders
-        first = a[np.r_[0 if begin is None else begin, last[:-1]]]
-        if begin is None:
-            first[0] = pi
-        score, back = first + pieces.e[:, 0], np.tile(np.arange(n), (pieces.steps, pieces.count, 1))
-        for t in range(1, pieces.steps):
-            total, live = score[:, :, None] + a, pieces.live[:, t, None]
-            back[t] = np.where(live, total.argmax(1), back[t])
-            score = np.where(live, total.max(1) + pieces.e[:, t], score)
-        states, rows = np.empty((pieces.count, pieces.steps), np.int32), np.arange(pieces.count)
-        states[:, -1] = last
-        for t in range(pieces.steps - 1, 0, -1):
-            states[:, t - 1] = back[t][rows, states[:, t]]
-        return pd.DataFrame({"pos": pdf["pos"].to_numpy(), "state": states.ravel()[: pieces.length]})
-
-    return _blocks(stream, block).groupBy("block").applyInPandas(path, "pos long, state int")
+def best_product(ms: np.ndarray) -> np.ndarray:
+    """The scores of a row of matrices between the state before the first and that after the last; the greatest is 0."""
+    m = ms[0]
+    for piece in ms[1:]:
+        m = np.maximum((m[:, :, None] + piece[None]).max(1), 2 * LOW)
+        m = np.maximum(m - m.max(), 2 * LOW)
+    return m
+
+
+def nowhere(n: int) -> np.ndarray:
+    """Scores before the stream: matrices of its begin have their scores in row 0."""
+    return np.r_[0.0, np.full(n - 1, 2 * LOW)]
+
+
+def best_path(model: Hmm, obs: np.ndarray, first: bool, begin: int, end: int) -> np.ndarray:
+    """The best states of a block between the states before and after it. Ties go to the lowest state."""
+    pi, moves, n = logs(model.pi), Moves(model.a), model.n
+    pieces = Pieces(logs(model.b)[:, obs].T, first, 0.0)
+    score = nowhere(n) if first else np.where(np.arange(n) == begin, 0.0, 2 * LOW)
+    last = np.array(traced(end, chained(score, pieces.best(pi, moves))[1]))
+    # inside the pieces, side by side, between the states at their borders
+    at = moves.log[np.r_[0 if first else begin, last[:-1]]]
+    if first:
+        at[0] = pi
+    score, back = at + pieces.e[:, 0], np.tile(np.arange(n), (pieces.steps, pieces.count, 1))
+    for t in range(1, pieces.steps):
+        live = pieces.live[:, t, None]
+        total, origin = moves.best_with_origin(score)
+        back[t] = np.where(live, origin, back[t])
+        score = np.where(live, total + pieces.e[:, t], score)
+    states, rows = np.empty((pieces.count, pieces.steps), np.int32), np.arange(pieces.count)
+    states[:, -1] = last
+    for t in range(pieces.steps - 1, 0, -1):
+        states[:, t - 1] = back[t][rows, states[:, t]]
+    return states.ravel()[: pieces.length]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import Params
 from ..functions import periods as P
 from ..functions.text import tokenize
-from ..operators import background, em, graph, hmm, strength, terms
+from ..operators import background, em, graph, hmm, hmm_blocks, strength, terms
+from ..shared import settle
 from ..sources.articles import select_articles
 
 
@@ -78,12 +79,20 @@ def theme_strength(articles: DataFrame, periods: DataFrame, params: Params, fram
             P.require_inside(frame, own, "the frame of the HMM")
         articles = select_articles(articles, *frame)
     fitted = fit_themes(articles, periods, params)
-    tokens = tokenize(select_articles(articles, max_page=params.max_page))
-    words = background.lexicon(background.background_model(tokens, params.min_count)).persist()
+    # one tokenised table for the background, the lexicon and the stream
+    tokens = settle(tokenize(select_articles(articles, max_page=params.max_page)), "tokens")
+    words = settle(background.lexicon(background.background_model(tokens, params.min_count)), "lexicon")
     seen = tokens if own is None else tokens.where((F.col("issue_ts") > F.lit(own[0])) & (F.col("issue_ts") < F.lit(own[1])))
-    stream = terms.word_stream(seen, words).persist()
     ids = [r.theme_id for r in fitted.themes.select("theme_id").orderBy("theme_id").collect()]
     model = hmm.star(len(ids), hmm.emissions(words, fitted.words, ids))
-    trained = hmm.train(stream, model, params.block_size, params.pi_threshold, params.a_threshold, params.max_iterations, force_sequential=params.force_sequential)
-    decoded = hmm.decode(stream, trained, params.viterbi_block_size).join(stream, "pos").select("ts", "state")
-    return strength.zero_fill(strength.strength_by_ts(decoded), len(ids))
+    return strength.zero_fill(settle(strength_of(terms.word_stream(seen, words), model, params), "strength"), len(ids))
+
+
+def strength_of(stream: DataFrame, model: hmm.Hmm, params: Params) -> DataFrame:
+    """(ts, theme, n) over a stream (pos, word_id, ts): training, then decoding. The stream is dealt into blocks once for both, unless decoding is to have other blocks."""
+    with hmm_blocks.BlockStore(stream, params.block_size) as store:
+        alone = params.force_sequential or store.length * model.n**2 <= hmm_blocks.SEQUENTIAL_BELOW
+        trained = hmm_blocks.train(stream if alone else store, model, params.block_size, params.pi_threshold, params.a_threshold, params.max_iterations, force_sequential=params.force_sequential)
+        other = params.viterbi_block_size not in (None, params.block_size)
+        decoded = hmm_blocks.decode(stream if other else store, trained, params.viterbi_block_size or params.block_size)
+    return strength.strength_by_ts(decoded)

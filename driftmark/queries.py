@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import Params
 from .functions import periods as P
 from .functions.text import tokenize, words
-from .operators import background, em, graph, hmm, strength, terms, themes
+from .operators import background, em, graph, hmm, hmm_blocks, strength, terms, themes
 from .plans import pipelines
 from .sources import catalog
 from .shared import shared_path
@@ -476,20 +476,20 @@ FORWARD = f"""{OBS}, m AS (SELECT {listed(STAR)} AS a, {listed(EMITS)} AS b
 
 @query(VITERBI)
 def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.decode(event_stream(spark, sf_dir), event_model(), 4096)
+    return hmm_blocks.decode(event_stream(spark, sf_dir), event_model(), 4096)
 
 
 @query(f"WITH RECURSIVE {FORWARD} SELECT CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(x / sum(x) OVER (PARTITION BY i), 8) AS p FROM xi")
 def baum_welch_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(i, j, p): transitions after one step of training in blocks."""
-    trained = hmm.train(event_stream(spark, sf_dir), event_model(), 4096, 0, 0, 1, sequential_below=0)
+    trained = hmm_blocks.train(event_stream(spark, sf_dir), event_model(), 4096, 0, 0, 1, sequential_below=0)
     return spark.createDataFrame([(i, j, round(float(trained.a[i, j]), 8)) for i in range(trained.n) for j in range(trained.n)], "i int, j int, p double")
 
 
 @query()
 def baum_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(i, j, p): transitions after training until the thresholds stop it."""
-    trained = hmm.train(event_stream(spark, sf_dir), event_model(), 4096, 1e-4, 1e-4)
+    """(i, j, p): transitions after training in blocks until the thresholds stop it."""
+    trained = hmm_blocks.train(event_stream(spark, sf_dir), event_model(), 65536, 1e-4, 1e-4, sequential_below=0)
     return spark.createDataFrame([(i, j, float(trained.a[i, j])) for i in range(trained.n) for j in range(trained.n)], "i int, j int, p double")
 
 

@@ -36,3 +36,26 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Shelf:
+    """Written tables that a loop needs for a while: `with Shelf(spark, name) as shelf`, gone at the end of it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, shared_path(spark, name)
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *below: str) -> None:
+        """Delete one of the tables, or all of them."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *below]))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,11 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from driftmark import shared
 from driftmark.config import Params
 from driftmark.functions import periods as P
 from driftmark.functions.order import running_total
 from driftmark.functions.text import tokenize
-from driftmark.operators import background, em, graph, hmm, terms
+from driftmark.operators import background, em, graph, hmm, hmm_blocks, terms
 from driftmark.plans import pipelines
 from driftmark.sources import catalog
 from driftmark.sources.articles import read_article_xml, select_articles, write_article_xml
@@ -155,14 +156,15 @@ def brute_viterbi(model, obs):
     return path[::-1]
 
 
-@pytest.mark.parametrize(("block", "sub"), [(1, 256), (7, 3), (60, 256), (60, 1), (60, 7), (61, 60)])
-def test_blocks_equal_the_sequence(spark, monkeypatch, block, sub):
+@pytest.mark.parametrize(("block", "sub", "fan"), [(1, 256, 2), (7, 3, 1000), (60, 256, 1000), (60, 7, 1000)])
+def test_blocks_equal_the_sequence(spark, monkeypatch, block, sub, fan):
+    monkeypatch.setattr(hmm_blocks, "FAN", fan)  # two members a group: six levels for 60 blocks
     # workers get their functions by reference, so the length of pieces is tested where they run, too
     true, obs = chain(60)
     monkeypatch.setattr(hmm, "SUB", sub)
     e = true.b[:, obs].T
     whole = np.eye(4)
-    for piece in hmm.Pieces(e, True, 1.0).products(true.a):
+    for piece in hmm.Pieces(e, True, 1.0).products(hmm.Moves(true.a)):
         whole = hmm.scaled(whole @ piece, (0, 1))
     want = np.diag(e[0])
     for row in e[1:]:
@@ -171,19 +173,80 @@ def test_blocks_equal_the_sequence(spark, monkeypatch, block, sub):
     stream = spark.createDataFrame([(i, int(o)) for i, o in enumerate(obs)], "pos long, word_id long")
     start = hmm.Hmm(np.full(4, 0.25), np.full((4, 4), 0.25), true.b)
     whole = hmm.train_sequential(start, obs, 0, 0, 2)
-    blocks = hmm.train(stream, start, block, 0, 0, 2, sequential_below=0)
+    blocks = hmm_blocks.train(stream, start, block, 0, 0, 2, sequential_below=0)
     assert np.allclose(whole.a, blocks.a) and np.allclose(whole.pi, blocks.pi)
     long = chain(1500)[1]
     rows = spark.createDataFrame([(i, int(o)) for i, o in enumerate(long)], "pos long, word_id long")
     once = hmm.train_sequential(start, long, 0, 0, 1)
     local = hmm.train_local(start, long, 0, 0, 4)
     assert np.allclose(local.a, hmm.train_sequential(start, long, 0, 0, 4).a)
-    assert np.allclose(once.a, hmm.train(rows, start, 100 * block, 0, 0, 1, sequential_below=0).a)
-    assert [r.state for r in hmm.decode(rows, true, 100 * block).orderBy("pos").collect()] == brute_viterbi(true, long)
-    got = [r.state for r in hmm.decode(stream, true, block).orderBy("pos").collect()]
+    assert np.allclose(once.a, hmm_blocks.train(rows, start, 100 * block, 0, 0, 1, sequential_below=0).a)
+    assert [r.state for r in hmm_blocks.decode(rows, true, 100 * block).orderBy("pos").collect()] == brute_viterbi(true, long)
+    got = [r.state for r in hmm_blocks.decode(stream, true, block).orderBy("pos").collect()]
     assert got == brute_viterbi(true, obs)
 
 
+def star_model(n, words, seed):
+    rng = np.random.default_rng(seed)
+    b = rng.random((n, words))
+    return hmm.star(n - 1, b / b.sum(1, keepdims=True)), rng
+
+
+def test_star_kernels_equal_dense_ones():
+    model, rng = star_model(9, 30, 4)
+    fast, dense = hmm.Moves(model.a), hmm.Moves(model.a)
+    dense.star = False
+    assert fast.star and not hmm.Moves(np.full((3, 3), 1 / 3)).star
+    x, y, w = rng.random((50, 9)), rng.random((50, 9)), rng.random(50)
+    for f in (lambda m: m.forward(x), lambda m: m.backward(x), lambda m: m.sums(x, y, w), lambda m: m.best(np.log(x))):
+        assert np.abs(f(fast) - f(dense)).max() < 1e-12
+    for scores in (np.log(x), np.where(rng.random((50, 9)) < 0.7, 2 * hmm.LOW, np.log(x)), np.zeros((5, 9))):
+        (a, i), (b, j) = fast.best_with_origin(scores), dense.best_with_origin(scores)
+        assert np.allclose(a, b) and (i == j).all()
+        assert np.allclose(fast.best(scores), dense.best(scores))
+    # a step of training with them against the plain recursion, also where a theme has died
+    obs = rng.integers(0, 30, 700)
+    for dead in (False, True):
+        if dead:
+            model.a[0, 3] = model.a[3, 0] = 0
+        xi, _ = hmm.expected(model, obs, True, model.pi, np.ones(9))
+        want = hmm.sequential_step(model, obs)[1]
+        assert np.abs(xi / xi.sum() - want / want.sum()).max() < 1e-12
+
+
+def test_store_is_shuffled_once_and_missing_places_stay(spark, monkeypatch):
+    monkeypatch.setattr(hmm_blocks, "FAN", 3)
+    model, rng = star_model(4, 12, 1)
+    obs = rng.integers(0, 12, 2000)
+    at = np.sort(rng.choice(np.arange(300, 9000), 2000, replace=False))
+    rows = [(int(p), int(o), dt.datetime(2024, 1, 1) + dt.timedelta(hours=int(p) // 700)) for p, o in zip(at, obs, strict=True)]
+    stream = spark.createDataFrame(rows, "pos long, word_id long, ts timestamp").repartition(5)
+    with hmm_blocks.BlockStore(stream, 100, 4) as store:
+        # the deal has one exchange; a pass with what blocks are told shuffles only that
+        assert store.dealt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        told = spark.range(3, 90).select(F.col("id").alias("block"), F.lit(0).alias("begin")).repartition(3)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = store.joined(told)._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+            trained = hmm_blocks.train(store, model, 100, 0, 0, 2)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        want = hmm.train_sequential(model, obs, 0, 0, 2)
+        assert np.abs(trained.a - want.a).max() < 1e-9 and np.abs(trained.pi - want.pi).max() < 1e-9
+        got = hmm_blocks.decode(store, model).orderBy("pos").collect()
+    assert [(r.pos, r.ts) for r in got] == [(p, t) for p, _, t in rows] and [r.state for r in got] == brute_viterbi(model, obs)
+    assert hmm_blocks.decode(stream.limit(0), model).count() == 0 and hmm_blocks.train(stream.limit(0), model, sequential_below=0) is not None
+
+
+def test_sums_over_levels(spark, monkeypatch):
+    monkeypatch.setattr(hmm_blocks, "FAN", 2)
+    rows = spark.createDataFrame([(i, np.full(4, float(i)).tobytes(), b"x" if i == 6 else None) for i in range(11)], "part long, xi binary, gamma binary")
+    with shared.Shelf(spark, "test") as shelf:
+        found = hmm_blocks.summed(rows, 11, shelf)
+    assert len(found) <= 2 and sum(np.frombuffer(r.xi)[0] for r in found) == 55 and [r.gamma for r in found if r.gamma] == [b"x"]
+
+
 def test_training_recovers_transitions():
     true, obs = chain(4000)
     got = hmm.train_sequential(hmm.Hmm(np.full(4, 0.25), np.full((4, 4), 0.25), true.b), obs, 1e-4, 1e-4, 60)
