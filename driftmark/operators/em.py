@@ -1,7 +1,7 @@
 """Theme extraction: a mixture of themes and a fixed background, fitted by expectation-maximisation.
 
-Two forms with the same semantics: single steps on DataFrames with one array of K numbers per row, and a grouped-map kernel that
-runs all iterations of a (period, run) in one task.
+Three forms with the same semantics: single steps on DataFrames with one array of K numbers per row, a grouped-map kernel that
+runs all iterations of a (period, run) in one task, and blocks of large periods (`em_blocks`).
 """
 
 from __future__ import annotations
@@ -74,19 +74,28 @@ def best_run(runs: DataFrame) -> DataFrame:
     return runs.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("period_id", "run", "ll")
 
 
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros_like(a), where=b != 0)
+
+
+def mixture_step(doc: np.ndarray, word: np.ndarray, cnt: np.ndarray, pb: np.ndarray, pi: np.ndarray, pw: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray]:
+    """One iteration over sparse triples: new pi (documents x K), and the weight of each theme and word (K x words), not scaled yet."""
+    m = pi[doc].T * pw[:, word]
+    s = m.sum(0)
+    z_b = ratio(lam * pb, lam * pb + (1 - lam) * s)
+    weight = cnt * (1 - z_b) * ratio(m, np.broadcast_to(s, m.shape))
+    sums = lambda at, n: np.stack([np.bincount(at, v, minlength=n) for v in weight])
+    d = sums(doc, len(pi))
+    return ratio(d, np.broadcast_to(d.sum(0), d.shape)).T, sums(word, pw.shape[1])
+
+
 def kernel(doc: np.ndarray, word: np.ndarray, cnt: np.ndarray, pb: np.ndarray, pw: np.ndarray, lam: float, iterations: int) -> tuple[np.ndarray, np.ndarray, float]:
     """EM on sparse triples. pw: K x words at the start. Returns pi (documents x K), pw and the log-likelihood."""
-    k, n_docs, n_words = len(pw), int(doc.max()) + 1, pw.shape[1]
+    k, n_docs = len(pw), int(doc.max()) + 1
     pi = np.full((n_docs, k), 1.0 / k)
-    sums = lambda at, values, n: np.stack([np.bincount(at, v, minlength=n) for v in values])
-    ratio = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b != 0)
     for _ in range(iterations):
-        m = pi[doc].T * pw[:, word]
-        s = m.sum(0)
-        z_b = lam * pb / (lam * pb + (1 - lam) * s)
-        weight = cnt * (1 - z_b) * ratio(m, np.broadcast_to(s, m.shape))
-        d, w = sums(doc, weight, n_docs), sums(word, weight, n_words)
-        pi, pw = ratio(d, np.broadcast_to(d.sum(0), d.shape)).T, ratio(w, np.broadcast_to(w.sum(1, keepdims=True), w.shape))
+        pi, w = mixture_step(doc, word, cnt, pb, pi, pw, lam)
+        pw = ratio(w, np.broadcast_to(w.sum(1, keepdims=True), w.shape))
     s = (pi[doc].T * pw[:, word]).sum(0)
     each = np.bincount(doc, cnt * np.log(lam * pb + (1 - lam) * s), minlength=n_docs) / np.bincount(doc, minlength=n_docs)
     return pi, pw, float(each.mean())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Params
 from ..functions import periods as P
 from ..functions.text import tokenize
-from ..operators import background, em, graph, hmm, hmm_blocks, strength, terms
+from ..operators import background, em, em_blocks, graph, hmm, hmm_blocks, strength, terms
 from ..shared import settle
 from ..sources.articles import select_articles
 
@@ -28,7 +28,7 @@ def fit_themes(articles: DataFrame, periods: DataFrame, params: Params, frame: D
     tokens = tokenize(select_articles(articles, max_page=params.max_page))
     model = background.background_model(tokens if frame is None else tokenize(select_articles(frame, max_page=params.max_page)), params.min_count)
     rows = terms.doc_terms(tokens, model, periods, params.min_tokens, params.min_distinct)
-    fitted = em.extract_themes(rows, model, params.themes, params.lambda_background, params.runs, params.iterations).persist()
+    fitted = settle(em_blocks.fit_periods(settle(rows, "terms"), model, params.themes, params.lambda_background, params.runs, params.iterations), "fitted")
     scores, words, docs = em.select_themes(fitted, params.themes, params.theme_filter)
     named = lambda df: df.withColumn("theme_id", F.col("period_id").cast("long") * params.themes + F.col("theme"))
     themes = named(scores).join(F.broadcast(periods), "period_id").select("theme_id", "period_id", "theme", "p_from", "p_to", "score")
@@ -53,7 +53,7 @@ def themes_of_long_period(articles: DataFrame, chunks: int, k: int, params: Para
     whole = articles.sparkSession.sql("SELECT 0 AS period_id, TIMESTAMP '0001-01-02' AS p_from, TIMESTAMP '9999-01-01' AS p_to")
     rows = terms.doc_terms(tokens, model, whole, params.min_tokens, params.min_distinct).drop("period_id")
     part = terms.period_chunks(rows.select(F.col("doc_id").alias("article_id")).distinct(), chunks).withColumnRenamed("article_id", "doc_id")
-    fitted = em.extract_themes(rows.join(part, "doc_id").withColumnRenamed("chunk", "period_id"), model, params.themes, params.lambda_background, params.runs, params.iterations)
+    fitted = em_blocks.fit_periods(rows.join(part, "doc_id").withColumnRenamed("chunk", "period_id"), model, params.themes, params.lambda_background, params.runs, params.iterations)
     scores = fitted.where("kind = 'pi'").groupBy("period_id", "run", "theme").agg(F.avg("p").alias("score"))
     return scores.orderBy(F.desc("score"), "period_id", "run", "theme").limit(k)
 

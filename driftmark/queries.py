@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import Params
 from .functions import periods as P
 from .functions.text import tokenize, words
-from .operators import background, em, graph, hmm, hmm_blocks, strength, terms, themes
+from .operators import background, em, em_blocks, graph, hmm, hmm_blocks, strength, terms, themes
 from .plans import pipelines
 from .sources import catalog
 from .shared import shared_path
@@ -256,6 +256,14 @@ def em_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.select("period_id", "word", "theme", F.round("p", 8).alias("p"))
 
 
+@query(ORACLE_SQL["em_iterations"])
+def em_block_iterations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by blocks of documents, as very large periods are fitted."""
+    model, rows = model_terms(spark, sf_dir)
+    fitted = em_blocks.fit_blocks(rows, model, K, LAM, 1, 2, block_rows=20_000).where("kind = 'word'")
+    return fitted.select("period_id", "word", "theme", F.round("p", 8).alias("p"))
+
+
 def likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, rows = model_terms(spark, sf_dir)
     return em.extract_themes(rows, model, K, LAM, 2, 2).select("period_id", "run", "ll").distinct()
@@ -497,7 +505,7 @@ def baum_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(period_id, theme, word, p) of the kept themes, by the production kernel with the default parameters."""
     model, rows = model_terms(spark, sf_dir)
-    return em.select_themes(em.extract_themes(rows, model, PARAMS.themes, LAM, 1, PARAMS.iterations), PARAMS.themes)[1]
+    return em.select_themes(em_blocks.fit_periods(rows, model, PARAMS.themes, LAM, 1, PARAMS.iterations), PARAMS.themes)[1]
 
 
 @query()

@@ -12,7 +12,7 @@ from driftmark.config import Params
 from driftmark.functions import periods as P
 from driftmark.functions.order import running_total
 from driftmark.functions.text import tokenize
-from driftmark.operators import background, em, graph, hmm, hmm_blocks, terms
+from driftmark.operators import background, em, em_blocks, graph, hmm, hmm_blocks, terms
 from driftmark.plans import pipelines
 from driftmark.sources import catalog
 from driftmark.sources.articles import read_article_xml, select_articles, write_article_xml
@@ -108,6 +108,35 @@ def test_kernel_equals_steps(spark):
     assert abs(ll - fitted[0].ll) < 1e-9
 
 
+def test_blocks_of_periods_equal_the_kernel(spark):
+    rng = np.random.default_rng(2)
+    rows = [(p, d, f"w{w}", int(rng.integers(1, 6))) for p, n in ((0, 5), (3, 60), (4, 1)) for d in range(n) for w in rng.choice(25, 8, replace=False)]
+    terms_ = spark.createDataFrame(rows, "period_id int, doc_id long, word string, cnt long")
+    model = spark.createDataFrame([(f"w{w}", 1, 24, 1 / 24) for w in range(24)], "word string, cnt long, total long, p double")
+    want = {tuple(r[:2] + r[3:7]): (r.p, r.ll) for r in em.extract_themes(terms_, model, 3, 0.8, 2, 4).collect()}
+    one_word = em_blocks.fit_blocks(terms_, model, 3, 0.8, 2, 4, block_rows=30)
+    # period 3 by blocks, the others in one task; and all in one way or the other
+    for found in (one_word, em_blocks.fit_periods(terms_, model, 3, 0.8, 2, 4, group_rows=100), em_blocks.fit_periods(terms_, model, 3, 0.8, 2, 4, group_rows=0), em_blocks.fit_periods(terms_, model, 3, 0.8, 2, 4)):
+        got = {tuple(r[:2] + r[3:7]): (r.p, r.ll) for r in found.select(*(c.split()[0] for c in em.THEMES.split(", "))).collect()}
+        assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+    assert em_blocks.fit_periods(terms_.limit(0), model).count() == 0
+
+
+def test_a_period_is_dealt_over_tasks_once(spark):
+    rows = spark.range(20_000).select(F.lit(7).alias("period_id"), (F.col("id") % 2000).alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 50).alias("word"), F.lit(2).alias("cnt"), F.lit(0.02).alias("pb"))
+    with em_blocks.TermStore(rows, block_rows=1000, buckets=8) as store:
+        sizes = [r.n for r in store.rows.select((F.length("doc") / 4).cast("int").alias("n")).collect()]
+        assert sum(sizes) == 20_000 and len(sizes) == 20 and max(sizes) < 1500
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            words = em_blocks.word_states(store.needs.select("period_id", "word", F.array(F.lit(1.0)).alias("s")), 1, 8)
+            plan = em_blocks.blocks_with_words(store, words, None)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        # the blocks and what they need stay in place: word states are shuffled by word, and to the blocks
+        assert plan.count("Bucketed: true") >= 2 and plan.count("Exchange hashpartitioning(bucket") == 1
+
+
 def test_best_run_puts_nan_last(spark):
     runs = spark.createDataFrame([(0, 0, float("nan")), (0, 1, -2.0), (0, 2, -2.0), (1, 0, float("nan"))], "period_id int, run int, ll double")
     assert sorted((r.period_id, r.run) for r in em.best_run(runs).collect()) == [(0, 1), (1, 0)]
