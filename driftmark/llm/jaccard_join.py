@@ -278,20 +278,30 @@ def link_components(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFra
         links = new if links is None else links.union(new)
         labels = connected(links, scratch, f"round{r}_")
     here = labelled()
-    open_ = here.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    dealt = here.join(open_.select("token", F.ceil(F.col("m") / TILE).cast("int").alias("chunks")), "token").withColumn("chunk", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("chunks")).cast("int"))
+    # of a token's nodes those of its commonest label meet the others only, so a list of m nodes with s others is s * m pairs, not m * m
+    by_label = here.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
+    open_ = by_label.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("main")).where("m > main.m")
+    chunks = lambda m: F.ceil(m / TILE).cast("int")
+    open_ = open_.select("token", F.col("main.label").alias("main"), chunks(F.col("m")).alias("all_chunks"), chunks(F.col("m") - F.col("main.m")).alias("other_chunks"))
+    dealt = here.join(open_, "token")
     # what a pair needs to be a candidate goes along, so that no other pair leaves the join
     dealt = dealt.join(nodes.select(F.col("node").alias("of"), "first", "second"), F.col("node") == F.col("of")).drop("of", "weight")
-    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     own = ["node", "n", "label", "left_", "first", "second"]
-    left = rows.where("chunk <= other").select("token", "chunk", "other", *own)
-    right = rows.where("chunk >= other").select("token", F.col("other").alias("chunk"), F.col("chunk").alias("other"), *[F.col(c).alias(f"{c}2") for c in own])
-    apart = (F.col("label") != F.col("label2")) & ((F.col("chunk") != F.col("other")) | (F.col("node") < F.col("node2")))
+
+    def tile(rows: DataFrame, mine: str, theirs: str, *columns: Column | str) -> DataFrame:
+        """Each row in its chunk, once for each chunk of the other side."""
+        place = F.pmod(F.xxhash64(F.lit(9), "node"), F.col(mine)).cast("int").alias(f"of_{mine}")
+        return rows.select("token", place, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias(f"of_{theirs}"), *columns)
+
+    left = tile(dealt.where("label <> main"), "other_chunks", "all_chunks", "main", *own)
+    right = tile(dealt, "all_chunks", "other_chunks", *[F.col(c).alias(f"{c}2") for c in own])
+    # two of the others meet twice
+    apart = (F.col("label") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("node") < F.col("node2")))
     # from the token on, each set has to have as many tokens left as the intersection
     reach = (100 + percent) * F.least("left_", "left_2") >= percent * (F.col("n") + F.col("n2"))
     both, need = F.array_intersect("first", "first2"), shared_at_least("n", "n2", percent)
     enough = (F.size(both) >= need) & (F.element_at(both, 1) == F.col("token")) & (F.size(F.array_intersect("second", "second2")) >= need)
-    pairs = fresh(left.join(right, ["token", "chunk", "other"]).where(apart & fits & reach & enough), "rest")
+    pairs = fresh(left.join(right, ["token", "of_other_chunks", "of_all_chunks"]).where(apart & fits & reach & enough), "rest")
     new = scratch.write(verified(pairs, nodes, percent), "more_links")
     if not new.isEmpty():
         labels = connected(new if links is None else links.union(new), scratch, "last_")

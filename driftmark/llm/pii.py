@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..ship import ship_package
-from .common import Scratch, bounded_sample
+from .common import Scratch, bounded_sample, slices_by_bytes
 from .words import U64, mix
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tags: 0 outside, 1 + 2k begin of kind k, 2 + 2k inside of kind k.
 TAGS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE, MARGIN = 64, 32, 24
+#: Bytes of text that a task works through at once; one longer text is a batch of its own.
+BATCH_BYTES = 1_000_000
 #: Snippets that a network is trained on at most, chosen by a hash of doc_id.
 TRAIN_SNIPPETS = 3_000
 SNIPPETS_PER_DOC = 4
@@ -287,13 +289,29 @@ def windows_of(text: str) -> list[int]:
     return out
 
 
+def stretches(text: str) -> list[tuple[int, int, list[int]]]:
+    """(begin, end, windows) of the parts of a text that windows cover; windows of different ones do not meet."""
+    out: list[tuple[int, int, list[int]]] = []
+    for at in windows_of(text):
+        if out and at <= out[-1][1]:
+            out[-1][2].append(at)
+            out[-1] = (out[-1][0], at + WINDOW, out[-1][2])
+        else:
+            out.append((at, at + WINDOW, [at]))
+    return [(a, min(b, len(text)), windows) for a, b, windows in out]
+
+
 def decode(net: Network, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """The network's spans of each text: windows in batches, then one reconciled tag sequence per text."""
-    jobs = [(i, at) for i, text in enumerate(texts) for at in windows_of(text)]
-    codes = {i: encode(texts[i]) for i in {i for i, _ in jobs}}
-    tags = {i: np.zeros(len(c), np.int8) for i, c in codes.items()}
-    sure = {i: np.zeros(len(c)) for i, c in codes.items()}
-    near = {i: np.full(len(c), WINDOW + 1) for i, c in codes.items()}
+    """The network's spans of each text: windows in batches, then one reconciled tag sequence per stretch of overlapping windows.
+
+    What is held for a character (codes, tags, certainty, distance) is held for covered stretches only; between them no tag is possible.
+    """
+    parts = [(i, a, b, windows) for i, text in enumerate(texts) for a, b, windows in stretches(text)]
+    jobs = [(k, at - a) for k, (_, a, _, windows) in enumerate(parts) for at in windows]
+    codes = [encode(texts[i][a:b]) for i, a, b, _ in parts]
+    tags = [np.zeros(len(c), np.int8) for c in codes]
+    sure = [np.zeros(len(c), np.float32) for c in codes]
+    near = [np.full(len(c), WINDOW + 1, np.int16) for c in codes]
     middle = np.abs(2 * np.arange(WINDOW) - WINDOW + 1)
     for begin in range(0, len(jobs), 512):
         part = jobs[begin : begin + 512]
@@ -311,15 +329,16 @@ def decode(net: Network, texts: list[str]) -> list[list[tuple[int, int, int]]]:
             sure[i][here] = np.where(better, posterior[np.arange(n), k, path[k, :n]], sure[i][here])
             near[i][here] = np.where(better, middle[:n], near[i][here])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for i, row in tags.items():
+    for k, (i, first, _, _) in enumerate(parts):
+        row = tags[k]
         kind = np.where(row > 0, (row - 1) // 2, -1)
         begins = np.flatnonzero((row > 0) & ((row % 2 == 1) | (np.r_[-1, kind[:-1]] != kind)))
         for a in begins:
             b = a + 1
             while b < len(row) and row[b] == 2 + 2 * kind[a]:
                 b += 1
-            if sure[i][a:b].mean() >= SURE:
-                out[i].append((int(kind[a]), int(a), int(b)))
+            if sure[k][a:b].mean() >= SURE:
+                out[i].append((int(kind[a]), int(first + a), int(first + b)))
     return out
 
 
@@ -357,7 +376,7 @@ def train_pii(docs: DataFrame, snippets: int = TRAIN_SNIPPETS) -> Network | None
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices_by_bytes(batches, "text", BATCH_BYTES):
             rows: dict[str, list] = {"doc_id": [], "at": [], "snippet": [], "spans": []}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if not text or not TRIGGER.search(text):
@@ -388,7 +407,7 @@ def find_pii(docs: DataFrame, snippets: int = TRAIN_SNIPPETS) -> DataFrame:
     named = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in spans]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in slices_by_bytes(batches, "text", BATCH_BYTES):
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
                 found = all_spans(net.value, [t or "" for t in batch.column("text").to_pylist()])
                 columns = [pa.array([named(f[i]) for f in found], SPANS) for i in (0, 1)]

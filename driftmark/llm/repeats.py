@@ -271,8 +271,8 @@ def repeated_intervals(rows: DataFrame, units: Units, dtype: np.dtype, classes:
     alone = repeated.where("n = 1").select(*KEY, F.lit(0).alias("a"), (F.col("rep.len") - 1).alias("b"), F.col("rep.did").alias("least"))
     wanted = repeated.where("n > 1").select(F.col("rep.did").alias("did"), F.col("rep.tk").alias("tk"), F.struct((F.col("n") > members).alias("large"), *KEY, F.col("rep.f").alias("f"), F.col("rep.len").alias("len"), F.col("rep.off").alias("off"), "cnt").alias("run"))
     lists = wanted.groupBy("did", "tk").agg(F.collect_list("run").alias("runs"))
-    # of rows with one doc_id and one text, one is cut
-    texts = rows.select("did", "tk", "text").join(lists, ["did", "tk"])
+    # of rows with one doc_id and one text, one is cut: the others are dropped before they are shuffled
+    texts = rows.select("did", "tk", "text").dropDuplicates(["did", "tk"]).join(lists, ["did", "tk"])
     cuts = scratch.write(texts.mapInArrow(cut_contexts(units), CUTS), "cuts")
     sort = [*MEMBER, "did", "cnt", "len", "blob"]
     compare = lambda df: df.repartition(parts, "g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(compare_members(units, dtype, classes), RUNS)

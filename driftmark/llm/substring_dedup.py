@@ -1,7 +1,8 @@
 """Substring dedup on words with prefix-partitioned suffix trees.
 
-Suffixes are dealt to tasks in ranges of neighbouring starts, by a prefix that they share, of variable length: first 16 words that are in all
-windows of the range, then, where a group is too large for a task, the words that shorter ranges share, and last the whole window (see repeats).
+Suffixes are dealt to tasks in ranges of neighbouring starts. A range's key is what all its windows contain, of variable length: first 16 words, their anchor,
+then, where a group is too large for a task, all the words that a shorter range shares, and last the whole window (see repeats). It stands inside the windows: it is a prefix only
+of the suffix that starts where it does.
 A task builds the tree of its group's suffixes from the top: a node is split by the next words, suffixes alone in a node are
 leaves, and the internal nodes at the depth of a window are the repeats, with the smallest doc_id below each. A repeat that goes on beyond a window
 has such a node at each of its starts; these runs are joined to maximal repeats.
