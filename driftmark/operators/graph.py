@@ -1,30 +1,75 @@
 """Evolution graph: directed links from themes to later ones by smoothed Kullback-Leibler divergence or total variation.
 
 A word that only the earlier theme has adds the same to the divergence from it whatever the later theme is, so a pair costs its shared words
-only: pairs by an inequality join on periods of the (few) themes, shared words by an equi-join.
+only. Below a threshold most pairs need not be looked at: a theme's rarest words are its prefix, as many of them that a theme without any of them is too far away, and only pairs that
+meet in a prefix are candidates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import settle
 
-#: Targets that points are compared with at a time.
-BROADCAST_TARGETS = 10_000
+
+#: Themes from which candidates are looked for before divergences are summed up.
+MANY = 200
 
 
 def _log(p: Column, q: Column, log_max: float) -> Column:
     return F.greatest(F.lit(-log_max), F.least(F.lit(log_max), F.ln(p / q)))
 
 
+def candidates(themes: DataFrame, theme_words: DataFrame, metric: str, threshold: float, epsilon: float, log_max: float) -> DataFrame:
+    """(src, dst) of later themes that can be nearer than the threshold, each once.
+
+    A later theme without the words X of the source is at least so far away (in total variation) as X has mass p(X). Its divergence, times 1 + n * epsilon, is at least the sum
+    of what X adds and r * ln(r / (1 + n * epsilon)) with r the mass of the other words, by the log-sum inequality. A prefix is the shortest X, from
+    the rarest word on, for which that reaches the threshold. Where even all words do not, every later theme is near. By total variation the later theme has a prefix, too:
+    two themes with enough mass in common, in one order of words, share a word in both prefixes.
+    """
+    kl = metric == "kl"
+    p, e = F.col("p"), F.lit(epsilon)
+    order = Window.partitionBy("theme_id").orderBy("df", "word")
+    whole = Window.partitionBy("theme_id")
+    often = theme_words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    rows = theme_words.join(often, "word").select("theme_id", "word", "df", F.greatest(p, F.lit(0.0)).alias("p"))
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.withColumn("own", (p + e) * _log(p + e, e, log_max) if kl else p).withColumn("mass", F.sum("p").over(whole)).withColumn("n", F.count(F.lit(1)).over(whole))
+    rows = rows.withColumn("all", F.sum("own").over(whole)).withColumn("cum", before("own")).withColumn("left", F.greatest(F.col("mass") - before("p"), F.lit(0.0)))
+    slack = F.lit(1e-6)
+    if kl:
+        scale = 1 + F.col("n") * epsilon
+        rest = F.when(F.col("left") > 0, F.col("left") * F.ln(F.col("left") / scale)).otherwise(0.0)
+        reached, near = F.col("cum") + F.least(rest, F.lit(0.0)) >= threshold * scale + slack, F.col("all") < threshold * scale + slack
+    else:
+        reached, near = F.col("cum") >= threshold + slack, F.col("all") < threshold + slack
+    rows = rows.withColumn("done", F.max(reached).over(order)).withColumn("near", near)
+    source = rows.where("not done and not near").select(F.col("theme_id").alias("src"), "word").join(themes.select(F.col("theme_id").alias("src"), F.col("p_to").alias("a_to")), "src")
+    target = rows
+    if not kl:
+        # mass in common that each source demands, and what of a target stands before it
+        least = rows.where("not near").agg(F.min(F.col("mass") - threshold).alias("need"))
+        target = rows.crossJoin(F.broadcast(least)).where(F.col("left") > F.col("need") - slack)  # one row
+    target = target.select(F.col("theme_id").alias("dst"), "word").join(themes.select(F.col("theme_id").alias("dst"), F.col("p_from").alias("b_from")), "dst")
+    met = source.join(target, "word").where("a_to <= b_from").select("src", "dst").distinct()
+    free = rows.where("near").select(F.col("theme_id").alias("src")).distinct().join(themes.select(F.col("theme_id").alias("src"), F.col("p_to").alias("a_to")), "src")
+    later = themes.select(F.col("theme_id").alias("dst"), F.col("p_from").alias("b_from"))
+    # those are links, or as near to one as rounding is
+    return met.unionByName(free.join(later, F.col("a_to") <= F.col("b_from")).select("src", "dst"))
+
+
 def transitions(themes: DataFrame, theme_words: DataFrame, metric: str = "kl", threshold: float | None = 8.0, epsilon: float = 1e-7, log_max: float = 1000.0, digits: int | None = None) -> DataFrame:
     """(src, dst, divergence) for themes whose period ends before the other's begins, below the threshold.
 
-    themes: (theme_id, p_from, p_to); theme_words: (theme_id, word, p).
+    themes: (theme_id, p_from, p_to); theme_words: (theme_id, word, p), each word of a theme once. With a threshold, and from MANY themes on, only candidates are summed up.
     """
     kl = metric == "kl"
+    if threshold is not None and themes.limit(MANY).count() == MANY:
+        found = settle(candidates(themes, theme_words, metric, threshold, epsilon, log_max), "candidates")
+    else:
+        found = None
     ps, pt, e = F.col("ps"), F.col("pt"), F.lit(epsilon)
     own = (ps + e) * _log(ps + e, e, log_max) if kl else F.greatest(F.lit(0.0), ps)
     source = theme_words.select(F.col("theme_id").alias("src"), "word", F.col("p").alias("ps"))
@@ -32,8 +77,12 @@ def transitions(themes: DataFrame, theme_words: DataFrame, metric: str = "kl", t
     base = source.groupBy("src").agg(F.sum(own).alias("base"), F.count(F.lit(1)).alias("n"))
     a = themes.select(F.col("theme_id").alias("src"), F.col("p_to").alias("a_to"))
     b = themes.select(F.col("theme_id").alias("dst"), F.col("p_from").alias("b_from"))
-    pairs = a.join(b, F.col("a_to") <= F.col("b_from")).select("src", "dst")
-    later = source.join(a, "src").join(target.join(b, "dst"), "word").where("a_to <= b_from")
+    if found is None:
+        pairs = a.join(b, F.col("a_to") <= F.col("b_from")).select("src", "dst")
+        later = source.join(a, "src").join(target.join(b, "dst"), "word").where("a_to <= b_from")
+    else:
+        pairs = found
+        later = pairs.join(source, "src").join(target, ["dst", "word"])
     change = ((ps + e) * _log(ps + e, pt + e, log_max) if kl else F.greatest(F.lit(0.0), ps - pt)) - own
     shared = later.groupBy("src", "dst").agg(F.sum(change).alias("change"))
     value = F.col("base") + F.coalesce("change", F.lit(0.0))
@@ -114,17 +163,3 @@ def trans_collection_themes(edge_rows: DataFrame, theme_words: DataFrame) -> Dat
     member = components(edge_rows)
     size = member.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     return theme_words.join(member, "theme_id").join(size, "component").groupBy("component", "word").agg(F.sum(F.col("p") / F.col("n")).alias("p"))
-
-
-def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """(point_id, target_id, dist2): the nearest target of each point in the plane, the least id on ties.
-
-    Targets (a drawing's nodes) are broadcast, in blocks of about BROADCAST_TARGETS; a point keeps the best of each block.
-    """
-    dist = (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2
-    blocks, best = max(1, -(-targets.count() // BROADCAST_TARGETS)), None
-    for i in range(blocks):
-        some = targets.where(F.pmod(F.xxhash64("target_id"), F.lit(blocks)) == i)
-        found = points.crossJoin(F.broadcast(some)).withColumn("dist2", dist).groupBy("point_id").agg(F.min(F.struct("dist2", "target_id")).alias("m"))
-        best = found if best is None else best.unionByName(found)
-    return best.groupBy("point_id").agg(F.min("m").alias("m")).select("point_id", "m.target_id", "m.dist2")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import Params
 from .functions import periods as P
 from .functions.text import tokenize, words
-from .operators import background, em, em_blocks, graph, hmm, hmm_blocks, strength, terms, themes
+from .operators import background, em, em_blocks, graph, hmm, hmm_blocks, spatial, strength, terms, themes
 from .plans import pipelines
 from .sources import catalog
 from .shared import shared_path
@@ -411,13 +411,15 @@ def edge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edge_report(window_edges(found, words), themes.labels(words))
 
 
-@query("""SELECT s_suppkey AS point_id, n_nationkey AS target_id, d AS dist2 FROM (
-  SELECT s_suppkey, n_nationkey, power(s_suppkey % 30 - n_nationkey, 2) + power(s_suppkey % 7 - n_nationkey % 5, 2) AS d,
-    row_number() OVER (PARTITION BY s_suppkey ORDER BY power(s_suppkey % 30 - n_nationkey, 2) + power(s_suppkey % 7 - n_nationkey % 5, 2), n_nationkey) AS r FROM supplier, nation) WHERE r = 1""")
+@query("""WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings
+), d AS (SELECT p.vec_id AS point_id, t.vec_id AS target_id, power(p.x - t.x, 2) + power(p.y - t.y, 2) AS d FROM e p JOIN e t ON p.vec_id % 3 > 0 AND t.vec_id % 3 = 0)
+SELECT point_id, target_id, round(d, 12) AS dist2 FROM d QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, target_id) = 1""")
 def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") % 30).cast("double").alias("x"), (F.col("s_suppkey") % 7).cast("double").alias("y"))
-    nodes = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("target_id"), F.col("n_nationkey").cast("double").alias("tx"), (F.col("n_nationkey") % 5).cast("double").alias("ty"))
-    return graph.nearest(points, nodes)
+    """Of two vectors in three the nearest of the others, in the plane of their first two coordinates."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    points = rows.where("vec_id % 3 > 0").withColumnRenamed("vec_id", "point_id")
+    targets = rows.where("vec_id % 3 = 0").withColumnsRenamed({"vec_id": "target_id", "x": "tx", "y": "ty"})
+    return spatial.nearest(points, targets).withColumn("dist2", F.round("dist2", 12))
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from driftmark.config import Params
 from driftmark.functions import periods as P
 from driftmark.functions.order import running_total
 from driftmark.functions.text import tokenize
-from driftmark.operators import background, em, em_blocks, graph, hmm, hmm_blocks, terms
+from driftmark.operators import background, em, em_blocks, graph, hmm, hmm_blocks, spatial, terms
 from driftmark.plans import pipelines
 from driftmark.sources import catalog
 from driftmark.sources.articles import read_article_xml, select_articles, write_article_xml
@@ -60,13 +60,43 @@ def test_running_totals(spark):
         assert [r.chunk for r in sorted(chunks)] == [i + 1 for i, size in enumerate(sizes) for _ in range(size)]
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
-    points = spark.createDataFrame([(i, i * 1.5, i % 3 * 1.0) for i in range(20)], "point_id long, x double, y double")
-    targets = spark.createDataFrame([(i, i * 2.0, 1.0) for i in range(15)], "target_id long, tx double, ty double")
-    whole = sorted(map(tuple, graph.nearest(points, targets).collect()))
-    monkeypatch.setattr(graph, "BROADCAST_TARGETS", 4)
-    assert whole == sorted(map(tuple, graph.nearest(points, targets).collect()))
-    assert whole[3] == (3, 2, 1.25)
+def test_nearest(spark):
+    rng = np.random.default_rng(8)
+    at = np.r_[rng.random((150, 2)), rng.normal(5, 0.01, (150, 2)), [[0.25, 0.75]] * 40, [[100.0, -3.0]]]
+    points = np.r_[rng.random((60, 2)), rng.normal(5, 0.02, (40, 2)), [[0.25, 0.75], [-50.0, 40.0], [60.0, 60.0]]]
+    # whole numbers, so that many distances are equal
+    at, points = np.r_[at, rng.integers(0, 9, (80, 2))], np.r_[points, rng.integers(0, 9, (50, 2)) + 0.5]
+    t = spark.createDataFrame([(1000 - i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [(5000, None, 1.0)], "target_id long, tx double, ty double")
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)] + [(5000, 1.0, None)], "point_id long, x double, y double")
+    want = {}
+    for i, (x, y) in enumerate(points):
+        d = (x - at[:, 0]) ** 2 + (y - at[:, 1]) ** 2
+        want[i] = min((dist, 1000 - j) for j, dist in enumerate(d))
+    for levels in (None, 1):
+        assert {r.point_id: (r.dist2, r.target_id) for r in spatial.nearest(p, t, levels).collect()} == want
+    assert spatial.nearest(p, t.limit(0)).count() == 0 and spatial.nearest(p.limit(0), t).count() == 0
+    one = spatial.nearest(p, spark.createDataFrame([(1, 2.0, 3.0)], t.schema)).collect()
+    assert len(one) == len(points) and {r.target_id for r in one} == {1}
+
+
+@pytest.mark.parametrize(("metric", "threshold"), [("kl", 3.0), ("kl", 8.0), ("tv", 0.5), ("tv", 0.9), ("tv", 1.2)])
+def test_candidates_lose_no_link(spark, monkeypatch, metric, threshold):
+    rng = np.random.default_rng(3)
+    words, themes, begin = [], [], dt.datetime(2024, 1, 1)
+    for i in range(120):
+        own = rng.choice(40, 4, replace=False) + 40 * int(rng.integers(0, 30))  # a subject's words, and common ones
+        names = [*(f"w{x}" for x in own), *(f"c{x}" for x in rng.choice(12, 5, replace=False))]
+        p = rng.random(9) * ([4.0] * 4 + [1.0] * 5)
+        words += [(i, w, float(x / p.sum())) for w, x in zip(names, p, strict=True)]
+        themes.append((i, begin + dt.timedelta(days=i % 12 * 7), begin + dt.timedelta(days=i % 12 * 7 + 7)))
+    themes, words = spark.createDataFrame(themes, "theme_id long, p_from timestamp, p_to timestamp").cache(), spark.createDataFrame(words, "theme_id long, word string, p double").cache()
+    all_ = {(r.src, r.dst): r.divergence for r in graph.transitions(themes, words, metric, threshold).collect()}
+    monkeypatch.setattr(graph, "MANY", 1)
+    got = {(r.src, r.dst): r.divergence for r in graph.transitions(themes, words, metric, threshold).collect()}
+    assert got.keys() == all_.keys() and all(abs(got[k] - all_[k]) < 1e-9 for k in got)
+    if threshold in (3.0, 0.5):
+        n = graph.candidates(themes, words, metric, threshold, 1e-7, 1000.0).count()
+        assert len(got) <= n < 120 * 119 / 2 / 5
 
 
 def test_overlapping_periods(spark, monkeypatch):
