@@ -33,11 +33,11 @@ from .words import U64, Words, mix, sequences, stream
 SHINGLE = 5
 #: Similarity as a percentage of the union.
 PERCENT = 80
-BATCH_BYTES, BATCH_ROWS = 1_000_000, 50_000
+BATCH_BYTES, BATCH_ROWS = 500_000, 50_000
 #: Sets that a task unpacks at a time.
 SETS = 500
 #: MB of Parquet input for each task that counts tokens.
-COUNT_MB = 8
+COUNT_MB = 4
 #: Rounds in which lists are reduced by hubs, and nodes of a list that meet in one tile.
 HUB_ROUNDS, TILE = 2, 256
 #: Place of a token that a map task has found with several of its own nodes.
