@@ -7,10 +7,11 @@ meet in a prefix are candidates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import settle
+from ..sources.catalog import write_lines
 
 
 #: Themes from which candidates are looked for before divergences are summed up.
@@ -129,6 +130,17 @@ def dot_lines(themes: DataFrame, labels: DataFrame, edge_rows: DataFrame) -> Dat
     return head.unionByName(spine).unionByName(node).unionByName(edge)
 
 
+def write_dot(themes: DataFrame, labels: DataFrame, edge_rows: DataFrame, path: str) -> None:
+    """A GraphViz drawing as text files that make one when they are put together by name."""
+    write_lines(dot_lines(themes, labels, edge_rows), ["part", "line"], path)
+
+
+def read_dot_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst, pen_width) of a written drawing."""
+    part = lambda i, kind: F.regexp_extract("value", r"^t(\d+) -> t(\d+) \[penwidth=([0-9.E-]+)\];$", i).cast(kind)
+    return spark.read.text(path).where(F.col("value").rlike(r"^t\d+ -> t")).select(part(1, "long").alias("src"), part(2, "long").alias("dst"), part(3, "double").alias("pen_width"))
+
+
 def reachable(edge_rows: DataFrame, start: int) -> DataFrame:
     """(theme_id, step): all themes that links lead to from one, with the fewest links. Links go on in time, so it ends."""
     links = settle(edge_rows.select("src", "dst").distinct(), "links")

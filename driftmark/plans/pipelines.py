@@ -12,6 +12,7 @@ from ..config import Params
 from ..functions import periods as P
 from ..functions.text import tokenize
 from ..operators import background, em, em_blocks, graph, hmm, hmm_blocks, strength, terms
+from ..operators import themes as theme_reports
 from ..shared import settle
 from ..sources.articles import select_articles
 
@@ -43,6 +44,15 @@ def evolution_graph(articles: DataFrame, periods: DataFrame, params: Params) ->
     return graph.edges(links, fitted.themes, max_pen_width=params.max_pen_width)
 
 
+def draw_evolution_graph(articles: DataFrame, periods: DataFrame, params: Params) -> DataFrame:
+    """evolution_graph, written as a drawing to params.output, with the themes' labels."""
+    fitted = fit_themes(articles, periods, params)
+    links = graph.transitions(fitted.themes, fitted.words, "tv" if params.total_variation else "kl", params.threshold, params.epsilon, params.log_max)
+    found = settle(graph.edges(links, fitted.themes, max_pen_width=params.max_pen_width), "edges")
+    graph.write_dot(fitted.themes, theme_reports.labels(fitted.words), found, params.output)
+    return found
+
+
 def themes_of_long_period(articles: DataFrame, chunks: int, k: int, params: Params, periods: DataFrame | None = None) -> DataFrame:
     """The k best themes (of all runs) of one long period that is split in chunks. periods: that one period (none: all articles); several are an error."""
     if periods is not None:

@@ -155,6 +155,26 @@ def count_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return background.count_histogram(tokens(spark, sf_dir))
 
 
+DATED = ARTICLES.replace("to_days(CAST(doc_id % 56 AS INTEGER))", "to_days(CAST(doc_id % 4000 AS INTEGER))").replace("2024-01-01 12:00:00", "1990-03-01 12:00:00")
+
+
+def dated_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles whose days go over eleven years."""
+    day = F.expr("TIMESTAMP '1990-03-01 12:00:00' + make_dt_interval(cast(article_id % 4000 as int))")
+    return articles(spark, sf_dir).withColumn("issue_ts", day)
+
+
+@query(f"""WITH {DATED}, p AS (SELECT * FROM (VALUES (0, TIMESTAMP '1990-12-20', TIMESTAMP '1991-02-01'), (1, TIMESTAMP '1991-01-15', TIMESTAMP '1991-06-01'), (2, TIMESTAMP '1993-05-01', TIMESTAMP '1993-05-21')) t(period_id, p_from, p_to))
+SELECT CAST(period_id AS INTEGER) AS period_id, CAST(year(issue_ts) AS INTEGER) AS year, stream, count(*) AS n_articles, CAST(sum(strlen(full_text)) AS BIGINT) AS n_bytes FROM articles JOIN p ON issue_ts > p_from AND issue_ts < p_to GROUP BY ALL""")
+def article_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles written by year and stream, and of these what lies in three periods of four years."""
+    path = shared_path(spark, "store")
+    article_files.write_article_store(dated_articles(spark, sf_dir), path)
+    periods = P.from_rows(spark, [(dt.datetime(1990, 12, 20), dt.datetime(1991, 2, 1)), (dt.datetime(1991, 1, 15), dt.datetime(1991, 6, 1)), (dt.datetime(1993, 5, 1), dt.datetime(1993, 5, 21))])
+    found = article_files.articles_of_periods(article_files.read_article_store(spark, path), periods)
+    return found.groupBy("period_id", "year", "stream").agg(F.count(F.lit(1)).alias("n_articles"), F.sum(F.octet_length("full_text").cast("long")).alias("n_bytes"))
+
+
 @query("SELECT 'articles' || year(o_orderdate) || '.xml' AS file, count(*) AS n FROM orders WHERE o_orderdate > TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1999-06-01' GROUP BY file")
 def year_file_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin, end = dt.datetime(1996, 3, 1), dt.datetime(1999, 6, 1)
@@ -237,6 +257,20 @@ def xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return article_files.read_article_xml(spark, [folder], dt.datetime(2023, 12, 31), dt.datetime(2024, 2, 20), PARAMS.max_page)
 
 
+@query(ORACLE_SQL["xml_round_trip"])
+def nested_xml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All articles written with their fields at other depths (a namespace, texts beside the metadata and below a body), and read by local tag names."""
+    folder = shared_path(spark, "nested")
+    rows = articles(spark, sf_dir).withColumn("full_text", F.array_join(words(F.col("full_text")), " "))
+    tag = lambda name, value: F.concat(F.lit(f"<d:{name}>"), value, F.lit(f"</d:{name}>"))
+    head = F.concat(tag("id", F.col("article_id").cast("string")), F.lit("<d:head><d:where>"), tag("publication", F.col("stream")), tag("page_no", F.col("page_no").cast("string")), F.lit("</d:where>"), tag("name", F.col("title")), F.lit("</d:head>"))
+    half = F.floor(F.length("full_text") / 2).cast("int")
+    first, second = F.substring("full_text", F.lit(1), half), F.substring("full_text", half + 1, F.length("full_text"))
+    entities = F.concat(F.lit("<d:entity><d:body>"), tag("full_text", first), F.lit("</d:body>"), head, tag("issue_date", F.date_format("issue_ts", "dd/MM/yyyy")), F.lit("</d:entity><d:entity>"), tag("name", F.lit("later")), tag("full_text", second), F.lit("</d:entity>"))
+    rows.select(F.concat(F.lit("<d:article>"), entities, F.lit("</d:article>")).alias("value")).write.text(f"{folder}/articles2024.xml")
+    return article_files.read_nested_xml(spark, [folder], dt.datetime(2023, 12, 31), dt.datetime(2024, 2, 20), PARAMS.max_page, prefix="d:")
+
+
 @query(f"WITH {INIT} SELECT period_id, word, CAST(theme AS INTEGER) AS theme, round(p, 12) AS p FROM tw0 WHERE run = 0")
 def theme_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     return em.init_themes(model_terms(spark, sf_dir)[1], K).withColumn("p", F.round("p", 12))
@@ -387,6 +421,15 @@ def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dot_lines(found, themes.labels(words), window_edges(found, words))
 
 
+@query(f"WITH {LABELS}{link_sql('kl')}{WINDOW_EDGES} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, pen_width FROM edges")
+def dot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the graph, read from the file that was written for drawing."""
+    found, words = simple_themes(spark, sf_dir)
+    path = f"{shared_path(spark, 'dot')}/{PARAMS.output}"
+    graph.write_dot(found, themes.labels(words), window_edges(found, words), path)
+    return graph.read_dot_edges(spark, path)
+
+
 @query(f"""WITH RECURSIVE {THEMES}{link_sql('tv')}, r AS (SELECT 1 AS theme_id UNION SELECT dst FROM links JOIN r ON src = r.theme_id WHERE divergence < 0.9) SELECT CAST(theme_id AS BIGINT) AS theme_id FROM r""")
 def graph_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = graph.transitions(*simple_themes(spark, sf_dir), metric="tv", threshold=0.9, digits=6)
@@ -576,6 +619,28 @@ def strength_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("theme", F.transform("points", lambda p: F.concat_ws("@", p["strength"], F.date_format(p["ts"], "yyyy-MM-dd"))).alias("points"))
 
 
+FILLED = BY_TS + ", z AS (SELECT d.ts, CAST(k AS INTEGER) AS theme, coalesce(n, 0) AS n FROM (SELECT DISTINCT ts FROM st) d CROSS JOIN generate_series(1, 6) t(k) LEFT JOIN st ON st.ts = d.ts AND st.theme = k)"
+
+
+@query(f"WITH {FILLED} SELECT theme - 1 AS i, epoch_ms(ts) AS ts_ms, CAST(n AS DOUBLE) AS strength FROM z")
+def series_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of all themes as lines of text, written, and read again as one text."""
+    path = shared_path(spark, "series")
+    lines = catalog.series_lines(strength.zero_fill(strength.strength_by_ts(decoded_events(spark, sf_dir)), 6))
+    catalog.write_lines(lines, ["theme", "ts"], path)
+    text = catalog.read_lines(spark, path).withColumn("at", F.monotonically_increasing_id())
+    whole = text.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "at", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    return catalog.parse_series(whole)
+
+
+@query(f"WITH {BY_TS} SELECT theme, theme || ': ' || string_agg('(' || n || ';' || epoch_ms(ts) || ')', ', ' ORDER BY ts) AS line FROM st GROUP BY theme")
+def strength_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strengths of each theme as it is written for a display, read from the written files."""
+    path = shared_path(spark, "strengths")
+    catalog.write_lines(catalog.strength_lines(strength.listed(strength.strength_by_ts(decoded_events(spark, sf_dir)))), ["theme"], path)
+    return catalog.read_lines(spark, path).select(F.substring_index("line", ":", 1).cast("int").alias("theme"), "line")
+
+
 @query(f"""WITH {DECODED}, b AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM decoded
 ), starts AS (SELECT make_timestamp(a + CAST(floor((b - a) * i / 10.0) AS BIGINT)) AS start FROM b, generate_series(0, 9) t(i))
 SELECT start, count(decoded.ts) AS n FROM starts LEFT JOIN decoded ON state = 2 AND ts >= start AND ts < start + INTERVAL 3 DAY GROUP BY start""")

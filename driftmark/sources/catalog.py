@@ -77,3 +77,20 @@ def series_lines(strengths: DataFrame) -> DataFrame:
     """(theme, ts, line): the report of strengths, a head line per theme (ts null) and its rows; sort by theme and ts (nulls first)."""
     head = strengths.select("theme").distinct().select("theme", F.lit(None).cast("timestamp").alias("ts"), F.concat(F.lit("Theme "), F.col("theme")).alias("line"))
     return head.unionByName(strengths.select("theme", "ts", F.concat_ws(",", F.unix_millis("ts"), "n").alias("line")))
+
+
+def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
+    """Lines of a report (column line) as text files that follow each other in the order: part-00000 has the first ones, and so on."""
+    ranged = lines.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+    ranged.select("line").write.mode("overwrite").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) of what write_lines wrote; files sort by name."""
+    return spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("line"))
+
+
+def strength_lines(lists: DataFrame) -> DataFrame:
+    """(theme, line): each theme's (strength, ts) as a line of text 'theme: (strength;milliseconds), ...', as a display reads it."""
+    point = lambda p: F.concat(F.lit("("), p["strength"], F.lit(";"), F.unix_millis(p["ts"]), F.lit(")"))
+    return lists.select("theme", F.concat(F.col("theme"), F.lit(": "), F.array_join(F.transform("points", point), ", ")).alias("line"))
