@@ -34,6 +34,8 @@ class Params:
     viterbi_block_size: int | None = None
     # the published default is true, which gathers the whole stream on the driver
     force_sequential: bool = False
+    #: Words times the square of states up to which a stream is trained on the driver.
+    sequential_below: float = 5e7
     pi_threshold: float = 0.01
     a_threshold: float = 0.01
     max_iterations: int = 50

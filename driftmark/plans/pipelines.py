@@ -101,7 +101,7 @@ def theme_strength(articles: DataFrame, periods: DataFrame, params: Params, fram
 def strength_of(stream: DataFrame, model: hmm.Hmm, params: Params) -> DataFrame:
     """(ts, theme, n) over a stream (pos, word_id, ts): training, then decoding. The stream is dealt into blocks once for both, unless decoding is to have other blocks."""
     with hmm_blocks.BlockStore(stream, params.block_size) as store:
-        alone = params.force_sequential or store.length * model.n**2 <= hmm_blocks.SEQUENTIAL_BELOW
+        alone = params.force_sequential or store.length * model.n**2 <= params.sequential_below
         trained = hmm_blocks.train(stream if alone else store, model, params.block_size, params.pi_threshold, params.a_threshold, params.max_iterations, force_sequential=params.force_sequential)
         other = params.viterbi_block_size not in (None, params.block_size)
         decoded = hmm_blocks.decode(stream if other else store, trained, params.viterbi_block_size or params.block_size)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -593,6 +594,56 @@ def theme_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.theme_strength(articles(spark, sf_dir), P.tumbling(spark, START, 7, 4), params, frame)
 
 
+#: The whole of the theme strength's plan in SQL: two weeks' themes after two iterations (state 1 is the background, others the kept themes in order), one step of training from the star, the best path.
+STRENGTH = TERMS.replace("generate_series(0, 7) t(i)", "generate_series(0, 1) t(i)") + INIT[len(TERMS) :] + step_sql(0) + step_sql(1) + """, sc AS (SELECT period_id, theme FROM pi2 WHERE run = 0 GROUP BY ALL HAVING avg(pi) > 0.9 / 3
+), st AS (SELECT period_id, theme, row_number() OVER (ORDER BY period_id, theme) AS i FROM sc
+), size AS (SELECT 1 + count(*) AS n FROM st
+), em AS (
+  SELECT bg.word, list_prepend(any_value(bg.p), list(coalesce(t.p, 0) ORDER BY st.i)) AS e FROM bg CROSS JOIN st LEFT JOIN tw2 t ON t.run = 0 AND t.period_id = st.period_id AND t.theme = st.theme AND t.word = bg.word GROUP BY bg.word
+), each AS (
+  SELECT article_id, issue_ts, unnest(words) AS word, unnest(generate_series(1, len(words))) AS o FROM tok WHERE issue_ts > TIMESTAMP '2024-01-01' AND issue_ts < TIMESTAMP '2024-01-03'
+), obs AS (
+  SELECT row_number() OVER (ORDER BY issue_ts, article_id, o) AS t, issue_ts AS ts, e, n FROM each JOIN em USING (word), size
+), f AS (
+  SELECT t, list_transform(r, lambda x: x / list_sum(r)) AS al, list_sum(r) AS c FROM (SELECT t, list_transform(e, lambda x: x / n) AS r FROM obs WHERE t = 1)
+  UNION ALL
+  SELECT t, list_transform(r, lambda x: x / list_sum(r)), list_sum(r) FROM (
+    SELECT o.t, list_transform(e, lambda x, j: x * (CASE WHEN j = 1 THEN list_sum(al) / 2 ELSE al[1] / (2 * n) + al[j] / 2 END)) AS r FROM f JOIN obs o ON o.t = f.t + 1)
+), g AS (
+  SELECT max(t) AS t, list_transform(range(any_value(n)), lambda i: 1.0::DOUBLE) AS be FROM obs
+  UNION ALL
+  SELECT f.t - 1, list_transform(b, lambda x, i: (CASE WHEN i = 1 THEN x / 2 + (list_sum(b) - x) / (2 * n) ELSE b[1] / 2 + x / 2 END) / c)
+  FROM (SELECT g.t, n, list_transform(e, lambda x, j: x * be[j]) AS b FROM g JOIN obs o ON o.t = g.t WHERE g.t > 1) q JOIN f ON f.t = q.t
+), xi AS (
+  SELECT j, sum(al[1] * e[j] * be[j] / c * (CASE WHEN j = 1 THEN 0.5 ELSE 1.0 / (2 * n) END)) AS out_, sum(al[j] * e[1] * be[1] / c / 2) AS back_, sum(al[j] * e[j] * be[j] / c / 2) AS stay
+  FROM (SELECT f0.al, f1.c, o.e, o.n, g.be, unnest(range(1, o.n + 1)) AS j FROM f f1 JOIN f f0 ON f0.t = f1.t - 1 JOIN g ON g.t = f1.t JOIN obs o ON o.t = f1.t) GROUP BY j
+), low AS (
+  SELECT j, CASE WHEN out_ > 0 THEN ln(out_ / sum(out_) OVER ()) ELSE -1e300 END AS lo, CASE WHEN back_ > 0 THEN ln(back_ / CASE WHEN j = 1 THEN sum(out_) OVER () ELSE back_ + stay END) ELSE -1e300 END AS lb,
+    CASE WHEN stay > 0 THEN ln(stay / CASE WHEN j = 1 THEN sum(out_) OVER () ELSE back_ + stay END) ELSE -1e300 END AS ls FROM xi
+), m AS (SELECT list(lo ORDER BY j) AS lo, list(lb ORDER BY j) AS lb, list(ls ORDER BY j) AS ls FROM low
+), gamma AS (SELECT list_transform(r, lambda x: CASE WHEN x > 0 THEN ln(x / list_sum(r)) ELSE -1e300 END) AS lp FROM (SELECT list_transform(f.al, lambda x, j: x * g.be[j]) AS r FROM f JOIN g ON g.t = 1 AND f.t = 1)
+), le AS (SELECT t, list_transform(e, lambda x: CASE WHEN x > 0 THEN ln(x) ELSE -1e300 END) AS e FROM obs
+), v AS (
+  SELECT t, list_transform(e, lambda x, j: x + lp[j]) AS s, list_transform(e, lambda x: 1) AS back FROM le, gamma WHERE t = 1
+  UNION ALL
+  SELECT o.t, list_transform(e, lambda x, j: x + (CASE WHEN j = 1 THEN list_max(list_transform(s, lambda y, k: y + lb[k])) ELSE greatest(s[1] + lo[j], s[j] + ls[j]) END)),
+    list_transform(e, lambda x, j: CASE WHEN j = 1 THEN list_position(list_transform(s, lambda y, k: y + lb[k]), list_max(list_transform(s, lambda y, k: y + lb[k]))) WHEN s[1] + lo[j] >= s[j] + ls[j] THEN 1 ELSE CAST(j AS INTEGER) END)
+  FROM v JOIN le o ON o.t = v.t + 1, m
+), path AS (
+  SELECT t, list_position(s, list_max(s)) AS k, back FROM (SELECT * FROM v ORDER BY t DESC LIMIT 1)
+  UNION ALL
+  SELECT v.t, p.back[p.k], v.back FROM path p JOIN v ON v.t = p.t - 1
+), counted AS (SELECT ts, k - 1 AS theme, count(*) AS n FROM path JOIN obs USING (t) WHERE k > 1 GROUP BY ALL)
+SELECT d.ts, CAST(i AS INTEGER) AS theme, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT ts FROM counted) d CROSS JOIN (SELECT i FROM st) LEFT JOIN counted c ON c.ts = d.ts AND c.theme = i"""
+
+
+@query(f"WITH RECURSIVE {STRENGTH}")
+def theme_strength_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan of the theme strength after few iterations, in blocks: themes of two weeks, followed through the words of two days."""
+    params = replace(few_steps(), hmm_start="2024-01-01", hmm_days=2, max_iterations=1, pi_threshold=0.0, a_threshold=0.0, block_size=512, sequential_below=0.0)
+    return pipelines.theme_strength(articles(spark, sf_dir), P.tumbling(spark, START, 7, 2), params)
+
+
 @query()
 def long_period_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.themes_of_long_period(articles(spark, sf_dir), 4, 10, PARAMS)
