@@ -758,3 +758,26 @@ def stream_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counted.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(counted.schema).parquet(f"{root}/{last[0]}") if last else spark.createDataFrame([], counted.schema)
+
+
+@query(f"""WITH RECURSIVE obs AS (
+  SELECT user_id AS key, event_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t, CASE event_type WHEN 'purchase' THEN 2 WHEN 'scroll' THEN 3 WHEN 'signup' THEN 4 WHEN 'view' THEN 5 ELSE 1 END AS w FROM events
+), m AS (SELECT {listed(STAR)} AS a, {listed(EMITS)} AS b
+), o AS (SELECT key, pos, t, {hmm_row('b')} AS e, a FROM obs, m), f AS (
+  SELECT key, pos, t, list_transform(r, lambda x: x / list_sum(r)) AS al FROM (SELECT key, pos, t, {sums(lambda j: f"e[{j}] / 3")} AS r FROM o WHERE t = 1)
+  UNION ALL
+  SELECT key, pos, t, list_transform(r, lambda x: x / list_sum(r)) FROM (SELECT o.key, o.pos, o.t, {sums(lambda j: f"(al[1] * a[1][{j}] + al[2] * a[2][{j}] + al[3] * a[3][{j}]) * e[{j}]")} AS r FROM f JOIN o ON o.key = f.key AND o.t = f.t + 1)
+) SELECT key, pos, CAST(list_position(al, list_max(al)) - 1 AS INTEGER) AS state, round(list_max(al), 9) AS p FROM f""")
+def stream_filtered_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each user after each event, by a stream over all events that is stopped half way and started again from its checkpoint."""
+    from .streaming.filtering import filtered_states
+
+    root = shared_path(spark, "filtering")
+    seen = event_stream(spark, sf_dir).join(events(spark, sf_dir).select(F.col("event_id").alias("pos"), F.col("user_id").alias("key")), "pos")
+    half = seen.agg(F.expr("percentile_approx(pos, 0.5)").alias("pos")).first().pos
+    for part in (seen.where(F.col("pos") <= half), seen.where(F.col("pos") > half)):
+        part.write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(seen.schema).parquet(f"{root}/in")
+        states = filtered_states(source, event_model())
+        states.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").withColumn("p", F.round("p", 9))

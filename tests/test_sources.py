@@ -65,3 +65,29 @@ def test_a_graph_is_drawn_to_the_output(spark, tmp_path):
     drawn = pipelines.draw_evolution_graph(articles, P.tumbling(spark, dt.datetime(2024, 1, 1), 7, 2), params)
     want = {(r.src, r.dst, round(r.pen_width, 4)) for r in drawn.collect()}
     assert want and {tuple(r) for r in graph.read_dot_edges(spark, params.output).collect()} == want
+
+
+def test_filtering_goes_on_after_a_restart(spark, tmp_path):
+    import numpy as np
+
+    from driftmark.operators import hmm
+    from driftmark.streaming.filtering import filtered_states
+
+    rng = np.random.default_rng(6)
+    b = rng.random((4, 9))
+    b[:, 8] = 0  # no state has this word
+    model = hmm.star(3, b / b.sum(1, keepdims=True))
+    rows = [(int(k), i, int(rng.integers(0, 9))) for i, k in enumerate(rng.integers(0, 3, 300))]
+    out, of = {}, "key long, pos long, word_id long"
+    for part in (rows[:100], rows[100:200] + [rows[5]], rows[200:] + [(None, 1000, 1), (1, 1001, None)]):  # a late row, and nulls
+        spark.createDataFrame(part, of).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        found = filtered_states(spark.readStream.schema(of).parquet(str(tmp_path / "in")), model)
+        found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.key, r.pos): (r.state, r.p) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    for key in range(3):
+        alpha = None
+        for _, pos, w in (r for r in rows if r[0] == key):
+            row = (model.pi if alpha is None else alpha @ model.a) * model.b[:, w]
+            alpha = row / row.sum() if row.sum() > 0 else (model.pi / model.pi.sum() if alpha is None else alpha)
+            out[key, pos] = (int(alpha.argmax()), alpha.max())
+    assert got.keys() == out.keys() and all(got[k][0] == out[k][0] and abs(got[k][1] - out[k][1]) < 1e-9 for k in out)
