@@ -2,7 +2,8 @@
 
 The stream is dealt into blocks once (`BlockStore`): a bucketed table with a row per block. Every pass is a narrow one over it. What blocks need to know of each other are small matrices,
 scanned along a tree: FAN blocks are a group, FAN groups a larger one and so on, each level a table of its own. Going up, a group's matrices
-are multiplied; going down, a group hands each member what comes before and after it. No task and no driver holds more than FAN matrices of N x N.
+are multiplied; going down, a group hands each member what comes before and after it. A stream of one group is scanned on the driver. No task and no driver holds more than FAN
+matrices of N x N.
 """
 
 from __future__ import annotations
@@ -86,9 +87,9 @@ class BlockStore:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         self.shelf.drop()
 
-    def joined(self, known: DataFrame) -> DataFrame:
-        """The store's rows with what is known of each block; only the latter is shuffled."""
-        return self.rows.join(known.hint("shuffle_hash"), "block")
+    def joined(self, known: DataFrame, few: bool = False) -> DataFrame:
+        """The store's rows with what is known of each block; only the latter is shuffled, or broadcast where it is FAN rows at most (few)."""
+        return self.rows.join(F.broadcast(known) if few else known.hint("shuffle_hash"), "block")
 
 
 def climb(leaves: DataFrame, last: int, combine: Callable[[np.ndarray], np.ndarray], n: int, shelf: Shelf) -> list[DataFrame]:
@@ -107,7 +108,7 @@ def climb(leaves: DataFrame, last: int, combine: Callable[[np.ndarray], np.ndarr
     return levels
 
 
-def descend(levels: list[DataFrame], root: dict, hand_down: Callable[[np.ndarray, dict], list[dict]], n: int, of: pa.Schema, spark_of: str, shelf: Shelf) -> DataFrame:
+def descend(levels: list[DataFrame], root: dict, hand_down: Callable[[np.ndarray, dict], list[dict]], n: int, of: pa.Schema, spark_of: str) -> DataFrame:
     """What each leaf is handed: `root` belongs to the whole, and hand_down gives the members of a group theirs, from their matrices and the group's."""
     names, fan = of.names, FAN
     handed = levels[0].sparkSession.createDataFrame([(0, *root.values())], f"id long, {spark_of}")
@@ -118,12 +119,21 @@ def descend(levels: list[DataFrame], root: dict, hand_down: Callable[[np.ndarray
         found = hand_down(np.array([np.frombuffer(r["m"]).reshape(n, n) for r in rows]), {k: rows[0][k] for k in names})
         return pa.Table.from_pylist([{"id": r["id"], **x} for r, x in zip(rows, found, strict=True)], schema=schema)
 
-    for depth, level in reversed(list(enumerate(levels))):
+    for level in reversed(levels):
         members = level.select("id", "m", F.expr(f"id div {fan}").alias("parent")).join(handed.withColumnRenamed("id", "parent"), "parent")
-        handed = shelf.write(members.groupBy("parent").applyInArrow(group, f"id long, {spark_of}"), f"handed{depth}")
+        handed = members.groupBy("parent").applyInArrow(group, f"id long, {spark_of}")
     return handed
 
 
+def scanned(leaves: DataFrame, last: int, combine: Callable[[np.ndarray], np.ndarray], root: dict, hand_down: Callable[[np.ndarray, dict], list[dict]], n: int, of: pa.Schema, spark_of: str, shelf: Shelf) -> tuple[DataFrame, bool]:
+    """What each leaf (id, m) is handed, and whether that is one group. One group is scanned here: FAN matrices at most meet on the driver, as they would in a task."""
+    if last >= FAN:
+        return descend(climb(leaves, last, combine, n, shelf), root, hand_down, n, of, spark_of), False
+    rows = sorted(leaves.collect(), key=lambda r: r.id)
+    found = hand_down(np.array([np.frombuffer(r.m).reshape(n, n) for r in rows]), root)
+    return leaves.sparkSession.createDataFrame([(r.id, *x.values()) for r, x in zip(rows, found, strict=True)], f"id long, {spark_of}"), True
+
+
 def summed(rows: DataFrame, parts: int, shelf: Shelf) -> list:
     """The sums of the arrays of (part, xi, gamma) over groups of FAN parts, level by level; what is left, FAN rows at most, meets here."""
     schema, fan, level = pa.schema([("part", pa.int64()), ("xi", pa.binary()), ("gamma", pa.binary())]), FAN, 0
@@ -184,10 +194,10 @@ def step(store: BlockStore, model: Hmm) -> tuple[np.ndarray, np.ndarray]:
         return m
 
     with Shelf(spark, "step") as shelf:
-        levels = climb(store.rows.select("block", "words").mapInArrow(product, "id long, m binary"), store.last - first, multiplied, n, shelf)
+        leaves = store.rows.select("block", "words").mapInArrow(product, "id long, m binary")
         vectors = pa.schema([("before", pa.binary()), ("after", pa.binary())])
-        handed = descend(levels, {"before": packed(model.pi), "after": packed(np.ones(n))}, hand_down_vectors, n, vectors, "before binary, after binary", shelf)
-        known = store.joined(handed.select((F.col("id") + first).alias("block"), "before", "after")).select("block", "words", "before", "after")
+        handed, few = scanned(leaves, store.last - first, multiplied, {"before": packed(model.pi), "after": packed(np.ones(n))}, hand_down_vectors, n, vectors, "before binary, after binary", shelf)
+        known = store.joined(handed.select((F.col("id") + first).alias("block"), "before", "after"), few).select("block", "words", "before", "after")
         found = summed(known.mapInArrow(expect, "part long, xi binary, gamma binary"), store.buckets, shelf)
     sent.unpersist()
     return np.frombuffer(next(r.gamma for r in found if r.gamma)), sum(np.frombuffer(r.xi) for r in found).reshape(n, n)
@@ -244,7 +254,8 @@ def decode(stream: DataFrame | BlockStore, model: Hmm, block: int = 131072) -> D
     if not store.length:
         return spark.createDataFrame([], of)
     with Shelf(spark, "decode") as shelf:
-        levels = climb(store.rows.select("block", "words").mapInArrow(reach, "id long, m binary"), store.last - first, best_product, n, shelf)
-        handed = descend(levels, {"begin": -1, "end": -1}, hand_down_states, n, pa.schema([("begin", pa.int32()), ("end", pa.int32())]), "begin int, end int", shelf)
-        found = store.joined(handed.select((F.col("id") + first).alias("block"), "begin", "end")).mapInArrow(path, of)
+        leaves = store.rows.select("block", "words").mapInArrow(reach, "id long, m binary")
+        borders = pa.schema([("begin", pa.int32()), ("end", pa.int32())])
+        handed, few = scanned(leaves, store.last - first, best_product, {"begin": -1, "end": -1}, hand_down_states, n, borders, "begin int, end int", shelf)
+        found = store.joined(handed.select((F.col("id") + first).alias("block"), "begin", "end"), few).mapInArrow(path, of)
         return out.write(found, "states")
