@@ -58,6 +58,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         self.special = [t["content"] for t in parsed["added_tokens"]]
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        self.special_begins = sorted({t[0] for t in self.special})
         self.split = regex.compile(parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.library = Tokenizer.from_str(spec)
         self.alphabet = dict(enumerate(byte_alphabet()))
@@ -146,7 +147,7 @@ class PrefixCounter:
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
         total = 0
-        if "<" in text and self.special_pattern.search(text):
+        if any(b in text for b in self.special_begins) and self.special_pattern.search(text):
             total = len(self.special_pattern.findall(text))
             parts = self.special_pattern.split(text)
         else:
@@ -167,7 +168,7 @@ class PrefixCounter:
     def split_text(self, text: str) -> Iterator[tuple[int, int, bool]]:
         """(begin, end, special) of a text's special strings and of the chunks without white space between them."""
         at = 0
-        for m in [*(self.special_pattern.finditer(text) if "<" in text else ()), None]:
+        for m in [*(self.special_pattern.finditer(text) if any(b in text for b in self.special_begins) else ()), None]:
             for c in CHUNK.finditer(text, at, m.start() if m else len(text)):
                 yield *c.span(), False
             if m:
