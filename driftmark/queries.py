@@ -14,7 +14,7 @@ from .functions import periods as P
 from .functions.text import tokenize, words
 from .operators import background, em, em_blocks, graph, hmm, hmm_blocks, spatial, strength, terms, themes
 from .plans import pipelines
-from .sources import catalog
+from .sources import catalog, svg
 from .shared import shared_path
 from .sources import articles as article_files
 from .sources.articles import articles_from_documents, select_articles
@@ -431,6 +431,23 @@ def dot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.read_dot_edges(spark, path)
 
 
+@query(f"""WITH {THEMES}{link_sql('kl')}{WINDOW_EDGES}
+SELECT 't' || src AS src, 't' || dst AS dst, round(sqrt(power(100.0 * (dst // 10 - src // 10) - 16, 2) + power(40.0 * (dst % 10 - src % 10), 2)), 3) AS length FROM edges""")
+def svg_graph_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the graph, laid out as SVG, written, and read back by what stands nearest to the ends of their paths."""
+    found, words = simple_themes(spark, sf_dir)
+    folder = shared_path(spark, "svg")
+    x, y = lambda c: 100.0 * F.floor(F.col(c) / 10), lambda c: 40.0 * (F.col(c) % 10)
+    node = F.format_string('<g class="node"><title>t%d</title><ellipse cx="%.1f" cy="%.1f" rx="8" ry="8"/></g>', "theme_id", x("theme_id"), y("theme_id"))
+    begin, end = x("src") + 8, x("dst") - 8
+    third = lambda a, b, k: a + (b - a) * k / 3
+    curve = F.format_string(
+        '<g id="e" class="edge"><title>?</title><path fill="none" d="M%.6f,%.6fC%.6f,%.6f %.6f,%.6f %.6f,%.6f"/></g>',
+        begin, y("src"), third(begin, end, 1), third(y("src"), y("dst"), 1), third(begin, end, 2), third(y("src"), y("dst"), 2), end, y("dst"))
+    found.select(node.alias("value")).union(window_edges(found, words).select(curve.alias("value"))).write.text(folder)
+    return svg.read_svg_graph(spark, folder).withColumn("length", F.round("length", 3))
+
+
 @query(f"""WITH RECURSIVE {THEMES}{link_sql('tv')}, r AS (SELECT 1 AS theme_id UNION SELECT dst FROM links JOIN r ON src = r.theme_id WHERE divergence < 0.9) SELECT CAST(theme_id AS BIGINT) AS theme_id FROM r""")
 def graph_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = graph.transitions(*simple_themes(spark, sf_dir), metric="tv", threshold=0.9, digits=6)

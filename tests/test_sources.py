@@ -91,3 +91,15 @@ def test_filtering_goes_on_after_a_restart(spark, tmp_path):
             alpha = row / row.sum() if row.sum() > 0 else (model.pi / model.pi.sum() if alpha is None else alpha)
             out[key, pos] = (int(alpha.argmax()), alpha.max())
     assert got.keys() == out.keys() and all(got[k][0] == out[k][0] and abs(got[k][1] - out[k][1]) < 1e-9 for k in out)
+
+
+def test_curves(spark):
+    import numpy as np
+
+    from driftmark.sources import svg
+
+    d = "M10,0C10,5.522847 5.522847,10 0,10 C-5.522847,10 -10,5.522847 -10,0"
+    line, odd = "M 0 0 C 1 1 2 2 3e0 3", "M1,1"
+    rows = spark.createDataFrame([(d,), (line,), (odd,)], "d string").select(svg.path_points(F.col("d")).alias("p"))
+    half, straight, none = (r.n for r in rows.select(svg.curve_length(F.col("p")).alias("n")).collect())
+    assert abs(half - np.pi * 10) < 0.02 and abs(straight - 3 * 2**0.5) < 1e-9 and none == 0
