@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import tracemalloc
 from collections import Counter
 from dataclasses import replace
 
@@ -152,6 +153,32 @@ def test_blocks_of_periods_equal_the_kernel(spark):
     assert em_blocks.fit_periods(terms_.limit(0), model).count() == 0
 
 
+def test_a_period_of_several_blocks_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(p, d, f"w{w}", int(rng.integers(1, 6))) for p, n in ((0, 5), (3, 60)) for d in range(n) for w in rng.choice(25, 8, replace=False)]
+    terms_ = spark.createDataFrame(rows, "period_id int, doc_id long, word string, cnt long")
+    model = spark.createDataFrame([(f"w{w}", 1, 24, 1 / 24) for w in range(24)], "word string, cnt long, total long, p double")
+    want = {tuple(r[:2] + r[3:7]): (r.p, r.ll) for r in em.extract_themes(terms_, model, 3, 0.8, 2, 4).collect()}
+    monkeypatch.setattr(em_blocks, "BLOCK_ROWS", 50)
+    for most in (None, 100):
+        got = {tuple(r[:2] + r[3:7]): (r.p, r.ll) for r in em_blocks.fit_periods(terms_, model, 3, 0.8, 2, 4, group_rows=most).collect()}
+        assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+    told = terms_.join(model.select("word", F.col("p").alias("pb")), "word")
+    blocks = em_blocks.term_blocks(told, em_blocks.period_sizes(told), 50, 4).collect()
+    assert sum(len(r.doc) + len(r.word) + len(r.cnt) for r in blocks) == 12 * told.count() and len({r.bucket for r in blocks if r.period_id == 3}) > 5
+
+
+def test_memory_of_the_kernel_is_that_of_a_piece():
+    rng = np.random.default_rng(3)
+    n, k = 2_000_000, 10
+    doc, word, cnt, pb, pw = np.sort(rng.integers(0, 5000, n)), rng.integers(0, 3000, n), np.ones(n), np.full(n, 1 / 3000), rng.random((k, 3000))
+    tracemalloc.start()
+    em.kernel(doc, word, cnt, pb, pw / pw.sum(1, keepdims=True), 0.9, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * k * 8 / 2  # one array over triples and themes would be twice that
+
+
 def test_a_period_is_dealt_over_tasks_once(spark):
     rows = spark.range(20_000).select(F.lit(7).alias("period_id"), (F.col("id") % 2000).alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 50).alias("word"), F.lit(2).alias("cnt"), F.lit(0.02).alias("pb"))
     with em_blocks.TermStore(rows, block_rows=1000, buckets=8) as store:
