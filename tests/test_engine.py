@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftmark import shared
+from driftmark import queries, shared
 from driftmark.config import Params
 from driftmark.functions import periods as P
 from driftmark.functions.order import running_total
@@ -153,6 +153,12 @@ def test_blocks_of_periods_equal_the_kernel(spark):
     assert em_blocks.fit_periods(terms_.limit(0), model).count() == 0
 
 
+def test_themes_of_a_query_are_tokenised_once(spark):
+    found, words_ = queries.simple_themes(spark, "/root/testdata/sf0.001")
+    for df in (found, words_):
+        assert "split(" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_period_of_several_blocks_in_one_task(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(p, d, f"w{w}", int(rng.integers(1, 6))) for p, n in ((0, 5), (3, 60)) for d in range(n) for w in rng.choice(25, 8, replace=False)]
