@@ -153,6 +153,21 @@ def test_blocks_of_periods_equal_the_kernel(spark):
     assert em_blocks.fit_periods(terms_.limit(0), model).count() == 0
 
 
+def test_words_are_counted_where_their_article_is(spark):
+    at = dt.datetime(2024, 1, 2, 12)
+    rows = [(1, at, ["a", "b", "a"]), (2, at, []), (3, at, None), (4, at, ["b"]), (4, at, ["b", "c"])]
+    tok = spark.createDataFrame(rows, "article_id long, issue_ts timestamp, words array<string>")
+    docs = terms.counted(tok)
+    assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc_id, r.n, sorted(zip(r.words, r.cnts, strict=True))) for r in docs.collect())
+    assert got == [(1, 3, [("a", 2), ("b", 1)]), (2, 0, []), (3, 0, []), (4, 1, [("b", 1)]), (4, 2, [("b", 1), ("c", 1)])]
+    model = background.model_of_counts(background.counted_words(docs), 2)
+    assert {r.word: r.cnt for r in model.collect()} == {"a": 2, "b": 3}
+    found = terms.terms_of(docs, model, P.tumbling(spark, dt.datetime(2024, 1, 1), 7, 1), 1, 0)
+    assert sorted((r.doc_id, r.word, r.cnt) for r in found.collect()) == [(1, "a", 2), (1, "b", 1), (4, "b", 2)]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("hashpartitioning(doc_id") == 1
+
+
 def test_themes_of_a_query_are_tokenised_once(spark):
     found, words_ = queries.simple_themes(spark, "/root/testdata/sf0.001")
     for df in (found, words_):
