@@ -321,6 +321,62 @@ def test_star_kernels_equal_dense_ones():
         assert np.abs(xi / xi.sum() - want / want.sum()).max() < 1e-12
 
 
+def test_blocks_that_forget_need_few_matrices():
+    model, rng = star_model(9, 30, 4)
+    emits, moves, seen = hmm.emitted(model.b), hmm.Moves(model.a), []
+
+    def whole(blocks, first):
+        seen.append(sum(map(len, blocks)))
+        out = []
+        for ms in hmm.Lanes(emits, blocks, first).products(moves):
+            m = ms[0]
+            for x in ms[1:]:
+                m = hmm.scaled(m @ x, (0, 1))
+            out.append(m)
+        return out
+
+    blocks = [rng.integers(0, 30, n) for n in (20_000, 700, 100, 20_000)]
+    found = hmm.outlines(blocks, 0, whole, hmm.thin, [True] * 4)
+    assert sum(seen) <= 2 * 256 * 4  # of 40,800 words
+    for (m, u, v), want in zip(found, whole(blocks, 0), strict=True):
+        assert m is None and np.allclose(hmm.scaled(np.outer(u, v), (0, 1)), want, 1e-9, 0)
+    # where a state may be a dead end, the matrix of the whole block
+    assert all(np.array_equal(m, want) for (m, _, _), want in zip(hmm.outlines(blocks, 0, whole, hmm.thin, [False] * 4), whole(blocks, 0), strict=True))
+
+
+def test_blocks_together_equal_each_alone_and_the_sequence():
+    for dead in (False, True):
+        model, rng = star_model(5, 30, 7)
+        if dead:  # more pieces than are done again: matrices tell
+            model.a[0, 3] = model.a[3, 0] = 0
+        obs = rng.integers(0, 30, 256 * 12 + 17)
+        xi, gamma = hmm.expected(model, obs, True, model.pi, np.ones(5))
+        start, want = hmm.sequential_step(model, obs)
+        assert np.allclose(xi / xi.sum(), want / want.sum(), 1e-9, 1e-12) and np.allclose(gamma, start)
+        logs, pi, moves = hmm.emitted(hmm.logs(model.b), 0.0), hmm.logs(model.pi), hmm.Moves(model.a)
+        best = brute_viterbi(model, obs)
+        assert hmm.paths_of_blocks(logs, pi, moves, [obs], 0, [-1], [best[-1]])[0].tolist() == best
+        cut = [0, 5, 900, 1500, len(obs)]
+        parts = [obs[a:b] for a, b in itertools.pairwise(cut)]
+        borders = [-1, *(best[c - 1] for c in cut[1:])]
+        got = hmm.paths_of_blocks(logs, pi, moves, parts[::-1], 3, borders[:-1][::-1], borders[1:][::-1])
+        assert np.concatenate(got[::-1]).tolist() == best
+
+
+@pytest.mark.parametrize("fan", [2, 1000])
+def test_neighbours_tell_blocks_that_forget(spark, monkeypatch, fan):
+    monkeypatch.setattr(hmm_blocks, "FAN", fan)  # 2: beyond what the driver holds
+    monkeypatch.setattr(hmm_blocks, "scanned", None)  # no tree
+    model, rng = star_model(4, 12, 1)
+    obs = rng.integers(0, 12, 6000)
+    stream = spark.createDataFrame([(i, int(o)) for i, o in enumerate(obs)], "pos long, word_id long")
+    with hmm_blocks.BlockStore(stream, 500) as store:
+        trained = hmm_blocks.train(store, model, 500, 0, 0, 2)
+        want = hmm.train_sequential(model, obs, 0, 0, 2)
+        assert np.allclose(trained.a, want.a) and np.allclose(trained.pi, want.pi)
+        assert [r.state for r in hmm_blocks.decode(store, model).orderBy("pos").collect()] == brute_viterbi(model, obs)
+
+
 def test_store_is_shuffled_once_and_missing_places_stay(spark, monkeypatch):
     monkeypatch.setattr(hmm_blocks, "FAN", 3)
     model, rng = star_model(4, 12, 1)
