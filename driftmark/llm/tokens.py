@@ -12,7 +12,7 @@ import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,20 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
+class Chunks(dict):
+    """Tokens of the chunks seen so far; one that is new is counted when it is asked for."""
+
+    def __init__(self, counted: Callable[[str], int]):
+        super().__init__()
+        self.counted = counted
+
+    def __missing__(self, chunk: str) -> int:
+        if len(self) >= 2 * CACHE:
+            self.clear()
+        found = self[chunk] = self.counted(chunk)
+        return found
+
+
 class PrefixCounter:
     """Counts for one vocabulary file of the lower-casing, white-space-dropping kind with word ends."""
 
@@ -55,7 +69,10 @@ class PrefixCounter:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.vocab = set(model["vocab"])
-        self.longest = max(map(len, self.vocab))
+        #: Tokens that end a word, by what they are without the mark.
+        self.closing = {t.removesuffix(self.end): t for t in self.vocab if t.endswith(self.end)}
+        self.longest = max(map(len, self.closing), default=0)
+        self.enders = self.tokens_by_head()
         self.special = [t["content"] for t in parsed["added_tokens"]]
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.special_begins = sorted({t[0] for t in self.special})
@@ -64,7 +81,23 @@ class PrefixCounter:
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.fits: dict[tuple[str, str], bool] = {}
         self.tables: dict[str, list[int]] = {}
-        self.chunks: dict[str, int] = {}
+        self.known = Chunks(self.word).__getitem__
+        self.chunk = Chunks(self.chunk_count).__getitem__
+
+    def tokens_by_head(self) -> dict[str, tuple[str, ...]]:
+        """For each begin of a token the tokens that it ends with, the longest first.
+
+        All tokens that end at a place of a word are ends of the longest begin of a token that ends there, so they are found without looking at every stretch.
+        """
+        inner = [t for t in self.vocab if not t.endswith(self.end)]
+        heads = {t[:i] for t in inner for i in range(1, len(t) + 1)}
+        found: dict[str, tuple[str, ...]] = {"": ()}
+        for head in sorted(heads, key=len):
+            less = head[1:]
+            while less not in found:
+                less = less[1:]
+            found[head] = (head, *found[less]) if head in self.vocab else found[less]
+        return found
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain byte-pair encoding, for pairs of tokens only."""
@@ -94,26 +127,40 @@ class PrefixCounter:
             if len(self.fits) >= CACHE:
                 self.fits.clear()
             want = [left, right] if left else [right]
-            found = self.fits[key] = self.merged([s for t in want for s in self.symbols(t)]) == want
+            # two tokens that merge do not stay side by side
+            found = self.fits[key] = key not in self.rank and self.merged([s for t in want for s in self.symbols(t)]) == want
         return found
 
+    def inner(self, word: str) -> tuple[list[str], list[int]]:
+        """Last token and count of each prefix of a word as the begin of a longer word; some bytes are no token's begin, then there is none ("")."""
+        n, enders, known = len(word), self.enders, self.fits
+        last, count, begin = [""] * (n + 1), [0] * (n + 1), 0
+        for i in range(1, n + 1):
+            while (found := enders.get(word[begin:i])) is None:
+                begin += 1
+            for token in found:
+                at = i - len(token)
+                left = last[at]
+                if left or not at:
+                    fit = known.get((left, token))
+                    if self.pair_fits(left, token) if fit is None else fit:
+                        last[i], count[i] = token, count[at] + 1
+                        break
+        return last, count
+
+    def closed(self, word: str, i: int, last: list[str], count: list[int]) -> int:
+        """Tokens of word[:i] as a word of its own."""
+        closing = self.closing
+        for begin in range(max(0, i - self.longest), i):
+            token = closing.get(word[begin:i])
+            if token is not None and (not begin or last[begin]) and self.pair_fits(last[begin], token):
+                return count[begin] + 1
+        return 0
+
     def filled(self, word: str) -> list[int]:
         """Tokens of each prefix of a word (in the byte alphabet) as a word of its own; the first is the empty one."""
-        n, vocab, fits, longest = len(word), self.vocab, self.pair_fits, self.longest
-        # last token and count of each prefix as the begin of a longer word; some bytes are no token's begin, then there is none
-        last, inner, whole = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for begin in range(max(0, i - longest), i):
-                token = word[begin:i]
-                if token in vocab and (not begin or last[begin]) and fits(last[begin], token):
-                    last[i], inner[i] = token, inner[begin] + 1
-                    break
-            for begin in range(max(0, i - longest), i):
-                token = word[begin:i] + self.end
-                if token in vocab and (not begin or last[begin]) and fits(last[begin], token):
-                    whole[i] = inner[begin] + 1
-                    break
-        return whole
+        last, count = self.inner(word)
+        return [0, *(self.closed(word, i, last, count) for i in range(1, len(word) + 1))]
 
     def table(self, word: str) -> list[int]:
         found = self.tables.get(word)
@@ -126,7 +173,8 @@ class PrefixCounter:
         return found
 
     def word(self, word: str) -> int:
-        return self.table(word)[-1]
+        """Tokens of a whole word: of its table the last entry, and no other is worked out."""
+        return self.closed(word, len(word), *self.inner(word[:-1]))
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text without special strings, in the byte alphabet."""
@@ -138,11 +186,9 @@ class PrefixCounter:
         """A piece without white space in the byte alphabet, in which printable ASCII stands for itself."""
         return piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
 
-    def chunk(self, chunk: str) -> int:
-        if len(self.chunks) >= 2 * CACHE:
-            self.chunks.clear()
-        found = self.chunks[chunk] = sum(map(self.word, self.pieces(chunk)))
-        return found
+    def chunk_count(self, chunk: str) -> int:
+        # ASCII letters are one word
+        return self.word(chunk.lower()) if chunk.isascii() and chunk.isalpha() else sum(map(self.known, self.pieces(chunk)))
 
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
@@ -153,16 +199,7 @@ class PrefixCounter:
         else:
             parts = [text]
         for part in parts:
-            if UNSAFE.search(part):
-                total += sum(map(self.word, self.pieces(part)))
-                continue
-            known, pieces = self.chunks, part.split()
-            try:
-                total += sum(map(known.__getitem__, pieces))
-            except KeyError:
-                for piece in pieces:
-                    n = known.get(piece)
-                    total += self.chunk(piece) if n is None else n
+            total += self.plain(part) if UNSAFE.search(part) else sum(map(self.chunk, part.split()))
         return total
 
     def split_text(self, text: str) -> Iterator[tuple[int, int, bool]]:
@@ -196,7 +233,7 @@ class PrefixCounter:
                 cut = piece[:i]
                 # a contraction ('re, 've, 'll) that is cut is no longer one
                 short = i < len(piece) <= 3 and piece[0] == "'" and piece[1] in "rvl"
-                counts[begin + i] = before + (sum(self.word(self.as_bytes(p)) for p in self.split.findall(cut)) if short else table[size])
+                counts[begin + i] = before + (sum(self.known(self.as_bytes(p)) for p in self.split.findall(cut)) if short else table[size])
                 starts[begin + i] = begin if i < len(piece) else end
             before = counts[end]
         out, at = [0], 0
@@ -211,7 +248,7 @@ class PrefixCounter:
 
     def plain(self, text: str) -> int:
         """Tokens of a text in which special strings count as text."""
-        return sum(map(self.word, self.pieces(text)))
+        return sum(map(self.known, self.pieces(text)))
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of text[:i] for i from 0 to len(text), for any text; a special string is one token from its last character on."""
@@ -237,17 +274,17 @@ class PrefixCounter:
 
         Counts at the ends of chunks never fall, so only the first chunk that ends beyond the budget is looked into.
         """
-        before, spans = 0, [*self.split_text(text)]
-        for i, (begin, end, special) in enumerate(spans):
+        before, last, spans = 0, None, self.split_text(text)
+        for begin, end, special in spans:
             n = 1 if special else self.chunk(text[begin:end])
             if before + n > budget:
                 # a chunk and the special string right after it are looked into together
-                if special and i and spans[i - 1][1] == begin and not spans[i - 1][2]:
-                    begin, before = spans[i - 1][0], before - self.chunk(text[spans[i - 1][0] : begin])
-                elif not special and i + 1 < len(spans) and spans[i + 1][0] == end and spans[i + 1][2]:
-                    end = spans[i + 1][1]
+                if special and last and last[1] == begin and not last[2]:
+                    begin, before = last[0], before - self.chunk(text[last[0] : begin])
+                elif not special and (then := next(spans, None)) and then[0] == end and then[2]:
+                    end = then[1]
                 return begin + max(j for j, c in enumerate(self.prefix_counts(text[begin:end])) if before + c <= budget)
-            before += n
+            before, last = before + n, (begin, end, special)
         return len(text)
 
 

@@ -216,6 +216,22 @@ def test_tokens(spark, odd):
             assert own.truncate(text, budget) == max(i for i, n in enumerate(want) if n <= budget), (text, budget)
 
 
+def test_new_words_cost_few_lookups():
+    """Of a new word only its own entry is worked out, and tokens that end at a place are found without trying every stretch (op3 of round 3)."""
+    with open(queries.vocabulary_path(), encoding="utf-8") as f:
+        own = tokens.PrefixCounter(f.read())
+    rng, asked = random.Random(5), []
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(300)]
+    want = [len(own.library.encode(w, add_special_tokens=False).ids) for w in words]
+    fits = own.pair_fits
+    own.pair_fits = lambda left, right: asked.append(left) or fits(left, right)
+    assert [own.count(w) for w in words] == want
+    assert not own.tables and len(asked) < 15 * len(words)
+    text = " ".join(words)
+    assert own.truncate(text, sum(want[:100])) == len(" ".join(words[:100])) + 1
+
+
+
 def poisson_count(rate, u):
     """The least k with P(X <= k) > u, summed step by step."""
     k, log_mass = 0, -rate
