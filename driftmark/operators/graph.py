@@ -104,6 +104,8 @@ def edges(links: DataFrame, themes: DataFrame, begin=None, end=None, max_pen_wid
     if begin is not None:
         ok = themes.where((F.col("p_from") >= F.lit(begin)) & (F.col("p_to") <= F.lit(end))).select("theme_id")
         links = links.join(ok.withColumnRenamed("theme_id", "src"), "src", "left_semi").join(ok.withColumnRenamed("theme_id", "dst"), "dst", "left_semi")
+    # read for the bounds and for the links
+    links = settle(links, "links")
     bounds = links.agg(F.min("divergence").alias("lo"), F.max("divergence").alias("hi"))
     share = F.coalesce(F.try_divide(F.col("hi") - F.col("divergence"), F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))), F.lit(1.0))
     return links.crossJoin(F.broadcast(bounds)).select("src", "dst", "divergence", (0.2 + share * max_pen_width).alias("pen_width"))
