@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftmark.llm.common import Scratch, ascii_lower, table
 from driftmark.llm.decontaminate import decontaminate
-from driftmark.llm.exact_dedup import exact_dedup
+from driftmark.llm.exact_dedup import BROADCAST_KEYS, exact_dedup
 from driftmark.llm.jaccard_join import one_of_each
 from driftmark.llm.mixing import mix_sources
 from driftmark.llm.toxicity import drop_toxic
@@ -33,7 +33,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = scratch.write(found.agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "marked")
     digest = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
     same = docs["doc_id"].eqNullSafe(marked["marked_id"]) & (digest == marked["marked_sha"])
-    single, several = docs.join(marked, same, "left_anti"), marked.where("kept")
+    several, ids = marked.where("kept"), marked.select("marked_id").distinct()
+    if ids.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        # most rows have no marked doc_id and stay where they are; only the others are dealt out with their texts
+        named = docs["doc_id"].eqNullSafe(ids["marked_id"])
+        untouched, asked = (docs.join(F.broadcast(ids), named, how) for how in ("left_anti", "left_semi"))
+        single = untouched.unionByName(asked.join(marked, same, "left_anti"))
+    else:
+        single = docs.join(marked, same, "left_anti")
     if several.isEmpty():
         return single
     again = docs.join(several, same).select(several["marked_id"], several["marked_sha"], F.struct(*[docs[c] for c in docs.columns]).alias("row"))

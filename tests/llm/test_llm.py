@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from statistics import NormalDist
@@ -471,6 +472,46 @@ def test_dedup_stages_keep_one_row_of_each_group(spark):
     assert exact.columns == docs.columns and stay == Counter([(1, a, "x"), (None, min(b, upper, near(b)), "p"), (2, c, "q"), (2, "other words here", "q"), (None, "", "e"), (5, " ", "e")])
 
 
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_exact_stage_deals_out_marked_rows_only(spark, monkeypatch, limit):
+    """Without broadcast joins of Spark's own choice the texts of rows that no other equals stay where they are, and the result is the same without the list of ids."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", limit)
+    texts = [base_text(40, i) for i in range(300)]
+    rows = [*enumerate(texts), (500, re.sub("[a-z]", lambda m: m[0].upper(), texts[3])), (501, texts[4]), (None, texts[5]), (7, texts[8]), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.exact(spark, docs, SF)
+        got = Counter(map(tuple, kept.collect()))
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == Counter(rows) - Counter([(3, texts[3]), (4, texts[4]), (None, texts[5]), (7, texts[8]), (None, "")])
+    assert ("LeftSemi" in plan and "strategy=broadcast" in plan) == (limit > 0)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """A table is read once it is written, so the files of its shuffles go at once; the session's setting is as before."""
+    from pathlib import Path
+
+    from driftmark.llm.common import Scratch
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, folders = spark.conf.get(key), [Path(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f for d in folders for f in d.rglob("shuffle_*.data")}
+    old = files()
+    out = Scratch(spark, "files").write(spark.range(0, 10_000, 1, 4).repartition(4, "id"), "t")
+    for _ in range(50):
+        if not files() - old:
+            break
+        time.sleep(0.1)
+    assert not files() - old
+    assert out.count() == 10_000 and spark.conf.get(key) == before
+
+
 @pytest.fixture(scope="module")
 def small_tables(spark, tmp_path_factory):
     """Labels and a benchmark for odd rows, and the same tables without rows."""
