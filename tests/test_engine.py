@@ -13,8 +13,9 @@ from driftmark.config import Params
 from driftmark.functions import periods as P
 from driftmark.functions.order import running_total
 from driftmark.functions.text import tokenize, words
-from driftmark.operators import background, em, em_blocks, graph, hmm, hmm_blocks, spatial, terms
+from driftmark.operators import background, em, em_blocks, em_packed, graph, hmm, hmm_blocks, spatial, terms
 from driftmark.plans import pipelines
+from driftmark.shared import settle
 from driftmark.sources import catalog
 from driftmark.sources.articles import read_article_xml, select_articles, write_article_xml
 
@@ -189,6 +190,56 @@ def test_a_period_of_several_blocks_in_one_task(spark, monkeypatch):
     assert sum(len(r.doc) + len(r.word) + len(r.cnt) for r in blocks) == 12 * told.count() and len({r.bucket for r in blocks if r.period_id == 3}) > 5
 
 
+def test_packed_periods_equal_the_kernel(spark, monkeypatch):
+    at, rng = dt.datetime(2024, 1, 2, 12), np.random.default_rng(6)
+    texts = [(d, at + dt.timedelta(days=7 * (d % 3)), " ".join(f"w{chr(97 + w)}" for w in rng.choice(26, 30))) for d in range(40)]
+    # an article of several rows: two of one day, one of another week; one that is too short
+    texts += [(1, texts[1][1], "wa wb wb wc wd we"), (1, texts[2][1], "wa wa wx wy wz"), (77, at, "wa")]
+    docs = settle(terms.counted(spark.createDataFrame([(d, t, x.split()) for d, t, x in texts], "article_id long, issue_ts timestamp, words array<string>").coalesce(1)), "docs")
+    model, weeks = settle(background.model_of_counts(background.counted_words(docs), 20), "model"), P.tumbling(spark, dt.datetime(2024, 1, 1), 7, 3)
+    rows = terms.terms_of(docs, model, weeks, 3, 4)
+    want = {tuple(r[:2] + r[3:7]): (r.p, r.ll) for r in em.extract_themes(rows, model, 3, 0.8, 2, 4).collect()}
+    assert len({k[0] for k in want}) == 3 and not any(k[4] == 77 for k in want)
+    packed = em_packed.pack(docs, model, weeks, 3, 3, 4)
+    assert sorted(map(tuple, em_packed.unpacked(packed, packed.rows).collect())) == sorted(map(tuple, rows.collect()))
+
+    def same(found):
+        got = {tuple(r[:2] + r[3:7]): (r.p, r.ll) for r in found.collect()}
+        assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+    same(em_packed.fit_documents(docs, model, weeks, 3, 0.8, 2, 4, 3, 4))
+    # larger periods by the exchange of blocks
+    sizes = sorted(r["count"] for r in rows.groupBy("period_id").count().collect())
+    same(em_packed.fit_packed(packed, 3, 0.8, 2, 4, task_rows=sizes[1]))
+    # several blocks, most of them in the scratch file
+    for name, value in (("BLOCK_ROWS", 60), ("HELD_ROWS", 100), ("PIECE", 16), ("OUT_WORDS", 5)):
+        monkeypatch.setattr(em_packed, name, value)
+    held = em_packed.Period((1, 1))
+    held.add(packed.rows.where("period_id = 1").orderBy("doc_id").toArrow().combine_chunks().to_batches()[0])
+    own = [r for b in held.fitted(*packed.sent.value, 3, 0.8, 4) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(held.docs) > 2 and held.scratch.closed and isinstance(held.terms[-1][0], int)
+    got = {r[:2] + r[3:7]: (r[7], r[2]) for r in own}
+    assert got.keys() == {k for k in want if k[:2] == (1, 1)} and all(abs(x - y) < 1e-9 for k in got for x, y in zip(got[k], want[k], strict=True))
+    monkeypatch.setattr(em_packed, "VOCABULARY", 3)
+    assert em_packed.pack(docs, model, weeks, 3, 3, 4) is None
+
+
+def test_texts_are_counted_as_their_words_are(spark):
+    at = dt.datetime(2024, 1, 2, 12)
+    texts = ["Straße straße, STRASSE; été Été", "Ⱥa ȺB ȾX İi", None, "", "日本 語 a\u0301b Ж ж", "x1y x_y\u2028z", "ǅ ǆ Ɓ ɐ\u023f", "a\x00b \u00aa\u00ba"]
+    rows = spark.createDataFrame([(i, at, x) for i, x in enumerate(texts)], "article_id long, issue_ts timestamp, full_text string")
+    rows = rows.unionByName(spark.sql("SELECT 99L AS article_id, TIMESTAMP '2024-01-02' AS issue_ts, CAST(X'41FF42C3' AS STRING) AS full_text"))
+    seen = lambda df: sorted((r.doc_id, r.issue_ts, r.n, sorted(zip(r.words, r.cnts, strict=True))) for r in df.collect())
+    assert seen(terms.counted_texts(rows)) == seen(terms.counted(tokenize(rows)))
+    assert "Exchange" not in terms.counted_texts(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fits_are_run_once(spark):
+    fit = queries.QUERIES["extract_themes"](spark, "/root/testdata/sf0.001")
+    # the fit is read as a written table: it used to be run for the best run, the scores and the words
+    assert "InArrow" not in fit._jdf.queryExecution().executedPlan().toString() and fit.count() > 0
+
+
 def test_memory_of_the_kernel_is_that_of_a_piece():
     rng = np.random.default_rng(3)
     n, k = 2_000_000, 10
