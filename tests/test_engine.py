@@ -240,6 +240,15 @@ def test_fits_are_run_once(spark):
     assert "InArrow" not in fit._jdf.queryExecution().executedPlan().toString() and fit.count() > 0
 
 
+def test_plans_fit_packed_terms(spark, monkeypatch):
+    """No plan joins or shuffles terms as text any more, and the results stay: those of long_period_steps and evolution_graph_steps are compared with SQL."""
+    monkeypatch.setattr(terms, "terms_of", None)
+    monkeypatch.setattr(em_blocks, "fit_periods", None)
+    articles = queries.articles(spark, "/root/testdata/sf0.001")
+    assert pipelines.themes_of_long_period(articles, 4, 10, queries.few_steps()).count() == 10
+    assert pipelines.fit_themes(articles, P.tumbling(spark, queries.START, 7, 2), queries.few_steps()).themes.count() > 0
+
+
 def test_memory_of_the_kernel_is_that_of_a_piece():
     rng = np.random.default_rng(3)
     n, k = 2_000_000, 10
